@@ -42,21 +42,20 @@ def previous_row(df: DataFrame, key: list[str], order: list[str], carry: list[st
     """``lag`` of the ``carry`` columns; ``order[0]`` is the timestamp column, never null.
 
     The last row of each chunk is handed to the next non-empty chunk as an extra row that
-    sorts first and is dropped again after the window.
+    sorts first and is dropped again after the window. Whole rows are shuffled once.
     """
     rows = df.withColumn("_chunk", _chunk(order[0], chunk))
-    last = rows.groupBy(*key, "_chunk").agg(
-        F.max_by(F.struct(*carry), F.struct(*order)).alias("_carried"))
+    extra = [c for c in carry if c not in order]
+    last = rows.groupBy(*key, "_chunk").agg(F.max(F.struct(*order, *extra)).alias("_last"))
     by_chunk = Window.partitionBy(*key).orderBy("_chunk")
     handed = (last.withColumn("_chunk", F.lead("_chunk").over(by_chunk))
               .where(F.col("_chunk").isNotNull())
-              .withColumn("_own", F.lit(False)))
-    own = rows.withColumn("_carried", F.struct(*carry)).withColumn("_own", F.lit(True))
+              .select(*key, "_chunk", *[F.col(f"_last.{c}").alias(c) for c in carry], F.lit(False).alias("_own")))
     inside = Window.partitionBy(*key, "_chunk").orderBy("_own", *order)
-    linked = (own.unionByName(handed, allowMissingColumns=True)
-              .withColumn("_prev", F.lag("_carried").over(inside))
+    linked = (rows.withColumn("_own", F.lit(True)).unionByName(handed, allowMissingColumns=True)
+              .withColumns({prefix + c: F.lag(c).over(inside) for c in carry})
               .where("_own"))
-    return linked.select(*df.columns, *[F.col(f"_prev.{c}").alias(prefix + c) for c in carry])
+    return linked.select(*df.columns, *[prefix + c for c in carry])
 
 
 def first_rows(df: DataFrame, key: list[str], order: list, n: int, name: str = "pos") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timecols import at_hour, day_of, hour_floor
+from ..runtime import spread
 
 COUNTS = ["rentals", "returns", "rentals_real", "returns_real", "rentals_to_ctrl", "returns_from_ctrl",
           "reloc_in", "reloc_out", "reloc_in_phys", "reloc_out_phys"]
@@ -93,7 +94,7 @@ def activity_index(days: DataFrame) -> DataFrame:
 
 def hour_spine(stations: DataFrame, first: str, last: str) -> DataFrame:
     """Every hour between the two dates of each station, generated per station (no cross join)."""
-    days = stations.withColumn("d", F.explode(F.sequence(F.col(first), F.col(last))))
+    days = spread(stations, "station_id").withColumn("d", F.explode(F.sequence(F.col(first), F.col(last))))
     hours = days.withColumn("hh", F.explode(F.sequence(F.lit(0), F.lit(23))))
     return hours.withColumn("ts", at_hour("d", "hh")).drop("hh")
 

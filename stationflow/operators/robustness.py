@@ -18,13 +18,23 @@ MIN_PERIOD_RENTALS = 300
 PERIODS = {"peak": ("2025-04-01", "2025-09-30"), "low": ("2025-11-01", "2026-02-28")}
 
 
+def in_period(panel: DataFrame, first: str, last: str) -> DataFrame:
+    """Rows from the first to the last day, as a plain range on ``ts`` (reaches the scan).
+
+    A panel stored in month folders (column ``ym``) is pruned to the folders it needs.
+    """
+    start, end = F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("date") + 1
+    rows = panel.where((F.col("ts") >= start) & (F.col("ts") < end.cast("timestamp_ntz")))
+    return rows.where(F.col("ym").between(first[:7].replace("-", ""), last[:7].replace("-", ""))) if "ym" in panel.columns else rows
+
+
 def period_flow(panel: DataFrame, master: DataFrame, days: DataFrame, period: tuple[str, str] | None = None,
                 min_rentals: int = MIN_PERIOD_RENTALS) -> DataFrame:
     """Net outflow per *own active day* of the active stations within a period.
 
     The denominator differs from the metrics table, which divides by all observed days.
     """
-    rows = panel if period is None else panel.where(day_of("ts").between(*[F.lit(d).cast("date") for d in period]))
+    rows = panel if period is None else in_period(panel, *period)
     per_day = (on_observed_days(rows, days).groupBy("station_id", day_of("ts").alias("d"))
                .agg(F.sum("net_out").alias("net_out"), F.sum("rentals").alias("rentals")))
     active = master.where(F.col("station_type") == "ACTIVE").select("station_id")

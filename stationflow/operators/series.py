@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio, round_even
-from ..functions.timecols import day_of, dow, is_weekend, month_label
+from ..functions.timecols import day_of, dow, is_weekend
+from ..runtime import spread
 from .panel import on_observed_days
 
 
@@ -18,8 +19,8 @@ def full_calendar(daily: DataFrame, key: str = "series_key", day: str = "d", val
 
     A zero total means the data is missing, not that nobody rode.
     """
-    spine = (daily.groupBy(key).agg(F.min(day).alias("_a"), F.max(day).alias("_b"))
-             .select(key, F.explode(F.sequence("_a", "_b")).alias(day)))
+    bounds = daily.groupBy(key).agg(F.min(day).alias("_a"), F.max(day).alias("_b"))
+    spine = (spread(bounds, key).select(key, F.explode(F.sequence("_a", "_b")).alias(day)))
     return (spine.join(daily.select(key, day, value), [key, day], "left")
             .withColumn(value, F.nullif(F.col(value), F.lit(0))))
 
@@ -176,10 +177,6 @@ def profile_minimum(profile: DataFrame) -> DataFrame:
         F.min_by("hh", F.struct("cum_raw", "hh")).alias("low_hour"), F.min("cum_raw").alias("low"))
 
 
-def month_of(panel: DataFrame) -> DataFrame:
-    return panel.withColumn("ym", month_label("ts"))
-
-
 def city_series(days: DataFrame, label: str = "city") -> DataFrame:
     return days.select(F.lit(label).alias("series_key"), "d", "n")
 

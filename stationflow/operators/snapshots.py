@@ -16,11 +16,13 @@ WARN_BELOW_PCT = 90
 
 def collection_summary(status: DataFrame, interval_min: int = 5) -> DataFrame:
     """Rows, stations, snapshots, first and last, and the days they amount to."""
-    return status.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_distinct("station_id").alias("stations"),
-        F.count_distinct("collected_at").alias("snapshots"),
-        F.min("collected_at").alias("first"), F.max("collected_at").alias("last")
-    ).withColumn("days", F.col("snapshots") * interval_min / 60 / 24)
+    # Two plain aggregates instead of two distinct counts in one, which would double every row.
+    polls = status.groupBy("collected_at").agg(F.count(F.lit(1)).alias("_n")).agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("snapshots"),
+        F.min("collected_at").alias("first"), F.max("collected_at").alias("last"))
+    seen = status.select("station_id").distinct().agg(F.count(F.lit(1)).alias("stations"))
+    return (polls.crossJoin(F.broadcast(seen))
+            .withColumn("days", F.col("snapshots") * interval_min / 60 / 24))
 
 
 def bikes_per_snapshot(status: DataFrame) -> DataFrame:

@@ -9,12 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.timecols import month_key
 from ..operators import (cleaning, dedup, demand, export, forecast, moves, panel, quality, robustness,
                          series, snapshots, stations, stl, verify)
 from ..runtime import stage
 from ..sources import tables, trip_files
 
 
+def _hourly(spark: SparkSession, out: str) -> DataFrame:
+    return tables.read_by_month(spark, f"{out}/station_hourly", "ym")
+
+
 def run_ingest(spark: SparkSession, raw_dir: str, out: str, **thresholds) -> None:
     """Monthly files -> trips (by month, with duplicate flag), file stats, station tables."""
     manifest = trip_files.file_manifest(spark, raw_dir)
@@ -42,8 +47,9 @@ def build_panel(trips: DataFrame, attributes: DataFrame, current_ids: DataFrame,
     unique = tables.read_table(spark, f"{out}/trips_dedup")
     tables.write_table(moves.moves(unique, **(move_rules or {})), f"{out}/bike_moves")
     moved = tables.read_table(spark, f"{out}/bike_moves")
-    tables.write_table(panel.station_hourly(unique, moved), f"{out}/station_hourly")
-    hourly = tables.read_table(spark, f"{out}/station_hourly")
+    hours = panel.station_hourly(unique, moved).withColumn("ym", month_key("ts"))
+    tables.write_by_month(hours, f"{out}/station_hourly", "ym")
+    hourly = _hourly(spark, out)
     master = stations.station_master(hourly, attributes, current_ids, stations.last_day(unique),
                                      **(type_rules or {}))
     tables.write_table(master, f"{out}/station_master")
@@ -52,7 +58,7 @@ def build_panel(trips: DataFrame, attributes: DataFrame, current_ids: DataFrame,
 
 def analyse(spark: SparkSession, out: str, **use_rules) -> None:
     """Panel -> observed days, metrics, weekday profiles, daily series and its decomposition."""
-    hourly, master = (tables.read_table(spark, f"{out}/{t}") for t in ("station_hourly", "station_master"))
+    hourly, master = _hourly(spark, out), tables.read_table(spark, f"{out}/station_master")
     tables.write_table(panel.city_days(hourly, master), f"{out}/city_days")
     city = tables.read_table(spark, f"{out}/city_days")
     days = panel.observed_days(city)
@@ -69,8 +75,9 @@ def analyse(spark: SparkSession, out: str, **use_rules) -> None:
 
 def stockouts(spark: SparkSession, out: str, min_monthly: float = demand.MIN_MONTHLY,
               threshold: float = demand.DEMAND_THRESHOLD) -> None:
-    hourly, master, metrics, city = (tables.read_table(spark, f"{out}/{t}") for t in (
-        "station_hourly", "station_master", "station_metrics", "city_days"))
+    hourly = _hourly(spark, out)
+    master, metrics, city = (tables.read_table(spark, f"{out}/{t}") for t in (
+        "station_master", "station_metrics", "city_days"))
     chosen = demand.candidates(metrics, master, min_monthly)
     tables.write_table(panel.dense_panel(hourly, chosen, panel.activity_index(city)), f"{out}/dense")
     dense = tables.read_table(spark, f"{out}/dense")
@@ -82,8 +89,9 @@ def stockouts(spark: SparkSession, out: str, min_monthly: float = demand.MIN_MON
 
 def run_forecast(spark: SparkSession, out: str, k: int = 20, holdout_days: int = 7 * forecast.HOLDOUT_WEEKS,
                  seasonal_days: int = 7 * forecast.SEASONAL_WEEKS, iterations: int = 300) -> None:
-    hourly, metrics, city = (tables.read_table(spark, f"{out}/{t}") for t in (
-        "station_hourly", "station_metrics", "city_days"))
+    hourly = _hourly(spark, out)
+    metrics, city = (tables.read_table(spark, f"{out}/{t}") for t in (
+        "station_metrics", "city_days"))
     targets = stations.top_stations(metrics, k)
     axis = panel.continuous_panel(hourly, targets, panel.observed_days(city))
     features = stage(forecast.with_split(forecast.add_features(axis), holdout_days), "features")
@@ -98,8 +106,9 @@ def run_forecast(spark: SparkSession, out: str, k: int = 20, holdout_days: int =
 
 def run_robustness(spark: SparkSession, out: str, periods: dict | None = None,
                    min_rentals: int = robustness.MIN_PERIOD_RENTALS) -> None:
-    hourly, master, metrics, city, moved = (tables.read_table(spark, f"{out}/{t}") for t in (
-        "station_hourly", "station_master", "station_metrics", "city_days", "bike_moves"))
+    hourly = _hourly(spark, out)
+    master, metrics, city, moved = (tables.read_table(spark, f"{out}/{t}") for t in (
+        "station_master", "station_metrics", "city_days", "bike_moves"))
     days = panel.observed_days(city)
     full = stage(robustness.period_flow(hourly, master, days, None, min_rentals), "full")
     rows = [robustness.compare_periods(full, robustness.period_flow(hourly, master, days, span, min_rentals), name)
@@ -111,8 +120,9 @@ def run_robustness(spark: SparkSession, out: str, periods: dict | None = None,
 
 
 def export_dashboard(spark: SparkSession, out: str, target: str) -> None:
-    hourly, master, metrics, city = (tables.read_table(spark, f"{out}/{t}") for t in (
-        "station_hourly", "station_master", "station_metrics", "city_days"))
+    hourly = _hourly(spark, out)
+    master, metrics, city = (tables.read_table(spark, f"{out}/{t}") for t in (
+        "station_master", "station_metrics", "city_days"))
     days = panel.observed_days(city)
     daily = series.full_calendar(series.city_series(city))
     tables.write_documents(export.station_documents(
@@ -127,8 +137,9 @@ def validate(spark: SparkSession, out: str, status: DataFrame) -> bool:
     """Estimates against measured availability; False (and nothing written) with too few snapshots."""
     if not tables.enough_snapshots(status):
         return False
-    hourly, master, metrics = (tables.read_table(spark, f"{out}/{t}") for t in (
-        "station_hourly", "station_master", "station_metrics"))
+    hourly = _hourly(spark, out)
+    master, metrics = (tables.read_table(spark, f"{out}/{t}") for t in (
+        "station_master", "station_metrics"))
     tables.write_table(snapshots.id_coverage(status, master), f"{out}/live_id_coverage")
     tables.write_table(snapshots.estimate_and_measure(hourly, status), f"{out}/live_pairs")
     paired = tables.read_table(spark, f"{out}/live_pairs")

@@ -31,6 +31,15 @@ def staging_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/stationflow/{app}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Spread a small table over all cores before its rows are multiplied.
+
+    A table of stations may sit in one small partition; generating every hour from it there
+    would be one task's work. The explicit number keeps AQE from merging the pieces again.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *columns)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

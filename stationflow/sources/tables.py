@@ -17,18 +17,18 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
 
 
 def write_by_month(df: DataFrame, path: str, column: str = "src_month") -> None:
-    """One folder per month. Each task writes its own rows: nothing is gathered per month,
-    so a month that holds most rows is still written in parallel."""
-    write_table(df, path, [column])
+    """One folder per month. The rebalance hint gives every month few, evenly sized files:
+    AQE merges small months and splits one that holds most rows over several tasks."""
+    write_table(df.hint("rebalance", F.col(column)), path, [column])
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_trip_table(spark: SparkSession, path: str) -> DataFrame:
-    """The month folders; ``src_month`` is text although it looks like a number."""
-    return spark.read.parquet(path).withColumn("src_month", F.col("src_month").cast("string"))
+def read_by_month(spark: SparkSession, path: str, column: str = "src_month") -> DataFrame:
+    """The month folders; the month is text although it may look like a number."""
+    return spark.read.parquet(path).withColumn(column, F.col(column).cast("string"))
 
 
 def write_report(df: DataFrame, path: str, order: list | None = None) -> None:

@@ -107,9 +107,17 @@ def ingest(spark: SparkSession, landing: str, sink: str, checkpoint: str,
             .trigger(availableNow=True).start())
 
 
-def read_status(spark: SparkSession, sink: str) -> DataFrame:
-    """Current status table: newest batch per (collected_at, station_id), plus ``ts``."""
+def read_status(spark: SparkSession, sink: str, first_day: str | None = None,
+                last_day: str | None = None) -> DataFrame:
+    """Current status table: newest batch per (collected_at, station_id), plus ``ts``.
+
+    The optional bounds ('yyyy-MM-dd') are partition filters: only those folders are read.
+    """
     stored = spark.read.parquet(f"{sink}/status")
+    if first_day:
+        stored = stored.where(F.col("collected_date") >= F.lit(first_day).cast("date"))
+    if last_day:
+        stored = stored.where(F.col("collected_date") <= F.lit(last_day).cast("date"))
     return (newest(stored, ["collected_at", "station_id"], ["batch_id"])
             .select(*STATUS_COLUMNS, wall_clock("collected_at").alias("ts")))
 
@@ -124,7 +132,10 @@ def read_quarantine(spark: SparkSession, sink: str) -> DataFrame:
 
 
 def hourly_means(rows: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Mean availability per station and hour; rows older than the watermark are dropped."""
+    """Mean availability per station and hour; rows older than the watermark are dropped.
+
+    A watermark needs a zoned TIMESTAMP; the result is turned back into the wall clock.
+    """
     timed = rows.withColumn("ts", wall_clock("collected_at").cast("timestamp"))
     return (timed.withWatermark("ts", late)
             .groupBy(F.window("ts", "1 hour").alias("w"), "station_id")

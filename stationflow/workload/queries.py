@@ -943,5 +943,5 @@ def trips_by_month(t: Tables):
     """Flagged trips written in month folders and read back."""
     path = staging_path(t.spark, "trips_by_month")
     product.write_by_month(cleaning.flag_duplicates(cleaning.trip_columns(t.clean)), path)
-    return product.read_trip_table(t.spark, path).groupBy("src_month").agg(
+    return product.read_by_month(t.spark, path).groupBy("src_month").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if("f_dup").alias("duplicates"))
