@@ -25,11 +25,11 @@ def _c(ts) -> Column:
 def hour_floor(ts) -> Column:
     """Start of the hour, still TIMESTAMP_NTZ (``date_trunc`` would return a zoned value)."""
     c = _c(ts)
-    return c.cast("date").cast(NTZ) + F.make_dt_interval(F.lit(0), F.hour(c), F.lit(0), F.lit(0))
+    return at_hour(c.cast("date"), F.hour(c))
 
 
 def at_hour(day, hour) -> Column:
-    return _c(day).cast(NTZ) + F.make_dt_interval(F.lit(0), _c(hour), F.lit(0), F.lit(0))
+    return F.timestamp_add("HOUR", _c(hour), _c(day).cast(NTZ))
 
 
 def month_key(ts) -> Column:

@@ -1,65 +1,86 @@
-"""Row order within a key, without putting a whole key into one task.
+"""Row order within a key, without putting a very large key into one task.
 
-A vehicle id may be a placeholder that holds a large part of all trips. A window
-partitioned by that id alone would send all of them to one task. Here every key is cut
-into calendar chunks: the window runs per (key, chunk), and one summary row per chunk
-carries the state over to the next one. The summary has at most one row per key and
-day of data, so the window over it is bounded by the calendar.
+A vehicle id may be a placeholder that holds a third of all trips; a window partitioned by
+the id alone would send all of them to one task. Keys above ``hot_rows`` rows are found
+first (a hash aggregate over the key columns) and cut into hours. The window runs per
+(key, hour), and one extra row per hour of a hot key, sorted first and dropped again,
+brings along what came before: the last row's values and the number of rows so far.
+Other keys stay whole, so without skew this is one shuffle and one sort.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timecols import day_of, hour_floor
+from ..functions.timecols import hour_floor
 
+HOT_ROWS = 1_000_000
 
-def _chunk(at: str, chunk: str):
-    if chunk == "day":
-        return day_of(at)
-    if chunk == "hour":
-        return hour_floor(at)
-    raise ValueError(f"chunk must be 'day' or 'hour', not {chunk!r}")
 
+def group_window(*columns: str) -> Window:
+    """Window per group that compares a 64-bit hash first: sorting then needs the (text) key
+    columns only within a group."""
+    return Window.partitionBy(F.xxhash64(*columns), *columns)
 
-def sequence_number(df: DataFrame, key: list[str], order: list[str], name: str = "seq",
-                    chunk: str = "day") -> DataFrame:
-    """1-based position of each row in its key; ``order[0]`` is the timestamp column."""
-    rows = df.withColumn("_chunk", _chunk(order[0], chunk))
-    per_chunk = rows.groupBy(*key, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_chunk.select(*key, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*key, "_chunk").orderBy(*order)
-    numbered = rows.withColumn("_rn", F.row_number().over(inside))
-    return (numbered.join(offsets, [*key, "_chunk"])
-            .withColumn(name, F.col("_offset") + F.col("_rn"))
-            .select(*df.columns, name))
 
+def hot_keys(df: DataFrame, key: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows: never more than rows / hot_rows of them."""
+    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*key)
 
-def previous_row(df: DataFrame, key: list[str], order: list[str], carry: list[str],
-                 prefix: str = "prev_", chunk: str = "day") -> DataFrame:
-    """``lag`` of the ``carry`` columns; ``order[0]`` is the timestamp column, never null.
 
-    The last row of each chunk is handed to the next non-empty chunk as an extra row that
-    sorts first and is dropped again after the window. Whole rows are shuffled once.
+def _cut(df: DataFrame, key: list[str], at: str, hot_rows: int) -> DataFrame:
+    hot = hot_keys(df, key, hot_rows).select(*[F.col(k).alias(f"_hot_{k}") for k in key], F.lit(True).alias("_hot"))
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
+    # Bounded by rows / hot_rows, see hot_keys.
+    return (df.join(F.broadcast(hot), same, "left")
+            .withColumn("_chunk", F.when(F.col("_hot"), hour_floor(at)))
+            .select(*df.columns, "_hot", "_chunk"))
+
+
+def chained(df: DataFrame, key: list[str], order: list[str], carry: list[str] | None = None,
+            prefix: str = "prev_", seq: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Adds the previous row's ``carry`` columns and, if named, the 1-based position ``seq``.
+
+    ``order[0]`` is a timestamp column without nulls; ``order`` should identify a row.
     """
-    rows = df.withColumn("_chunk", _chunk(order[0], chunk))
+    carry = carry or []
+    rows = _cut(df, key, order[0], hot_rows)
     extra = [c for c in carry if c not in order]
-    last = rows.groupBy(*key, "_chunk").agg(F.max(F.struct(*order, *extra)).alias("_last"))
+    per_chunk = (rows.where("_hot").groupBy(*key, "_chunk")
+                 .agg(F.max(F.struct(*order, *extra)).alias("_last"), F.count(F.lit(1)).alias("_n")))
+    # At most one row per hot key and hour of data.
     by_chunk = Window.partitionBy(*key).orderBy("_chunk")
-    handed = (last.withColumn("_chunk", F.lead("_chunk").over(by_chunk))
+    so_far = F.sum("_n").over(by_chunk.rowsBetween(Window.unboundedPreceding, 0))
+    handed = (per_chunk.select(*key, F.lead("_chunk").over(by_chunk).alias("_chunk"), so_far.alias("_step"), "_last")
               .where(F.col("_chunk").isNotNull())
-              .select(*key, "_chunk", *[F.col(f"_last.{c}").alias(c) for c in carry], F.lit(False).alias("_own")))
-    inside = Window.partitionBy(*key, "_chunk").orderBy("_own", *order)
-    linked = (rows.withColumn("_own", F.lit(True)).unionByName(handed, allowMissingColumns=True)
-              .withColumns({prefix + c: F.lag(c).over(inside) for c in carry})
-              .where("_own"))
-    return linked.select(*df.columns, *[prefix + c for c in carry])
+              .select(*key, "_chunk", "_step", *[F.col(f"_last.{c}").alias(c) for c in carry],
+                      F.lit(False).alias("_own")))
+    own = rows.drop("_hot").withColumns({"_step": F.lit(1).cast("long"), "_own": F.lit(True)})
+    inside = group_window(*key, "_chunk").orderBy("_own", *order)
+    added = {prefix + c: F.lag(c).over(inside) for c in carry}
+    if seq:
+        added[seq] = F.sum("_step").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return (own.unionByName(handed, allowMissingColumns=True).withColumns(added)
+            .where("_own").select(*df.columns, *added))
+
+
+def previous_row(df: DataFrame, key: list[str], order: list[str], carry: list[str],
+                 prefix: str = "prev_", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``lag`` of the ``carry`` columns within a key."""
+    return chained(df, key, order, carry, prefix, hot_rows=hot_rows)
+
+
+def sequence_number(df: DataFrame, key: list[str], order: list[str], name: str = "seq",
+                    hot_rows: int = HOT_ROWS) -> DataFrame:
+    """1-based position of each row in its key."""
+    return chained(df, key, order, seq=name, hot_rows=hot_rows)
 
 
-def first_rows(df: DataFrame, key: list[str], order: list, n: int, name: str = "pos") -> DataFrame:
+def first_rows(df: DataFrame, key: list[str], order: list[str | Column], n: int, name: str = "pos") -> DataFrame:
     """First ``n`` rows per key. Spark limits each map task to ``n`` rows per key before
     the shuffle (window group limit), so a hot key does not reach one task whole."""
-    w = Window.partitionBy(*key).orderBy(*order)
+    w = group_window(*key).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import number
 from ..functions.timecols import parse_timestamp
 from ..runtime import stage
+from .copies import split_copies
 
 # Source header -> column name. The source's X coordinate is the latitude.
 RENAME = {
@@ -97,14 +98,15 @@ def flag_duplicates(df: DataFrame, key: list[str] = TRIP_KEY, within: str = "src
                     salts: int = 64, name: str = "f_dup") -> DataFrame:
     """True on every row of a (file, key) group but its first; all rows are kept.
 
-    Copies may be numerous, so they are never ranked together. Equal rows of one input
-    split collapse to one counted row first; these are ranked per (key, salt), the salt
-    winners are ranked per key (at most ``salts`` rows), and the counted rows are expanded
-    again, each to no more rows than one input split held.
+    Rows with a unique key pass through. Copies may be numerous, so they are never ranked
+    together: equal rows of one input split collapse to one counted row, these are ranked
+    per (key, salt), the salt winners are ranked per key (at most ``salts`` rows), and the
+    counted rows are expanded again, each to no more rows than one input split held.
     """
     group = [within, *key]
     rest = [c for c in df.columns if c not in group]
-    counted = (df.withColumn("_split", F.spark_partition_id())
+    single, copied = split_copies(df, group)
+    counted = (copied.withColumn("_split", F.spark_partition_id())
                .groupBy(*df.columns, "_split").agg(F.count(F.lit(1)).alias("_n")))
     counted = stage(counted, "copies").withColumn(
         "_salt", F.pmod(F.xxhash64(*df.columns, "_split"), F.lit(salts)))
@@ -114,6 +116,6 @@ def flag_duplicates(df: DataFrame, key: list[str] = TRIP_KEY, within: str = "src
     winners = (ranked.where("_rank = 1")
                .withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))))
     numbered = winners.unionByName(ranked.where("_rank > 1"))
-    return (numbered.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-            .withColumn(name, (F.col("_rank") > 1) | (F.col("_copy") > 1))
-            .select(*df.columns, name))
+    flagged = (numbered.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+               .withColumn(name, (F.col("_rank") > 1) | (F.col("_copy") > 1)))
+    return single.withColumn(name, F.lit(False)).unionByName(flagged.select(*df.columns, name))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import stage
 from .chunked import first_rows
 from .cleaning import ATTRIBUTES, TRIP_KEY
+from .copies import split_copies
 
 DEDUP_COLUMNS = ["bike_id", "rent_dt", "rent_st", "ret_dt", "ret_st", "dur_min", "dist_km",
                  "f_ctrl_rent", "f_ctrl_ret", "f_cancel", "src_month"]
@@ -15,11 +17,13 @@ DEDUP_COLUMNS = ["bike_id", "rent_dt", "rent_st", "ret_dt", "ret_st", "dur_min",
 def first_copy(df: DataFrame, key: list[str], file_column: str = "src_month") -> DataFrame:
     """One row per key, taken from the earliest file; remaining columns break ties.
 
-    The ``row_number() = 1`` shape lets Spark keep one row per key and map task before the
-    shuffle, so a key with very many copies stays small. NULL keys form one group.
+    Only rows whose key occurs again are ranked. The ``row_number() = 1`` shape lets Spark
+    keep one row per key and map task before that shuffle, so a key with very many copies
+    stays small. NULL keys form one group.
     """
     rest = [c for c in df.columns if c not in key and c != file_column]
-    return first_rows(df, key, [file_column, *rest], 1, "_pos").drop("_pos")
+    single, copied = split_copies(df, key)
+    return single.unionByName(first_rows(copied, key, [file_column, *rest], 1, "_pos").drop("_pos"))
 
 
 def dedup_trips(trips: DataFrame, key: list[str] = TRIP_KEY) -> DataFrame:
@@ -73,11 +77,25 @@ def station_sides(clean: DataFrame) -> DataFrame:
 def latest_attributes(sides: DataFrame) -> DataFrame:
     """Per station and column the newest non-null value, independent of the others.
 
-    ``max_by`` is combined on the map side, so a busy station costs one row per map task.
+    First the newest time per (station, file, column): plain maxima of fixed-width values, so
+    a hash aggregate with map-side combine. Then only the rows at one of these times are
+    compared in full; a busy station is neither sorted nor gathered.
     """
-    age = ["src_month", "seen_at", "side", "bike_id"]
-    picks = []
+    maxima = [F.max(F.when(F.col(a).isNotNull(), F.col("seen_at"))).alias(f"_at_{a}") for a in ATTRIBUTES]
+    present = [F.count(a).alias(f"_n_{a}") for a in ATTRIBUTES]
+    newest = sides.groupBy("station_id", "src_month").agg(*maxima, *present).groupBy("station_id").agg(*[
+        F.max(F.when(F.col(f"_n_{a}") > 0, F.struct("src_month", F.col(f"_at_{a}").alias("at")))).alias(f"_best_{a}")
+        for a in ATTRIBUTES])
+    # Written, so that its true size (a row per station) decides how it is joined below.
+    newest = stage(newest, "newest")
+    leading = F.lit(False)
     for a in ATTRIBUTES:
-        newest = F.struct(*age, a)
-        picks.append(F.max_by(a, F.when(F.col(a).isNotNull(), newest)).alias(a))
-    return sides.groupBy("station_id").agg(*picks)
+        best = F.col(f"_best_{a}")
+        leading = leading | (F.col(a).isNotNull() & F.col("src_month").eqNullSafe(best["src_month"])
+                             & F.col("seen_at").eqNullSafe(best["at"]))
+    finalists = sides.join(newest, "station_id").where(leading)
+    order = ["src_month", "seen_at", "side", "bike_id"]
+    picks = [F.max_by(a, F.when(F.col(a).isNotNull(), F.struct(*order, a))).alias(a) for a in ATTRIBUTES]
+    # A station without any value has no finalist.
+    return (newest.select("station_id")
+            .join(finalists.groupBy("station_id").agg(*picks), "station_id", "left"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
 from ..functions.timecols import midpoint, minutes_between, overlaps_any
-from .chunked import first_rows, previous_row, sequence_number
+from .chunked import HOT_ROWS, first_rows, previous_row, sequence_number
 
 # Control nodes, and the periods without data.
 CONTROL_IDS = ("ST0001", "ST1220")
@@ -21,10 +21,10 @@ MOVE_COLUMNS = ["bike_id", "from_st", "to_st", "gap_start", "gap_end", "gap_min"
                 "spans_gap", "move_type", "confidence"]
 
 
-def links(trips: DataFrame, chunk: str = "day") -> DataFrame:
+def links(trips: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Consecutive trips of each vehicle: where and when the last one ended, the next began."""
     chained = previous_row(trips.select("bike_id", *TRIP_ORDER), ["bike_id"], TRIP_ORDER,
-                           ["ret_st", "ret_dt"], chunk=chunk)
+                           ["ret_st", "ret_dt"], hot_rows=hot_rows)
     return (chained.where(F.col("prev_ret_st").isNotNull())
             .select("bike_id", F.col("prev_ret_st").alias("from_st"), F.col("rent_st").alias("to_st"),
                     F.col("prev_ret_dt").alias("gap_start"), F.col("rent_dt").alias("gap_end")))
@@ -46,9 +46,9 @@ def classify_moves(breaks: DataFrame, control_ids=CONTROL_IDS, missing_windows=M
             }).select(*MOVE_COLUMNS))
 
 
-def moves(trips: DataFrame, chunk: str = "day", **rules) -> DataFrame:
+def moves(trips: DataFrame, hot_rows: int = HOT_ROWS, **rules) -> DataFrame:
     """Breaks in a trajectory: returned at one station, next rented at another."""
-    broken = links(trips, chunk).where(F.col("from_st") != F.col("to_st"))
+    broken = links(trips, hot_rows).where(F.col("from_st") != F.col("to_st"))
     return classify_moves(broken, **rules)
 
 

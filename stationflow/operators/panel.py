@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timecols import at_hour, day_of, hour_floor
+from ..functions.timecols import at_hour, day_of
 from ..runtime import spread
 
 COUNTS = ["rentals", "returns", "rentals_real", "returns_real", "rentals_to_ctrl", "returns_from_ctrl",
@@ -18,10 +18,10 @@ COUNTS = ["rentals", "returns", "rentals_real", "returns_real", "rentals_to_ctrl
 PANEL_COLUMNS = ["station_id", "ts", *COUNTS, "net_out", "net_flow"]
 
 
-def _event(station, at, **ones):
-    return F.struct(F.col(station).alias("station_id"), hour_floor(at).alias("ts"),
-                    *[F.when(ones[c], 1).otherwise(0).alias(c) if c in ones else F.lit(0).alias(c)
-                      for c in COUNTS])
+def _events(rows: DataFrame, station: str, at: str, **ones) -> DataFrame:
+    return rows.select(F.col(station).alias("station_id"), day_of(at).alias("d"), F.hour(at).alias("hh"),
+                       *[F.when(ones[c], 1).otherwise(0).alias(c) if c in ones else F.lit(0).alias(c)
+                         for c in COUNTS])
 
 
 def station_hourly(trips: DataFrame, moved: DataFrame) -> DataFrame:
@@ -29,22 +29,20 @@ def station_hourly(trips: DataFrame, moved: DataFrame) -> DataFrame:
 
     Each trip and move yields its two station events; one hash aggregate with map-side
     partial sums replaces four aggregates and their joins, so the panel costs one shuffle
-    of already combined rows and a busy station is not a hot partition.
+    of already combined rows and a busy station is not a hot partition. The four inputs are
+    narrow column scans that stay in generated code.
     """
     yes = F.lit(True)
-    trip_events = trips.select(F.inline(F.array(
-        _event("rent_st", "rent_dt", rentals=yes, rentals_real=~F.col("f_cancel"),
-               rentals_to_ctrl=F.col("f_ctrl_ret")),
-        _event("ret_st", "ret_dt", returns=yes, returns_real=~F.col("f_cancel"),
-               returns_from_ctrl=F.col("f_ctrl_rent")))))
     physical = F.col("move_type") == "RELOCATION"
-    move_events = moved.select(F.inline(F.array(
-        _event("from_st", "reloc_ts", reloc_out=yes, reloc_out_phys=physical),
-        _event("to_st", "reloc_ts", reloc_in=yes, reloc_in_phys=physical))))
-    summed = (trip_events.unionByName(move_events)
-              .groupBy("station_id", "ts")
+    events = (_events(trips, "rent_st", "rent_dt", rentals=yes, rentals_real=~F.col("f_cancel"),
+                      rentals_to_ctrl=F.col("f_ctrl_ret"))
+              .unionByName(_events(trips, "ret_st", "ret_dt", returns=yes, returns_real=~F.col("f_cancel"),
+                                   returns_from_ctrl=F.col("f_ctrl_rent")))
+              .unionByName(_events(moved, "from_st", "reloc_ts", reloc_out=yes, reloc_out_phys=physical))
+              .unionByName(_events(moved, "to_st", "reloc_ts", reloc_in=yes, reloc_in_phys=physical)))
+    summed = (events.groupBy("station_id", "d", "hh")
               .agg(*[F.sum(c).cast("int").alias(c) for c in COUNTS]))
-    return (summed
+    return (summed.withColumn("ts", at_hour("d", "hh"))
             .withColumn("net_out", F.col("rentals") - F.col("returns"))
             .withColumn("net_flow", F.col("returns") - F.col("rentals") + F.col("reloc_in") - F.col("reloc_out"))
             .select(*PANEL_COLUMNS))
@@ -52,11 +50,11 @@ def station_hourly(trips: DataFrame, moved: DataFrame) -> DataFrame:
 
 def event_days(trips: DataFrame, rent_st: str, rent_dt: str, ret_st: str, ret_dt: str) -> DataFrame:
     """(station, day) -> rental and return events, from one stacked aggregate."""
-    stacked = trips.select(F.inline(F.array(
-        F.struct(F.col(rent_st).alias("station_id"), day_of(rent_dt).alias("date"),
-                 F.lit(1).alias("rent_events"), F.lit(0).alias("ret_events")),
-        F.struct(F.col(ret_st).alias("station_id"), day_of(ret_dt).alias("date"),
-                 F.lit(0).alias("rent_events"), F.lit(1).alias("ret_events")))))
+    def side(station, at, rents):
+        return trips.select(F.col(station).alias("station_id"), day_of(at).alias("date"),
+                            F.lit(rents).alias("rent_events"), F.lit(1 - rents).alias("ret_events"))
+
+    stacked = side(rent_st, rent_dt, 1).unionByName(side(ret_st, ret_dt, 0))
     return (stacked.where(F.col("station_id").isNotNull() & F.col("date").isNotNull())
             .groupBy("station_id", "date")
             .agg(F.sum("rent_events").cast("int").alias("rent_events"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timecols import day_of, hour_floor, minutes_between
 from ..operators import cleaning, dedup, demand, forecast, moves, panel, stations
-from ..operators.chunked import sequence_number
+from ..operators.chunked import chained
 from ..runtime import stage, staging_path
 from ..sources import trip_files
 from ..streaming import snapshots as live
@@ -59,13 +59,11 @@ class Tables:
     @property
     def event_pairs(self) -> DataFrame:
         """Events 1 and 2, 3 and 4, ... of each user, as columns a.* and b.*."""
-        numbered = sequence_number(self.events.select("user_id", "ts", "event_id", "event_type", "value", "k"),
-                                   ["user_id"], ["ts", "event_id"])
-        event = F.struct("ts", "event_type", "value", "k")
-        return (numbered.groupBy("user_id", F.floor((F.col("seq") + 1) / 2).alias("trip"))
-                .agg(F.max(F.when(F.col("seq") % 2 == 1, event)).alias("a"),
-                     F.max(F.when(F.col("seq") % 2 == 0, event)).alias("b"))
-                .where(F.col("b").isNotNull()))
+        parts = ["ts", "event_type", "value", "k"]
+        linked = chained(self.events.select("user_id", "event_id", *parts), ["user_id"], ["ts", "event_id"],
+                         parts, "a_", "seq")
+        return linked.where(F.col("seq") % 2 == 0).select(
+            "user_id", F.struct(*[F.col(f"a_{c}").alias(c) for c in parts]).alias("a"), F.struct(*parts).alias("b"))
 
     @property
     def raw_trips(self) -> DataFrame:
