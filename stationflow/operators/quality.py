@@ -42,6 +42,14 @@ def file_stats(trips: DataFrame, key: list[str] = TRIP_KEY, file_column: str = "
         *[round_even(ratio(F.col(f), F.col("rows")) * 100, 2).alias(f + "_pct") for f in every])
 
 
+def flag_totals(stats: DataFrame, flags: list[str] = [*FLAGS, "f_dup"]) -> DataFrame:
+    """Count and percent of each flag over all files (from the per-file table)."""
+    sums = stats.agg(F.sum("rows").alias("_rows"), *[F.sum(f).alias(f) for f in flags])
+    return sums.select("_rows", F.inline(F.array(*[
+        F.struct(F.lit(f).alias("flag"), F.col(f).alias("n")) for f in flags]))).select(
+        "flag", "n", round_even(ratio("n", "_rows") * 100, 2).alias("pct"))
+
+
 def station_daily_events(clean: DataFrame) -> DataFrame:
     return event_days(clean, "rent_st", "rent_dt", "ret_st", "ret_dt")
 

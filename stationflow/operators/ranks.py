@@ -15,18 +15,23 @@ from pyspark.sql import functions as F
 BUCKETS = 256
 
 
-def split_points(df: DataFrame, value: str, buckets: int = BUCKETS) -> list[float]:
-    """At most ``buckets - 1`` sorted numbers."""
+def split_points(df: DataFrame, *values: str, buckets: int = BUCKETS) -> dict[str, list[float]]:
+    """At most ``buckets - 1`` sorted numbers per column, from one pass."""
     shares = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(F.col(value).cast("double"), shares, 1000).alias("p")).first()["p"]
-    return sorted(set(found or []))
+    found = df.agg(*[F.percentile_approx(F.col(v).cast("double"), shares, 1000).alias(v) for v in values]).first()
+    return {v: sorted(set(found[v] or [])) for v in values}
 
 
-def running_counts(df: DataFrame, value: str, by: tuple[str, ...] = (), buckets: int = BUCKETS) -> DataFrame:
-    """One row per distinct non-null value (and ``by``): n, n_before, n_total."""
+def running_counts(df: DataFrame, value: str, by: tuple[str, ...] = (),
+                   bounds: list[float] | None = None) -> DataFrame:
+    """One row per distinct non-null value (and ``by``): n, n_before, n_total.
+
+    Any ``bounds`` give the same result; good ones give buckets of similar size.
+    """
     counts = (df.where(F.col(value).isNotNull()).groupBy(*by, value)
               .agg(F.count(F.lit(1)).alias("n")))
-    bounds = split_points(df, value, buckets)
+    if bounds is None:
+        bounds = split_points(df, value)[value]
     if bounds:
         bound_array = F.array(*[F.lit(float(b)) for b in bounds])
         v = F.col(value).cast("double")
@@ -47,9 +52,9 @@ def running_counts(df: DataFrame, value: str, by: tuple[str, ...] = (), buckets:
             .select(*by, value, "n", (F.col("_offset") + F.col("_within")).alias("n_before"), "n_total"))
 
 
-def value_ranks(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
+def value_ranks(df: DataFrame, value: str, name: str = "rank", bounds: list[float] | None = None) -> DataFrame:
     """Rank of each distinct value; rows that share it share the mean of their positions."""
-    running = running_counts(df, value)
+    running = running_counts(df, value, bounds=bounds)
     return running.select(value, (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias(name), "n_total")
 
 
@@ -67,8 +72,9 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
     pairs = both.groupBy(x, y).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = (pairs.join(value_ranks(both, x, "_rx"), x)
-              .join(value_ranks(both, y, "_ry").drop("n_total"), y))
+    bounds = split_points(both, x, y)
+    ranked = (pairs.join(value_ranks(both, x, "_rx", bounds[x]), x)
+              .join(value_ranks(both, y, "_ry", bounds[y]).drop("n_total"), y))
     middle = (F.col("n_total") + 1) / F.lit(2.0)
     dx, dy, n = F.col("_rx") - middle, F.col("_ry") - middle, F.col("_n")
     sums = ranked.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n"), F.sum(n * dx * dy).alias("_xy"),

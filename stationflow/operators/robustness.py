@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio, round_even
@@ -83,9 +83,9 @@ def relocation_time_sensitivity(moved: DataFrame) -> DataFrame:
         F.struct(F.lit(name).alias("assumption"), F.hour(c).alias("hh"))
         for name, c in (("midpoint", "reloc_ts"), ("start", "gap_start"), ("end", "gap_end"))])).alias("a")
     ).groupBy("station_id", "a.assumption", "a.hh").agg(F.count(F.lit(1)).alias("n"))
-    totals = assumed.groupBy("station_id", "assumption").agg(F.sum("n").alias("_all"))
-    return (assumed.join(totals, ["station_id", "assumption"])
-            .withColumn("share_pct", 100 * ratio("n", "_all")).drop("_all"))
+    # At most 24 rows per window.
+    total = F.sum("n").over(Window.partitionBy("station_id", "assumption"))
+    return assumed.withColumn("share_pct", 100 * ratio(F.col("n"), total))
 
 
 def relocation_time_summary(hours: DataFrame) -> DataFrame:

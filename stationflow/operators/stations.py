@@ -212,10 +212,16 @@ def histogram(df: DataFrame, value: str, bins: int, upper_share: float | None =
             .groupBy("bin").agg(F.count(F.lit(1)).alias("n")))
 
 
+def magnitude_limit(df: DataFrame, columns: list[str], share: float) -> DataFrame:
+    """One row: quantile of the absolute values of station-level columns, the range to show."""
+    values = df.select(F.explode(F.array(*[F.abs(c) for c in columns])).alias("v"))
+    return values.agg(F.percentile("v", share).alias("lim"))
+
+
 def map_points(metrics: DataFrame, share: float = 0.98) -> DataFrame:
     """Net outflow clipped at a quantile of its magnitude, for stations with coordinates."""
     located = metrics.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    lim = located.agg(F.percentile(F.abs("net_out_per_day"), share).alias("lim"))
+    lim = magnitude_limit(located, ["net_out_per_day"], share)
     return located.crossJoin(F.broadcast(lim)).select(
         "station_id", "lat", "lon", clip("net_out_per_day", -F.col("lim"), F.col("lim")).alias("shown"),
         (F.sqrt("total_events") * 0.28).alias("size"))

@@ -89,7 +89,7 @@ def write_batch(raw: DataFrame, batch_id: int, sink: str) -> None:
     polls = parse_polls(with_arrival(raw)).persist()
     try:
         rows = upsert_rows(polls).withColumn("collected_date", F.substring("collected_at", 1, 10))
-        (rows.write.mode("overwrite").partitionBy("collected_date")
+        (rows.hint("rebalance", F.col("collected_date")).write.mode("overwrite").partitionBy("collected_date")
          .parquet(f"{sink}/status/batch_id={batch_id}"))
         poll_log(polls).write.mode("overwrite").parquet(f"{sink}/log/batch_id={batch_id}")
         (polls.where(F.col("items").isNull()).select("collected_at", "body", "_corrupt_record", "message")

@@ -33,9 +33,7 @@ ITEM_KEY = ["l_orderkey", "l_linenumber"]
        AS t(src_month, encoding, has_files)""")
 def file_manifest(t: Tables):
     found = trip_files.file_manifest(t.spark, t.trip_folder)
-    # A small table may leave a part file with nothing but its ASCII-free header.
-    return found.groupBy("src_month").agg(F.max("encoding").alias("_m"), F.min("encoding").alias("encoding"),
-                                          (F.count(F.lit(1)) > 0).alias("has_files"))
+    return found.groupBy("src_month", "encoding").agg((F.sum("length") > 0).alias("has_files"))
 
 
 @query(CLEAN, "SELECT * FROM clean")
@@ -68,18 +66,29 @@ def clean_trips(t: Tables):
 
 @query("src_month:s rows:i data_month_main:s data_days:i rows_off_month:i f_ctrl_rent:i f_ctrl_ret:i f_cancel:i f_dur_out:i "
        "f_dist_out:i f_time_bad:i f_dup:i f_cancel_pct:f f_time_bad_pct:f", """
-    SELECT src_month, count(*) AS rows, '202401' AS data_month_main, count(DISTINCT rent_dt::DATE) AS data_days,
+    SELECT src_month, count(*) AS rows, any_value(data_month_main) AS data_month_main, count(DISTINCT rent_dt::DATE) AS data_days,
            count(*) FILTER (WHERE strftime(rent_dt, '%Y%m') IS DISTINCT FROM src_month) AS rows_off_month,
            sum(f_ctrl_rent::INT) AS f_ctrl_rent, sum(f_ctrl_ret::INT) AS f_ctrl_ret, sum(f_cancel::INT) AS f_cancel,
            sum(f_dur_out::INT) AS f_dur_out, sum(f_dist_out::INT) AS f_dist_out, sum(f_time_bad::INT) AS f_time_bad,
            sum((copy_no > 1)::INT) AS f_dup, round_even(sum(f_cancel::INT) / count(*)::DOUBLE * 100 * 100, 0) / 100 AS f_cancel_pct,
            round_even(sum(f_time_bad::INT) / count(*)::DOUBLE * 100 * 100, 0) / 100 AS f_time_bad_pct
     FROM (SELECT *, row_number() OVER (PARTITION BY src_month, bike_id, rent_dt, ret_dt, rent_st, ret_st ORDER BY dur_min) AS copy_no
-          FROM clean) GROUP BY src_month""")
+          FROM clean)
+    JOIN (SELECT src_month, m AS data_month_main FROM (SELECT src_month, strftime(rent_dt, '%Y%m') AS m,
+             row_number() OVER (PARTITION BY src_month ORDER BY count(*) DESC, m) AS pos
+          FROM clean WHERE rent_dt IS NOT NULL GROUP BY 1, 2) WHERE pos = 1) USING (src_month) GROUP BY src_month""")
 def file_quality(t: Tables):
     return quality.file_stats(cleaning.trip_columns(t.clean))
 
 
+@query("flag:s n:i pct:f", " UNION ALL ".join(
+    f"SELECT '{f}' AS flag, sum({f}::INT) AS n, round_even(sum({f}::INT) / count(*)::DOUBLE * 100 * 100, 0) / 100 AS pct FROM clean"
+    for f in cleaning.FLAGS) + """ UNION ALL SELECT 'f_dup', sum((copy_no > 1)::INT), round_even(sum((copy_no > 1)::INT) / count(*)::DOUBLE * 100 * 100, 0) / 100
+    FROM (SELECT row_number() OVER (PARTITION BY src_month, bike_id, rent_dt, ret_dt, rent_st, ret_st ORDER BY dur_min) AS copy_no FROM clean)""")
+def flag_totals(t: Tables):
+    return quality.flag_totals(quality.file_stats(cleaning.trip_columns(t.clean)))
+
+
 def _items(t: Tables):
     shipped = F.col("l_shipdate").cast("timestamp_ntz")
     quarter = F.trunc(day_of(shipped), "QUARTER")
@@ -642,6 +651,15 @@ def seasonal_flips(t: Tables):
     return robustness.seasonal_flips(_flow(t, "first"), _flow(t, "second"))
 
 
+@query("lim:f", """
+    SELECT quantile_cont(v, 0.99) AS lim FROM (SELECT abs(a.npd) AS v FROM flows_first a JOIN flows_second b USING (station_id)
+           UNION ALL SELECT abs(b.npd) FROM flows_first a JOIN flows_second b USING (station_id))""", grain="fine")
+def period_scatter_limit(t: Tables):
+    both = _flow(t, "first").select("station_id", F.col("npd").alias("a")).join(
+        _flow(t, "second").select("station_id", F.col("npd").alias("b")), "station_id")
+    return stations.magnitude_limit(both, ["a", "b"], 0.99)
+
+
 _ASSUMED = """SELECT station_id, assumption, hh, count(*) AS n, 100 * (count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY station_id, assumption)) AS share_pct
     FROM (SELECT to_st AS station_id, unnest(['midpoint', 'start', 'end']) AS assumption, unnest([hour(reloc_ts), hour(gap_start), hour(gap_end)]) AS hh
           FROM moves WHERE move_type = 'RELOCATION' AND NOT spans_gap) GROUP BY 1, 2, 3"""
