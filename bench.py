@@ -38,7 +38,8 @@ def main() -> None:
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("bench")
              .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g"))
-             .config("spark.sql.session.timeZone", "UTC").getOrCreate())
+             .config("spark.sql.session.timeZone", "UTC")
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
 
     def drain(name: str, tables: Tables):

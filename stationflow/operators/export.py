@@ -68,8 +68,10 @@ def station_documents(metrics: DataFrame, monthly: DataFrame, profile: DataFrame
                              F.array("rentals", "returns").alias("profile")), "id", "left"))
 
 
-def dashboard_meta(daily: DataFrame, days: DataFrame) -> DataFrame:
-    """One row of period and day counts; ``daily`` is the full calendar with NULL gaps."""
+def dashboard_meta(daily: DataFrame, days: DataFrame, trips: DataFrame) -> DataFrame:
+    """One row of period, day and trip counts; ``daily`` is the full calendar with NULL gaps."""
+    total = trips.agg(F.count(F.lit(1)).alias("total_trips"))
     return (daily.agg(F.min("d").alias("first"), F.max("d").alias("last"),
                       F.count("n").alias("obs_days"), F.count_if(F.col("n").isNull()).alias("missing_days"))
-            .crossJoin(F.broadcast(days.agg(F.count_if(dow("d") <= 4).alias("weekday_days")))))
+            .crossJoin(F.broadcast(days.agg(F.count_if(dow("d") <= 4).alias("weekday_days"))))
+            .crossJoin(F.broadcast(total)))

@@ -128,7 +128,8 @@ def export_dashboard(spark: SparkSession, out: str, target: str) -> None:
     tables.write_documents(export.station_documents(
         metrics, export.monthly_arrays(hourly, master, days), export.profile_arrays(hourly, master, days)),
         f"{target}/stations")
-    tables.write_documents(export.dashboard_meta(daily, days).crossJoin(
+    tables.write_documents(export.dashboard_meta(
+        daily, days, tables.read_table(spark, f"{out}/trips_dedup")).crossJoin(
         F.broadcast(export.observed_months(days))), f"{target}/meta")
     tables.write_documents(daily.select("d", "n"), f"{target}/daily")
 

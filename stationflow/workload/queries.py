@@ -939,11 +939,12 @@ def station_documents(t: Tables):
     return t.spark.read.schema(documents.schema).json(path).withColumn("rentals", F.col("profile")[0])
 
 
-@query("first:s last:s obs_days:i missing_days:i weekday_days:i", """
+@query("first:s last:s obs_days:i missing_days:i weekday_days:i total_trips:i", """
     SELECT min(d) AS first, max(d) AS last, (SELECT count(*) FROM obs) AS obs_days,
-           datediff('day', min(d), max(d)) + 1 - (SELECT count(*) FROM obs) AS missing_days, (SELECT n_weekday FROM day_n) AS weekday_days FROM city""")
+           datediff('day', min(d), max(d)) + 1 - (SELECT count(*) FROM obs) AS missing_days, (SELECT n_weekday FROM day_n) AS weekday_days,
+           (SELECT count(*) FROM trips) AS total_trips FROM city""")
 def dashboard_meta(t: Tables):
-    return export.dashboard_meta(series.full_calendar(series.city_series(t.city)), t.days)
+    return export.dashboard_meta(series.full_calendar(series.city_series(t.city)), t.days, t.trips)
 
 
 @query("station_id:s net_out:i net_out_per_day:f use_type:s", "SELECT * FROM metrics", grain="fine")
