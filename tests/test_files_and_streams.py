@@ -3,7 +3,6 @@ import unicodedata
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from stationflow import runtime
 from stationflow.operators import cleaning, quality, snapshots
