@@ -576,7 +576,7 @@ def continuous_panel(t: Tables):
     SELECT *, sin(2 * pi() * hh / 24) AS hour_sin, cos(2 * pi() * hh / 24) AS hour_cos, sin(2 * pi() * dw / 7) AS dow_sin,
            cos(2 * pi() * dw / 7) AS dow_cos, dw >= 5 AS is_weekend FROM feats""")
 def forecast_features(t: Tables):
-    return t.features
+    return forecast.add_features(panel.continuous_panel(t.panel, stations.top_stations(t.metrics, 20), t.days))
 
 
 @query("station_id:s ts:s net_out:i b0_pred:f b1_pred:f", "SELECT * FROM tested")
