@@ -27,10 +27,13 @@ _GAP[[0x20, *range(0x09, 0x0E)]] = True
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Deletes a staged folder through Hadoop's file system, wherever it lies."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def drop_staged(df: DataFrame) -> None:
+    """Deletes the folder of a staged table, through Hadoop's file system. Nothing may read it any more."""
+    files = df.inputFiles()
+    if files:
+        spark = df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -84,17 +87,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words between white space (0x20, 0x09-0x0D), A-Z lower-cased: a 64-bit hash and the row of each.
+def hashed_runs(raw: np.ndarray, at: np.ndarray, gap: np.ndarray,
+                prefixes: tuple[int, ...] = ()) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Runs of bytes outside ``gap``, A-Z lower-cased: a 64-bit hash and the row of each.
 
-    The hash of a word is its polynomial over the bytes, read off one running sum over the whole buffer.
+    Then the same for the first bytes of each run that is longer than a number of ``prefixes``. A hash
+    is the polynomial of the run's bytes, read off one running sum over the whole buffer.
     """
     start = int(at[0])
     data = raw[start:int(at[-1])]
     at = at - start
     if not len(data):
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    inside = ~_GAP[data]
+        return [(np.zeros(0, U64), np.zeros(0, np.int64))] * (1 + len(prefixes))
+    inside = ~gap[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -105,5 +110,17 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     up, down = _powers(len(data))
     running = np.zeros(len(data) + 1, dtype=U64)
     np.cumsum((_LOWER[data].astype(U64) + U64(1)) * up, out=running[1:])
-    value = (running[end] - running[begin]) * down[begin]
-    return mix(value ^ ((end - begin).astype(U64) << U64(48))), np.searchsorted(at, begin, "right") - 1
+    row = np.searchsorted(at, begin, "right") - 1
+    low = running[begin]
+    found = [(mix(((running[end] - low) * down[begin]) ^ ((end - begin).astype(U64) << U64(48))), row)]
+    for size in prefixes:
+        longer = end - begin > size
+        b = begin[longer]
+        value = (running[b + size] - low[longer]) * down[b]
+        found.append((mix(value ^ U64((size << 48) | (1 << 63))), row[longer]))
+    return found
+
+
+def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words between white space (0x20, 0x09-0x0D): a 64-bit hash and the row of each."""
+    return hashed_runs(raw, at, _GAP)[0]

@@ -36,3 +36,30 @@ def near_groups(docs, width, percent):
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
     return {i: root(i) for i, _ in docs}, {i: len(s) for i, s in sets}
+
+
+_NOT_WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def overlaps(docs, items, window=13):
+    """docs, items: (id, text) -> sorted (doc_id, n_words, n_hit, sorted item ids as text, contaminated)."""
+    def words(t):
+        return _NOT_WORD.findall((t or "").translate(LOWER))
+
+    wanted = {}
+    for i, t in items:
+        w = words(t)
+        for s in range(max(1, len(w) - window + 1) if w and i is not None else 0):
+            wanted.setdefault(tuple(w[s:s + window]), set()).add(str(i))
+    sizes = sorted({len(k) for k in wanted})
+    out = []
+    for i, t in docs:
+        w, hit, found = words(t), set(), set()
+        for n in sizes:
+            for s in range(len(w) - n + 1):
+                ids = wanted.get(tuple(w[s:s + n]))
+                if ids:
+                    found |= ids
+                    hit.update(range(s, s + n))
+        out.append((i, len(w), len(hit), ",".join(sorted(found)), bool(hit) and 20 * len(hit) >= len(w)))
+    return sorted(out, key=repr)
