@@ -34,7 +34,7 @@ _ESCAPED = re.compile(r"<(\\*)\\\|")
 
 def escape(text: Column) -> Column:
     """``<|`` becomes ``<\\|``; what already looks escaped gets one more backslash."""
-    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\\\|")
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
 
 
 def unescape(text: str) -> str:
@@ -68,7 +68,7 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
                   .agg(least.alias("m")).select("conv_id", "msg_id", "m.*"), "messages")
     ids = nodes.select("conv_id", F.col("msg_id").alias("parent_id"), F.lit(True).alias("known"))
     reach = stage(nodes.join(ids, ["conv_id", "parent_id"], "left").select(
-        "conv_id", "msg_id", F.when("known", F.col("parent_id")).alias("up"), "score", F.lit(1).cast("long").alias("length")), "reach")
+        "conv_id", "msg_id", F.when(F.col("known"), F.col("parent_id")).alias("up"), "score", F.lit(1).cast("long").alias("length")), "reach")
     jumps = []
     left = reach.where("up IS NOT NULL").count()
     total = nodes.count()
