@@ -32,6 +32,7 @@ def clip(x, low=None, high=None) -> Column:
 
 
 def number(text, kind: str = "double") -> Column:
-    """Numeric coercion, anything unreadable becomes NULL."""
-    return F.trim(_c(text)).try_cast(kind)
+    """Numeric coercion, anything unreadable becomes NULL, NaN too."""
+    value = F.trim(_c(text)).try_cast(kind)
+    return F.when(~F.isnan(value), value) if kind in ("double", "float") else value
 

@@ -90,15 +90,24 @@ def cyclical(value, period: int) -> tuple[Column, Column]:
     return F.sin(angle), F.cos(angle)
 
 
+# Other date shapes -> ISO order, applied in turn: 2025/03/04, 2025.03.04; 20250304; 03/04/2025 (month first).
+_DATE_SHAPES = ((r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})\b", "$1-$2-$3"), (r"^(\d{4})(\d{2})(\d{2})(?!\d)", "$1-$2-$3"),
+                (r"^(\d{1,2})/(\d{1,2})/(\d{4})\b", "$3-$1-$2"))
+
+
 def parse_timestamp(text, extra_formats=()) -> Column:
     """Timestamp text of mixed shape; NULL when nothing fits.
 
     The native cast reads 'yyyy-MM-dd HH:mm:ss', the same without seconds, and ISO forms,
-    so a month published at minute resolution is not lost. Further shapes can be added.
+    so a month published at minute resolution is not lost. Other common date shapes are put
+    into ISO order first. Further formats can be added.
     """
     c = F.trim(_c(text))
+    iso = c
+    for shape, order in _DATE_SHAPES:
+        iso = F.regexp_replace(iso, shape, order)
     extra = [F.try_to_timestamp(c, F.lit(f)).cast(NTZ) for f in extra_formats]
-    return F.coalesce(c.try_cast(NTZ), *extra)
+    return F.coalesce(c.try_cast(NTZ), *extra, iso.try_cast(NTZ))
 
 
 def wall_clock(text) -> Column:

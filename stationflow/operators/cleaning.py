@@ -32,6 +32,7 @@ RENAME = {
     "이용시간(분)": "dur_min",
     "이용거리(km)": "dist_km",
 }
+# Thresholds, key, flag and column names of the published tables.
 CONTROL_KEYWORD = "관제"
 MAX_DURATION_MIN = 24 * 60
 MAX_DISTANCE_KM = 40.0
@@ -79,8 +80,9 @@ def add_flags(df: DataFrame, control_keyword: str = CONTROL_KEYWORD,
 
 
 def narrow(df: DataFrame) -> DataFrame:
+    """Small types; a missing duration, or one that no int holds, becomes -1."""
     return df.withColumns({
-        "dur_min": F.coalesce(F.col("dur_min"), F.lit(-1)).cast("int"),
+        "dur_min": F.coalesce(F.col("dur_min").try_cast("int"), F.lit(-1)),
         "dist_km": F.col("dist_km").cast("float"),
     })
 

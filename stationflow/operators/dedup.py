@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..runtime import stage
 from .chunked import first_rows
 from .cleaning import ATTRIBUTES, TRIP_KEY
-from .copies import split_copies
 
 DEDUP_COLUMNS = ["bike_id", "rent_dt", "rent_st", "ret_dt", "ret_st", "dur_min", "dist_km",
                  "f_ctrl_rent", "f_ctrl_ret", "f_cancel", "src_month"]
@@ -17,13 +16,11 @@ DEDUP_COLUMNS = ["bike_id", "rent_dt", "rent_st", "ret_dt", "ret_st", "dur_min",
 def first_copy(df: DataFrame, key: list[str], file_column: str = "src_month") -> DataFrame:
     """One row per key, taken from the earliest file; remaining columns break ties.
 
-    Only rows whose key occurs again are ranked. The ``row_number() = 1`` shape lets Spark
-    keep one row per key and map task before that shuffle, so a key with very many copies
-    stays small. NULL keys form one group.
+    One shuffle by key: the ``row_number() = 1`` shape lets Spark keep one row per key and map
+    task before it, so a key with very many copies stays small. NULL keys form one group.
     """
     rest = [c for c in df.columns if c not in key and c != file_column]
-    single, copied = split_copies(df, key)
-    return single.unionByName(first_rows(copied, key, [file_column, *rest], 1, "_pos").drop("_pos"))
+    return first_rows(df, key, [file_column, *rest], 1, "_pos").drop("_pos")
 
 
 def dedup_trips(trips: DataFrame, key: list[str] = TRIP_KEY) -> DataFrame:
@@ -49,11 +46,11 @@ def republished_files(stats: DataFrame, rows: DataFrame, key: list[str],
     """
     suspects = (stats.where(F.col("data_month_main") != F.col(file_column))
                 .select(F.col(file_column).alias("file_a"), F.col("data_month_main").alias("file_b")))
-    keys = rows.select(file_column, *key).distinct()
-    # At most one row per source file: no larger than the file listing the driver already holds.
-    mine = (keys.join(F.broadcast(suspects), F.col(file_column) == F.col("file_a"))
-            .select("file_a", "file_b", *key))
-    other = keys.withColumnRenamed(file_column, "file_b").withColumn("_hit", F.lit(1))
+    # Only rows of files on either side of a couple reach the distinct.
+    mine = rows.select(file_column, *key).join(suspects, F.col(file_column) == F.col("file_a")).select("file_a", "file_b", *key).distinct()
+    compared = suspects.select(F.col("file_b").alias(file_column)).distinct()
+    other = (rows.select(file_column, *key).join(compared, file_column, "left_semi").distinct()
+             .withColumnRenamed(file_column, "file_b").withColumn("_hit", F.lit(1)))
     same = F.lit(True)
     left, right = mine.alias("l"), other.alias("r")
     for c in ["file_b", *key]:

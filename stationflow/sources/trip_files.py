@@ -2,129 +2,145 @@
 
 from __future__ import annotations
 
-import codecs
 import csv
-import io
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
-from urllib.parse import quote
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.types import BooleanType
 
-from ..operators.cleaning import RENAME, rename_source
+from ..operators.cleaning import RENAME
+from ..runtime import stage
 
-HEAD_BYTES = 1_000_000
-MANIFEST_SCHEMA = "path string, length bigint, encoding string, header array<string>"
-# Encoding name -> charset name Spark's CSV reader wants.
-CHARSETS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp949": "MS949"}
+# Files whose listing is broadcast; a longer listing is joined by a shuffle.
+BROADCAST_FILES = 200_000
+KOREAN = "MS949"
 
 
-def _head(path: str, n: int) -> bytes:
-    from pyarrow import fs
-    if path.startswith("file:"):
-        store, name = fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
-    else:
-        store, name = fs.FileSystem.from_uri(quote(path, safe=":/@"))
-    with store.open_input_stream(name) as f:
-        return f.read(n)
-
-
-def _encoding(head: bytes) -> str | None:
-    """BOM, else the first of utf-8 and cp949 that decodes; a character cut at the end is fine."""
-    if head.startswith(codecs.BOM_UTF8):
-        return "utf-8-sig"
-    for name in ("utf-8", "cp949"):
-        try:
-            codecs.getincrementaldecoder(name)().decode(head, False)
-            return name
-        except UnicodeDecodeError:
-            pass
-    return None
-
-
-def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for path, length in zip(pdf["path"], pdf["length"]):
-            head = _head(path, HEAD_BYTES)
-            encoding = _encoding(head)
-            header = None
-            if encoding:
-                first = head.split(b"\n", 1)[0].decode(encoding, "replace")
-                header = next(csv.reader(io.StringIO(first)), [])
-            rows.append((path, length, encoding, header))
-        yield pd.DataFrame(rows, columns=["path", "length", "encoding", "header"])
+@contextmanager
+def java_charsets(spark: SparkSession):
+    """Spark reads only a few charsets unless Java's are allowed; the setting is put back afterwards."""
+    name = "spark.sql.legacy.javaCharsets"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def month_from_path(path: Column) -> Column:
-    """'...(25년09월)...' -> '202509'; the syllables may be stored composed or decomposed."""
+    """'...(25년09월)...' -> '202509', from the last such part; the syllables may be stored composed or decomposed."""
     def either(s):
         return f"(?:{s}|{unicodedata.normalize('NFD', s)})"
-    pattern = rf"\((\d{{2}}){either('년')}(\d{{2}}){either('월')}\)"
+    pattern = rf"^[\s\S]*\((\d{{2}}){either('년')}(\d{{2}}){either('월')}\)"
     year, month = F.regexp_extract(path, pattern, 1), F.regexp_extract(path, pattern, 2)
     return F.when(year != "", F.concat(F.lit("20"), year, month))
 
 
+def file_of() -> Column:
+    """Decoded path of the file a row came from."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def _raw_lines(spark: SparkSession, directory: str, glob: str) -> DataFrame:
+    """Undecoded lines with their file; a byte order mark is left out by the reader."""
+    return (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(directory)
+            .select(F.col("value").cast("binary").alias("line"), file_of().alias("path"), F.col("_metadata.file_size").alias("length"),
+                    F.col("_metadata.file_block_start").alias("block")))
+
+
+@F.pandas_udf(BooleanType())
+def _is_korean(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def fits(line):
+        try:
+            return None if line is None else bytes(line).decode("cp949") is not None
+        except UnicodeDecodeError:
+            return False
+
+    for batch in lines:
+        yield batch.map(fits, na_action="ignore").astype(object)
+
+
 def file_manifest(spark: SparkSession, directory: str, glob: str = "*.csv") -> DataFrame:
-    """One row per file: path, length, encoding, header, src_month.
+    """One row per file: path, length, encoding (utf-8, cp949 or NULL), header line, src_month, root, glob.
 
-    Only the first megabyte of each file is read, by the task that holds its row.
+    Every line of a file is looked at: the file is utf-8 if all of them are, else cp949 if all are that.
     """
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-             .option("recursiveFileLookup", "true").load(directory).select("path", "length"))
-    probed = files.repartition(F.col("path")).mapInPandas(_probe, MANIFEST_SCHEMA)
-    return probed.withColumn("src_month", month_from_path(F.col("path")))
+    lines = _raw_lines(spark, directory, glob).withColumn("at", F.monotonically_increasing_id())
+    utf8 = F.is_valid_utf8(F.col("line").cast("string"))
+    judged = lines.withColumns({"utf8": utf8, "korean": F.coalesce(utf8, F.lit(False)) | F.coalesce(
+        _is_korean(F.when(~utf8, F.col("line"))), F.lit(False))})
+    files = judged.groupBy("path", "length").agg(
+        F.every("utf8").alias("utf8"), F.every("korean").alias("korean"),
+        F.min(F.struct("block", "at", "line")).alias("first"))
+    encoding = F.when(F.col("utf8"), "utf-8").when(F.col("korean"), "cp949")
+    return files.select("path", "length", encoding.alias("encoding"), F.col("first.line").alias("header"),
+                        month_from_path(F.col("path")).alias("src_month"), F.lit(directory).alias("root"), F.lit(glob).alias("glob"))
 
 
-def file_of() -> Column:
-    """Decoded path of the file a row came from."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+def _fields(encoding: str, header: bytes) -> list[str]:
+    return next(csv.reader([bytes(header).decode(encoding)]), [])
 
 
 def read_trips(spark: SparkSession, manifest: DataFrame, names: dict[str, str] = RENAME) -> DataFrame:
     """All files as text columns under their new names, plus ``file`` and ``src_month``.
 
-    Files are grouped by (encoding, header) and each group is one splittable scan. The
-    manifest (one row per file) is collected, as the driver lists the files anyway.
+    One scan of the text: a line is decoded and split by the (encoding, header) of its file. Only the
+    distinct headers reach the driver, not the files.
     """
-    groups: dict[tuple, list[str]] = {}
-    for row in manifest.collect():
-        if row["encoding"] is None:
-            raise ValueError(f"unknown encoding: {row['path']}")
-        if row["src_month"] is None:
-            raise ValueError(f"no month in file name: {row['path']}")
-        missing = sorted(set(names) - set(row["header"]))
-        if missing:
-            raise ValueError(f"{row['path']}: source columns missing: {missing}")
-        groups.setdefault((CHARSETS[row["encoding"]], tuple(row["header"])), []).append(row["path"])
-    if not groups:
+    manifest = stage(manifest, "manifest")
+    for column, fault in (("encoding", "unknown encoding"), ("src_month", "no month in file name")):
+        bad = manifest.where(F.col(column).isNull()).select("path").head()
+        if bad:
+            raise ValueError(f"{fault}: {bad.path}")
+    kinds = manifest.groupBy("encoding", "header").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("files"),
+                                                       F.first("root").alias("root"), F.first("glob").alias("glob")).collect()
+    if not kinds:
         raise ValueError("no trip files found")
-    parts = []
-    for (charset, header), paths in sorted(groups.items()):
-        if charset == "MS949":
-            # Spark reads only a few charsets unless Java's are allowed again.
-            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-        schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
-        scan = (spark.read.schema(schema).option("header", "true").option("encoding", charset)
-                .option("escape", '"').csv(sorted(paths)))
-        parts.append(rename_source(scan.select(*names, file_of().alias("file")), names))
-    rows = reduce(DataFrame.unionByName, parts)
-    return rows.withColumn("src_month", month_from_path(F.col("file")))
+    number = {(k.encoding, bytes(k.header)): i for i, k in enumerate(kinds)}
+    rows = F.lit(None)
+    with java_charsets(spark):
+        for k in kinds:
+            fields = _fields(k.encoding, k.header)
+            missing = sorted(set(names) - set(fields))
+            if missing:
+                raise ValueError(f"{k.path}: source columns missing: {missing}")
+            text = F.decode("line", KOREAN) if k.encoding == "cp949" else F.col("line").cast("string")
+            parsed = F.from_csv(text, _ddl(fields), {"escape": '"'})
+            chosen = F.struct(*[parsed.getField(f).alias(n) for f, n in names.items()])
+            mine = F.col("kind") == number[(k.encoding, bytes(k.header))]
+            rows = F.when(mine, chosen).otherwise(rows)
+        kind = F.coalesce(*[F.when((F.col("encoding") == e) & (F.col("header") == F.lit(h)), F.lit(i)) for (e, h), i in number.items()])
+        listed = manifest.select("path", kind.alias("kind"), "header")
+        if sum(k.files for k in kinds) <= BROADCAST_FILES:
+            listed = F.broadcast(listed)
+        lines = _raw_lines(spark, kinds[0].root, kinds[0].glob).select("line", "path").where(F.length(F.trim(F.col("line").cast("string"))) > 0)
+        data = lines.join(listed, "path").where(F.col("line") != F.col("header")).select(F.col("path").alias("file"), rows.alias("row"))
+        return data.select("row.*", "file").withColumn("src_month", month_from_path(F.col("file")))
+
+
+def _ddl(fields: list[str]) -> str:
+    return ", ".join(f"`{f.replace('`', '``')}` STRING" for f in fields)
 
 
 def read_lines(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Raw text lines with their file, for the load completeness check."""
-    paths = sorted(r["path"] for r in manifest.select("path").collect())
-    return spark.read.text(paths).select("value", file_of().alias("file"))
+    where = manifest.select("root", "glob").head()
+    return _raw_lines(spark, where.root, where.glob).select(F.col("line").alias("value"), F.col("path").alias("file"))
 
 
-def read_station_list(spark: SparkSession, path: str, charset: str = "MS949") -> DataFrame:
+def read_station_list(spark: SparkSession, path: str, charset: str = KOREAN) -> DataFrame:
     """Ids of the stations currently operated: first column of a CSV, trimmed."""
-    if charset == "MS949":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    table = spark.read.option("header", "true").option("encoding", charset).csv(path)
-    return table.select(F.trim(F.col(f"`{table.columns[0]}`")).alias("station_id"))
+    lines = spark.read.text(path).select(F.col("value").cast("binary").alias("line"))
+    with java_charsets(spark):
+        text = lines.select(F.decode("line", charset).alias("text"))
+        first = text.select(F.trim(F.from_csv("text", "station_id STRING", {"escape": '"'}).getField("station_id")).alias("station_id"))
+    header = spark.read.text(path).select(F.col("value").cast("binary").alias("line")).head()
+    if header is None:
+        return first
+    name = F.lit(_fields("cp949" if charset == KOREAN else charset, header.line)[0])
+    return first.where(F.col("station_id") != F.trim(name))

@@ -8,17 +8,16 @@ per key wins when the table is read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.payload import ALIASES, normalise, pick, unwrap
-from ..functions.timecols import wall_clock
+from ..functions.timecols import hour_floor, wall_clock
 
 LANDING_SCHEMA = "collected_at string, body string, _corrupt_record string"
 STATUS_COLUMNS = ["collected_at", "station_id", "station_name", "bikes_available", "lat", "lon",
                   "address", "raw_json"]
-MESSAGE_LENGTH = 500
 _ARRIVAL = ["_file_time", "_file", "_block", "_line"]
 
 
@@ -48,9 +47,8 @@ def parse_polls(raw: DataFrame) -> DataFrame:
     """One row per poll: its station list, or the reason it has none."""
     items = unwrap(F.col("body"))
     return raw.withColumn("items", items).withColumn(
-        "message", F.when(F.col("items").isNull(), F.substring(F.concat(
-            F.lit("no station list found: "),
-            F.coalesce("_corrupt_record", "body", F.lit("empty payload"))), 1, MESSAGE_LENGTH)))
+        "message", F.when(F.col("items").isNull(), F.concat(
+            F.lit("no station list found: "), F.coalesce("_corrupt_record", "body", F.lit("empty payload")))))
 
 
 def station_rows(polls: DataFrame) -> DataFrame:
@@ -73,15 +71,24 @@ def upsert_rows(polls: DataFrame) -> DataFrame:
     return newest(station_rows(polls), ["collected_at", "station_id"], [*_ARRIVAL, "_pos"]).select(*STATUS_COLUMNS)
 
 
+def _log_key() -> Column:
+    """A poll is known by its time and outcome; one without a time by its place in the landing folder."""
+    place = F.concat_ws(":", "_file", F.col("_block").cast("string"), F.col("_line").cast("string"))
+    return F.concat_ws("|", "status", F.coalesce("collected_at", place))
+
+
 def poll_log(polls: DataFrame) -> DataFrame:
-    """One row per poll time: OK with the number of entries that have an id, or FAIL with a message."""
+    """One row per poll: OK with the number of entries that have an id, or FAIL with a message.
+
+    A poll that came again replaces its row; polls that can't be read each keep their own.
+    """
     with_id = F.filter("items", lambda item: F.trim(F.coalesce(pick(item, ALIASES["station_id"]), F.lit(""))) != "")
     logged = polls.select(
         "collected_at", *_ARRIVAL,
         F.when(F.col("items").isNull(), 0).otherwise(F.size(with_id)).alias("n_rows"),
         F.when(F.col("items").isNull(), "FAIL").otherwise("OK").alias("status"),
-        F.coalesce("message", F.lit("")).alias("message"))
-    return newest(logged, ["collected_at"], _ARRIVAL).drop(*_ARRIVAL)
+        F.coalesce("message", F.lit("")).alias("message")).withColumn("poll", _log_key())
+    return newest(logged, ["poll"], _ARRIVAL).drop(*_ARRIVAL)
 
 
 def write_batch(raw: DataFrame, batch_id: int, sink: str) -> None:
@@ -123,7 +130,7 @@ def read_status(spark: SparkSession, sink: str, first_day: str | None = None,
 
 
 def read_log(spark: SparkSession, sink: str) -> DataFrame:
-    return (newest(spark.read.parquet(f"{sink}/log"), ["collected_at"], ["batch_id"])
+    return (newest(spark.read.parquet(f"{sink}/log"), ["poll"], ["batch_id"])
             .select("collected_at", "n_rows", "status", "message"))
 
 
@@ -131,22 +138,65 @@ def read_quarantine(spark: SparkSession, sink: str) -> DataFrame:
     return spark.read.parquet(f"{sink}/quarantine")
 
 
-def hourly_means(rows: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Mean availability per station and hour; rows older than the watermark are dropped.
+def hours_touched(spark: SparkSession, sink: str, batch_id: int) -> DataFrame:
+    """Mean availability of the station-hours that a batch wrote to, from the table as it stands now.
 
-    A watermark needs a zoned TIMESTAMP; the result is turned back into the wall clock.
+    The mean is over the newest row of each poll, so a station that a poll lists twice, or a poll that
+    came again, counts once. NULL where no poll of the hour has a count.
     """
-    timed = rows.withColumn("ts", wall_clock("collected_at").cast("timestamp"))
-    return (timed.withWatermark("ts", late)
-            .groupBy(F.window("ts", "1 hour").alias("w"), "station_id")
-            .agg(F.avg("bikes_available").alias("inv_act"))
-            .select("station_id", F.col("w.start").cast("timestamp_ntz").alias("hour"), "inv_act"))
-
-
-def hourly_stream(spark: SparkSession, landing: str, out: str, checkpoint: str,
-                  late: str = "1 hour", max_files: int | None = None) -> StreamingQuery:
-    """Streaming form of the hourly mean; closed hours are appended to ``out``."""
-    rows = station_rows(parse_polls(landing_stream(spark, landing, max_files)))
-    return (hourly_means(rows, late).writeStream.outputMode("append").format("parquet")
-            .option("path", out).option("checkpointLocation", checkpoint)
+    written = spark.read.schema("collected_at string, station_id string, collected_date date").parquet(f"{sink}/status/batch_id={batch_id}")
+    hour = hour_floor(wall_clock("collected_at")).alias("hour")
+    touched = written.select("station_id", hour).distinct()
+    days = written.agg(F.min("collected_date"), F.max("collected_date")).first()
+    if days[0] is None:
+        return touched.withColumn("inv_act", F.lit(None).cast("double"))  # no readable poll: no row
+    # Partition filter: only the days the batch wrote to are read again.
+    stored = spark.read.parquet(f"{sink}/status").where(F.col("collected_date").between(F.lit(days[0]), F.lit(days[1])))
+    stored = stored.where(F.col("batch_id") <= batch_id).select("batch_id", "collected_at", "station_id", "bikes_available", hour)
+    current = newest(stored.join(touched, ["station_id", "hour"], "left_semi"), ["collected_at", "station_id"], ["batch_id"])
+    return current.groupBy("station_id", "hour").agg(F.avg("bikes_available").alias("inv_act"))
+
+
+def write_hourly(raw: DataFrame, batch_id: int, sink: str, out: str) -> None:
+    """Upserts a micro-batch and writes the hours it touched; running it again gives the same folders."""
+    write_batch(raw, batch_id, sink)
+    hours_touched(raw.sparkSession, sink, batch_id).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+
+def hourly_stream(spark: SparkSession, landing: str, sink: str, out: str, checkpoint: str,
+                  max_files: int | None = None) -> StreamingQuery:
+    """Streaming form of the hourly mean. Late and corrected polls change their hour, none is dropped."""
+    return (landing_stream(spark, landing, max_files).writeStream
+            .foreachBatch(lambda df, batch_id: write_hourly(df, batch_id, sink, out))
+            .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+def read_hourly(spark: SparkSession, out: str) -> DataFrame:
+    """station_id, hour, inv_act: the newest state of each station-hour that has a mean."""
+    stored = spark.read.parquet(out)
+    return newest(stored, ["station_id", "hour"], ["batch_id"]).where(F.col("inv_act").isNotNull()).select("station_id", "hour", "inv_act")
+
+
+def compact(spark: SparkSession, sink: str, before: str) -> None:
+    """Rewrites the days before ``before`` ('yyyy-MM-dd') as one folder of current rows, batch_id=-1.
+
+    The new folder is written beside the table and moved in when it is complete; days from ``before``
+    on keep their batch folders, so the stream may go on meanwhile. A read then ranks open days only.
+    """
+    closed = spark.read.parquet(f"{sink}/status").where(F.col("collected_date") < F.lit(before).cast("date"))
+    fresh = f"{sink}/compacting"
+    (newest(closed, ["collected_at", "station_id"], ["batch_id"]).drop("batch_id").hint("rebalance", F.col("collected_date"))
+     .write.mode("overwrite").partitionBy("collected_date").parquet(fresh))
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(fresh).getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [f.getPath() for f in store.listStatus(path(f"{sink}/status")) if f.isDirectory()]
+    target = path(f"{sink}/status/batch_id=-1")
+    store.mkdirs(target)
+    for day in [f.getPath() for f in store.listStatus(path(fresh)) if f.isDirectory()]:
+        store.delete(path(target, day.getName()), True)
+        store.rename(day, path(target, day.getName()))
+        for folder in folders:
+            if folder.getName() != "batch_id=-1":
+                store.delete(path(folder, day.getName()), True)
+    store.delete(path(fresh), True)

@@ -29,8 +29,8 @@ ITEM_KEY = ["l_orderkey", "l_linenumber"]
 
 # --- sources and cleaning -------------------------------------------------------------
 
-@query("src_month:s encoding:s has_files:b", """SELECT * FROM (VALUES ('202401', 'utf-8', true), ('202402', 'cp949', true))
-       AS t(src_month, encoding, has_files)""")
+@query("src_month:s encoding:s has_files:b", """
+    SELECT src_month, CASE WHEN src_month = '202402' THEN 'cp949' ELSE 'utf-8' END AS encoding, count(*) > 0 AS has_files FROM raw_text GROUP BY 1""")
 def file_manifest(t: Tables):
     found = trip_files.file_manifest(t.spark, t.trip_folder)
     return found.groupBy("src_month", "encoding").agg((F.sum("length") > 0).alias("has_files"))
@@ -533,15 +533,22 @@ def inventory_deviation(t: Tables):
     return demand.inventory_deviation(demand.by_station(t.dense))
 
 
-def _response(lagged: str) -> str:
+def _response(paired: str) -> str:
+    """Deciles by position: the first ``n % 10`` groups of a station hold one row more."""
     return f"""SELECT decile, sum(rentals)::BIGINT AS actual, sum(lam) AS expected, sum(rentals)::DOUBLE / sum(lam) AS ratio, count(*) AS n,
         avg(inv_dev_prev) AS mean_dev
-    FROM (SELECT *, ntile(10) OVER (PARTITION BY station_id ORDER BY inv_dev_prev, ts) AS decile FROM ({lagged}) WHERE inv_dev_prev IS NOT NULL)
+    FROM (SELECT *, CASE WHEN place < big THEN place // (n // 10 + 1) ELSE n % 10 + (place - big) // (n // 10) END + 1 AS decile
+          FROM (SELECT *, (n % 10) * (n // 10 + 1) AS big
+                FROM (SELECT *, count(*) OVER (PARTITION BY station_id) AS n,
+                             row_number() OVER (PARTITION BY station_id ORDER BY inv_dev_prev, ts) - 1 AS place
+                      FROM ({paired}) WHERE inv_dev_prev IS NOT NULL)))
     GROUP BY 1"""
 
 
-_AFTER_FILTER = """SELECT station_id, ts, rentals, lam, lag(inv_dev) OVER (PARTITION BY station_id ORDER BY ts) AS inv_dev_prev
-    FROM inventory WHERE demand_slot"""
+_AFTER_FILTER = """SELECT a.station_id, a.ts, a.rentals, a.lam, b.inv_dev AS inv_dev_prev
+    FROM (SELECT *, count(*) OVER (PARTITION BY station_id ORDER BY ts) AS nth FROM inventory WHERE demand_slot) a
+    LEFT JOIN (SELECT station_id, inv_dev, count(*) OVER (PARTITION BY station_id ORDER BY ts) AS nth FROM inventory WHERE demand_slot) b
+         ON b.station_id = a.station_id AND b.nth = a.nth - 1"""
 _HOUR_BEFORE = """SELECT i.station_id, i.ts, i.rentals, i.lam, p.inv_dev AS inv_dev_prev
     FROM inventory i LEFT JOIN inventory p ON p.station_id = i.station_id AND p.ts = i.ts - INTERVAL 1 HOUR WHERE i.demand_slot"""
 _CURVE = "decile:i actual:i expected:f ratio:f n:i mean_dev:f"
@@ -568,7 +575,7 @@ def response_gap(t: Tables):
 
 @query("station_id:s ts:s net_out:f", "SELECT * FROM axis")
 def continuous_panel(t: Tables):
-    return panel.continuous_panel(t.panel, stations.top_stations(t.metrics, 20), t.days)
+    return panel.continuous_panel(t.panel, t.candidates, t.days)
 
 
 @query("station_id:s ts:s net_out:f lag_1:f lag_2:f lag_3:f lag_24:f lag_168:f roll_mean_3:f roll_std_3:f roll_mean_24:f roll_std_24:f "
@@ -576,7 +583,7 @@ def continuous_panel(t: Tables):
     SELECT *, sin(2 * pi() * hh / 24) AS hour_sin, cos(2 * pi() * hh / 24) AS hour_cos, sin(2 * pi() * dw / 7) AS dow_sin,
            cos(2 * pi() * dw / 7) AS dow_cos, dw >= 5 AS is_weekend FROM feats""")
 def forecast_features(t: Tables):
-    return forecast.add_features(panel.continuous_panel(t.panel, stations.top_stations(t.metrics, 20), t.days))
+    return forecast.add_features(panel.continuous_panel(t.panel, t.candidates, t.days))
 
 
 @query("station_id:s ts:s net_out:i b0_pred:f b1_pred:f", "SELECT * FROM tested")
@@ -599,17 +606,17 @@ def forecast_scores(t: Tables):
 
 @query("model:s n:i mae:f rmse:f improvement_pct:f")
 def forecast_trees(t: Tables):
-    model = forecast.fit_trees(t.features, iterations=10)
+    model = forecast.fit_trees(t.features)
     tested = forecast.predict_trees(model, forecast.test_rows(forecast.add_baselines(t.features, SEASONAL_DAYS)))
     return forecast.score(tested, {"B0": "b0_pred", "B1": "b1_pred", "B2": "b2_pred"}, base="B0")
 
 
 @query("station_id:s ts:s net_out:i b0_pred:f b1_pred:f", """
     SELECT * FROM tested WHERE station_id = (SELECT station_id FROM targets LIMIT 1)
-      AND ts >= (SELECT max(ts) FROM tested WHERE station_id = (SELECT station_id FROM targets LIMIT 1)) - INTERVAL 2 DAY""")
+      AND ts >= (SELECT max(ts) FROM tested WHERE station_id = (SELECT station_id FROM targets LIMIT 1)) - INTERVAL 7 DAY""")
 def forecast_last_days(t: Tables):
     tested = forecast.test_rows(forecast.add_baselines(t.features, SEASONAL_DAYS))
-    return forecast.last_days(tested, stations.top_stations(t.metrics, 1), 2)
+    return forecast.last_days(tested, stations.top_stations(t.candidates, 1), 7)
 
 
 # --- robustness -----------------------------------------------------------------------
@@ -769,25 +776,28 @@ def snapshot_status(t: Tables):
 @query("collected_at:s n_rows:i status:s message_given:b", """
     SELECT collected_at, CASE WHEN hour(hour) = 23 THEN 0 ELSE n_rows END AS n_rows,
            CASE WHEN hour(hour) = 23 THEN 'FAIL' ELSE 'OK' END AS status, hour(hour) = 23 AS message_given
-    FROM polls JOIN (SELECT hour, sum(CASE WHEN n > 1 THEN 2 ELSE 1 END) AS n_rows FROM polled GROUP BY 1) USING (hour)""")
+    FROM polls JOIN (SELECT hour, sum(CASE WHEN n > 1 THEN 2 ELSE 1 END) AS n_rows FROM polled GROUP BY 1) USING (hour)
+    UNION ALL SELECT NULL, 0, 'FAIL', true FROM ev WHERE k = 0""")
 def snapshot_log(t: Tables):
     return live.read_log(t.spark, t.sink).withColumn("message_given", F.col("message") != "")
 
 
-@query("collected_at:s message_given:b", "SELECT collected_at, true AS message_given FROM polls WHERE hour(hour) = 23")
+@query("collected_at:s message_given:b", """SELECT collected_at, true AS message_given FROM polls WHERE hour(hour) = 23
+       UNION ALL SELECT NULL, true FROM ev WHERE k = 0""")
 def snapshot_quarantine(t: Tables):
     return live.read_quarantine(t.spark, t.sink).withColumn("message_given", F.length("message") > 0)
 
 
-@query("station_id:s hour:s inv_act:f", """
-    SELECT event_type || '_' || slot AS station_id, hour, avg(v) AS inv_act
-    FROM (SELECT *, unnest(CASE WHEN n > 1 THEN [99, CASE WHEN bikes < 12 THEN bikes END] ELSE [CASE WHEN bikes < 12 THEN bikes END] END) AS v
-          FROM polled WHERE hour(hour) <> 23)
-    WHERE hour + INTERVAL 1 HOUR <= (SELECT max(hour) FROM polled WHERE hour(hour) <> 23) - INTERVAL 1 HOUR GROUP BY ALL""")
+@query("station_id:s hour:s inv_act:f",
+       "SELECT station_id, ts AS hour, avg(bikes_available) AS inv_act FROM status GROUP BY ALL HAVING count(bikes_available) > 0")
 def hourly_stream(t: Tables):
-    out, progress = staging_path(t.spark, "hourly"), staging_path(t.spark, "progress")
-    live.hourly_stream(t.spark, t.landing, out, progress).awaitTermination()
-    return t.spark.read.schema("station_id string, hour timestamp_ntz, inv_act double").parquet(out)
+    """The polls as they land, then the corrected noon polls: hours are brought up to date."""
+    sink, out, progress = (staging_path(t.spark, n) for n in ("hourly_sink", "hourly", "progress"))
+    landing = t.landing
+    live.hourly_stream(t.spark, landing, sink, out, progress, max_files=4).awaitTermination()
+    t.corrected_polls.write.mode("append").text(landing)
+    live.hourly_stream(t.spark, landing, sink, out, progress).awaitTermination()
+    return live.read_hourly(t.spark, out)
 
 
 @query("rows:i stations:i snapshots:i first:s last:s days:f", """
@@ -957,7 +967,7 @@ def report_csv(t: Tables):
 
 
 @query("src_month:s rows:i duplicates:i", """
-    SELECT src_month, count(*) AS rows, 0 AS duplicates FROM clean GROUP BY 1""")
+    SELECT src_month, count(*) AS rows, count(*) - count(DISTINCT (bike_id, rent_dt, ret_dt, rent_st, ret_st)) AS duplicates FROM clean GROUP BY 1""")
 def trips_by_month(t: Tables):
     """Flagged trips written in month folders and read back."""
     path = staging_path(t.spark, "trips_by_month")

@@ -33,8 +33,14 @@ GRAINS = {"coarse": 4, "fine": 100}
 _SHARED: dict[tuple, "Tables"] = {}
 
 
+def _state(spark: SparkSession, sf_dir: str) -> int | None:
+    """Names, sizes and times of the input files, so that changed data is not answered from older products."""
+    files = spark.read.format("binaryFile").load([f"{sf_dir}/{t}.parquet" for t in ("events", "orders", "lineitem")])
+    return files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()[0]
+
+
 def tables_for(spark: SparkSession, sf_dir: str, grain: str) -> "Tables":
-    key = (spark.sparkContext.applicationId, sf_dir, grain)
+    key = (spark.sparkContext.applicationId, sf_dir, grain, _state(spark, sf_dir))
     if key not in _SHARED:
         _SHARED[key] = Tables(spark, sf_dir, grain)
     return _SHARED[key]
@@ -92,8 +98,12 @@ class Tables:
                 .when(first == "view", F.substring(text("a.ts"), 1, 16))
                 .when((first == "signup") & (second == "view"), "n/a")
                 .otherwise(text("a.ts")))
+        month = F.when(F.dayofmonth(day_of("a.ts")) <= 15, "202401").otherwise("202402")
+        # Some trips stand twice in their file, some again in the next one.
+        none = F.expr("CAST(array() AS array<string>)")
+        files = F.concat(F.array(month), F.when(F.col("b.k") % 11 == 0, F.array(month)).otherwise(none),
+                         F.when((F.col("b.k") % 13 == 0) & (month == "202401"), F.array(F.lit("202402"))).otherwise(none))
         trips = (self.event_pairs
-                 .where(~day_of("a.ts").between(F.lit("2024-01-10").cast("date"), F.lit("2024-01-12").cast("date")))
                  .select(
                      F.col("user_id").cast("string").alias("bike_id"),
                      rent.alias("rent_dt"),
@@ -101,7 +111,7 @@ class Tables:
                      F.when((first == "purchase") & (second == "purchase"), "x")
                      .otherwise(minutes_between("a.ts", "b.ts").cast("string")).alias("dur_min"),
                      (F.rint("b.value") / 10).cast("string").alias("dist_km"),
-                     F.when(F.dayofmonth(day_of("a.ts")) <= 15, "202401").otherwise("202402").alias("src_month"),
+                     F.explode(files).alias("src_month"),
                      *[c.alias(n) for n, c in {**side("a", "rent"), **side("b", "ret")}.items()]))
         back = {v: k for k, v in cleaning.RENAME.items()}
         return trips.select(*[F.col(v).alias(back[v]) for v in cleaning.RENAME.values()], "src_month")
@@ -136,10 +146,10 @@ class Tables:
         listed = (self.clean.select(F.inline(F.array(F.struct(F.col("rent_st").alias("s")),
                                                      F.struct(F.col("ret_st").alias("s")))))
                   .distinct().where(F.col("s").rlike("^(click|view)_")))
-        self.spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         path = staging_path(self.spark, "current")
-        (listed.select(F.concat(F.lit(" "), "s", F.lit(" ")).alias("대여소ID"), F.lit("x").alias("비고"))
-         .write.option("header", "true").option("encoding", "MS949").csv(path))
+        with trip_files.java_charsets(self.spark):
+            (listed.select(F.concat(F.lit(" "), "s", F.lit(" ")).alias("대여소ID"), F.lit("x").alias("비고"))
+             .write.option("header", "true").option("encoding", "MS949").csv(path))
         return trip_files.read_station_list(self.spark, path)
 
     @cached_property
@@ -178,7 +188,7 @@ class Tables:
 
     @cached_property
     def features(self) -> DataFrame:
-        axis = panel.continuous_panel(self.panel, stations.top_stations(self.metrics, 20), self.days)
+        axis = panel.continuous_panel(self.panel, self.candidates, self.days)
         return stage(forecast.with_split(forecast.add_features(axis), HOLDOUT_DAYS), "features")
 
     # Daily series of orders.
@@ -194,11 +204,11 @@ class Tables:
     def trip_folder(self) -> str:
         """The raw trips as CSV, one folder per month file; the second one is cp949."""
         root = staging_path(self.spark, "raw")
-        self.spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-        for month, name, charset in (("202401", "trips(24년01월).csv", "UTF-8"), ("202402", "trips(24년02월).csv", "MS949")):
-            (self.raw_trips.where(F.col("src_month") == month).drop("src_month")
-             .write.option("header", "true").option("encoding", charset).option("escape", '"')
-             .option("nullValue", "").option("emptyValue", "").csv(f"{root}/{name}"))
+        with trip_files.java_charsets(self.spark):
+            for month, name, charset in (("202401", "trips(24년01월).csv", "UTF-8"), ("202402", "trips(24년02월).csv", "MS949")):
+                (self.raw_trips.where(F.col("src_month") == month).drop("src_month")
+                 .write.option("header", "true").option("encoding", charset).option("escape", '"')
+                 .option("nullValue", "").option("emptyValue", "").csv(f"{root}/{name}"))
         return root
 
     @cached_property
@@ -238,21 +248,29 @@ class Tables:
         return polls.select("hour", F.concat(F.lit('{"collected_at":"'), stamp, F.lit('","body":'), body,
                                              F.lit("}")).alias("value"))
 
-    @cached_property
+    @property
     def landing(self) -> str:
+        """A new landing folder with the polls."""
         path = staging_path(self.spark, "landing")
         self._poll_lines().select("value").write.text(path)
         return path
 
+    @property
+    def corrected_polls(self) -> DataFrame:
+        """The noon polls again, with other counts."""
+        noon = self._poll_lines().where(F.hour("hour") == 12)
+        corrected = F.regexp_replace("value", '"(parking_count|available)":(null|"5"|[0-9]+)', '"$1":7')
+        return noon.select(corrected.alias("value"))
+
     @cached_property
     def sink(self) -> str:
         """Two runs of the ingest stream; the second sees the noon polls again, corrected."""
         landing, sink, checkpoint = (staging_path(self.spark, n) for n in ("polls", "sink", "progress"))
         self._poll_lines().select("value").write.text(landing)
+        broken = self.events.where(F.col("k") == 0).select(F.concat(F.lit("broken line "), F.col("event_id").cast("string")).alias("value"))
+        broken.write.mode("append").text(landing)
         live.ingest(self.spark, landing, sink, checkpoint).awaitTermination()
-        noon = self._poll_lines().where(F.hour("hour") == 12)
-        corrected = F.regexp_replace("value", '"(parking_count|available)":(null|"5"|[0-9]+)', '"$1":7')
-        noon.select(corrected.alias("value")).write.mode("append").text(landing)
+        self.corrected_polls.write.mode("append").text(landing)
         live.ingest(self.spark, landing, sink, checkpoint).awaitTermination()
         return sink
 

@@ -3,6 +3,7 @@ import unicodedata
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from stationflow import runtime
 from stationflow.operators import cleaning, quality, snapshots
@@ -38,15 +39,41 @@ def raw_dir(tmp_path):
 
 
 def test_manifest_detects_encoding_and_month(spark, raw_dir):
-    got = {r.src_month: (r.encoding, len(r.header)) for r in trip_files.file_manifest(spark, raw_dir).collect()}
-    assert got == {"202501": ("utf-8-sig", 19), "202503": ("cp949", 19), "202512": ("utf-8", 19)}
+    got = {r.src_month: (r.encoding, len(trip_files._fields(r.encoding, r.header))) for r in trip_files.file_manifest(spark, raw_dir).collect()}
+    # A byte order mark does not change how the lines are decoded.
+    assert got == {"202501": ("utf-8", 19), "202503": ("cp949", 19), "202512": ("utf-8", 19)}
+
+
+def test_encoding_is_judged_by_the_whole_file(spark, tmp_path):
+    header = ",".join(cleaning.RENAME.keys())
+    plain = "\n".join(csv_line(f"b{i}", "2025-01-01 08:00", "2025-01-01 09:00", "S1", "S2", name="name") for i in range(12_000))
+    assert len(plain) > 1_000_000
+    ascii_header = ",".join(f"h{i}" for i in range(19))
+    (tmp_path / "late(25년01월).csv").write_bytes(f"{ascii_header}\n{plain}\n가나다\n".encode("cp949"))
+    (tmp_path / "mixed(25년02월).csv").write_bytes(f"{header}\n".encode() + "가\n".encode("cp949"))
+    (tmp_path / "broken(25년03월).csv").write_bytes(b"a,b\n\xff\xff\xff\n")
+    got = {r.src_month: r.encoding for r in trip_files.file_manifest(spark, str(tmp_path)).collect()}
+    assert got["202501"] == "cp949" and got["202503"] is None
+    with pytest.raises(ValueError, match="unknown encoding"):
+        trip_files.read_trips(spark, trip_files.file_manifest(spark, str(tmp_path)))
+
+
+def test_month_is_the_last_one_in_the_path(spark):
+    paths = ["/a(24년01월)/trips(25년02월).csv", "/a(24년01월)/part-0.csv", "/a/x.csv"]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p string")
+    assert [r.m for r in rows.select(trip_files.month_from_path(F.col("p")).alias("m")).collect()] == ["202502", "202401", None]
 
 
-def test_encoding_of_a_character_cut_at_the_end():
-    text = "가나다" * 10
-    assert trip_files._encoding(text.encode("utf-8")[:-1]) == "utf-8"
-    assert trip_files._encoding(text.encode("cp949")[:-1]) == "cp949"
-    assert trip_files._encoding(b"\xff\xff\xff") is None
+def test_odd_values_are_flagged_not_fatal(spark):
+    rows = [csv_line("b", t, "2025-03-04 12:00", "S1", "S2", dur=d) for t, d in [
+        ("2025/03/04 11:02", "NaN"), ("20250304 11:02:03", "99999999999"), ("03/04/2025 11:02", "x"), ("2025.3.4 11:02", "7.9"), ("nonsense", "Infinity")]]
+    parsed = spark.createDataFrame([(r,) for r in rows], "v string").select(
+        F.from_csv("v", trip_files._ddl(list(cleaning.RENAME)), {"escape": '"'}).alias("r")).select("r.*", F.lit("202503").alias("src_month"))
+    got = cleaning.trip_columns(cleaning.clean_trips(cleaning.rename_source(parsed))).collect()
+    assert [r.dur_min for r in got] == [-1, -1, -1, 7, -1]
+    at = datetime(2025, 3, 4, 11, 2)
+    assert [r.rent_dt for r in got] == [at, at.replace(second=3), at, at, None]
+    assert [r.f_time_bad for r in got] == [False, False, False, False, True]
 
 
 def test_trips_are_read_with_their_own_encoding(spark, raw_dir):
@@ -85,15 +112,16 @@ def test_stream_upserts_last_write_and_logs_failures(spark, tmp_path):
     (tmp_path / "landing").mkdir()
     t1, t2, t3 = ("2024-01-01T05:00:00+09:00", "2024-01-01T05:05:00+09:00", "2024-01-02T05:05:00+09:00")
     first = [poll(t1, [{"id": "a", "parking_count": 1}, {"id": "a", "parking_count": 2}, {"id": "", "parking_count": 9}]),
-             poll(t2, {"x": [], "y": []}), "broken {", poll(t3, {"list": [{"id": "b", "x_pos": 127.3, "y_pos": 36.3}]})]
+             poll(t2, {"x": [], "y": []}), "broken {", "broken {", "bad " + "x" * 2000, poll(t3, {"list": [{"id": "b", "x_pos": 127.3, "y_pos": 36.3}]})]
     (tmp_path / "landing" / "1.json").write_text("\n".join(first))
     live.ingest(spark, landing, sink, progress).awaitTermination()
     def status():
         return sorted((r.collected_at, r.station_id, r.bikes_available, r.lat, r.ts) for r in live.read_status(spark, sink).collect())
     assert status() == [(t1, "a", 2, None, datetime(2024, 1, 1, 5)), (t3, "b", None, 36.3, datetime(2024, 1, 2, 5, 5))]
-    log = {r.collected_at: (r.n_rows, r.status) for r in live.read_log(spark, sink).collect()}
-    assert log == {t1: (2, "OK"), t2: (0, "FAIL"), t3: (1, "OK"), None: (0, "FAIL")}
-    assert live.read_quarantine(spark, sink).count() == 2
+    log = sorted((r.collected_at or "", r.n_rows, r.status, r.message) for r in live.read_log(spark, sink).collect())
+    assert [r[:3] for r in log] == [("", 0, "FAIL")] * 3 + [(t1, 2, "OK"), (t2, 0, "FAIL"), (t3, 1, "OK")]
+    assert max(len(r[3]) for r in log) > 2000  # the whole message is kept
+    assert live.read_quarantine(spark, sink).count() == 4
     (tmp_path / "landing" / "2.json").write_text(poll(t1, {"results": [{"id": "a", "parking_count": 7}, {"id": "c", "cnt": 1}]}))
     live.ingest(spark, landing, sink, progress).awaitTermination()
     assert [s[:3] for s in status()] == [(t1, "a", 7), (t1, "c", 1), (t3, "b", None)]
@@ -104,19 +132,28 @@ def test_stream_upserts_last_write_and_logs_failures(spark, tmp_path):
     assert live.read_status(spark, sink, last_day="2024-01-01").count() == 2
 
 
-def test_late_rows_are_dropped_by_the_watermark(spark, tmp_path):
-    landing, out, progress = (str(tmp_path / n) for n in ("landing", "out", "progress"))
+def test_hourly_stream_counts_the_newest_row_of_each_poll(spark, tmp_path):
+    landing, sink, out, progress = (str(tmp_path / n) for n in ("landing", "sink", "out", "progress"))
     (tmp_path / "landing").mkdir()
-    def put(name, hour, count):
-        at = (datetime(2024, 1, 1) + timedelta(hours=hour)).isoformat() + "+09:00"
-        (tmp_path / "landing" / name).write_text(poll(at, [{"id": "a", "parking_count": count}]))
-        live.hourly_stream(spark, landing, out, progress).awaitTermination()
-    put("1.json", 0, 4)
-    put("2.json", 5, 6)
-    put("3.json", 0, 100)
-    put("4.json", 9, 1)
-    got = sorted((r.hour, r.inv_act) for r in spark.read.schema("station_id string, hour timestamp_ntz, inv_act double").parquet(out).collect())
-    assert got == [(datetime(2024, 1, 1, 0), 4.0), (datetime(2024, 1, 1, 5), 6.0)]
+    def put(name, *polls):
+        (tmp_path / "landing" / name).write_text("\n".join(polls))
+        live.hourly_stream(spark, landing, sink, out, progress).awaitTermination()
+        got = {(r.station_id, r.hour.hour): r.inv_act for r in live.read_hourly(spark, out).collect()}
+        table = snapshots.hourly_availability(live.read_status(spark, sink))
+        assert got == {(r.station_id, r.ts.hour): r.inv_act for r in table.collect()}
+        return got
+    def at(hour, minute=0):
+        return datetime(2024, 1, 1, hour, minute).isoformat() + "+09:00"
+    def one(when, *counts):
+        return poll(when, [{"id": "a", "parking_count": c} for c in counts])
+    assert put("1.json", one(at(0), 99, 4), one(at(0, 30), 6), one(at(5), 6)) == {("a", 0): 5.0, ("a", 5): 6.0}
+    assert put("2.json", one(at(0), 10), one(at(9), 1)) == {("a", 0): 8.0, ("a", 5): 6.0, ("a", 9): 1.0}  # late, and again
+    assert put("3.json", "broken {") == {("a", 0): 8.0, ("a", 5): 6.0, ("a", 9): 1.0}
+    assert put("4.json", poll(at(5), [{"id": "a"}])) == {("a", 0): 8.0, ("a", 9): 1.0}  # the count is gone
+    live.compact(spark, sink, "2024-01-02")
+    assert live.read_status(spark, sink).count() == 4
+    assert spark.read.parquet(f"{sink}/status").select("batch_id").distinct().count() == 1
+    assert put("5.json", one(at(9, 30), 3)) == {("a", 0): 8.0, ("a", 9): 2.0}
 
 
 def test_measured_and_estimated_inventory(spark):

@@ -38,9 +38,9 @@ def test_timestamps_of_mixed_shape(spark):
     rows = spark.createDataFrame([("2025-03-04 11:02",), ("2025-09-01 00:00:05",), ("x",), (None,), (" 2025-09-01 01:00:00 ",),
                                   ("03/04/2025",)], "t string")
     got = [r[0] for r in rows.select(timecols.parse_timestamp("t")).collect()]
-    assert got == [datetime(2025, 3, 4, 11, 2), datetime(2025, 9, 1, 0, 0, 5), None, None, datetime(2025, 9, 1, 1), None]
-    got = [r[0] for r in rows.select(timecols.parse_timestamp("t", ["MM/dd/yyyy"])).collect()]
-    assert got[-1] == datetime(2025, 3, 4)
+    assert got == [datetime(2025, 3, 4, 11, 2), datetime(2025, 9, 1, 0, 0, 5), None, None, datetime(2025, 9, 1, 1), datetime(2025, 3, 4)]
+    got = [r[0] for r in rows.select(timecols.parse_timestamp("t", ["dd/MM/yyyy"])).collect()]
+    assert got[-1] == datetime(2025, 4, 3)
 
 
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Seoul"])
