@@ -23,6 +23,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -34,23 +35,33 @@ from .common import U64, mix, stage, text_or_empty
 
 SHARD_IDS = 4 << 20
 SEGMENT = 1 << 16
-# Entries of the word memo of one Python worker; it starts over when full.
-MEMO_WORDS = 300_000
+# Entries of the word memo of one Python worker; its older half stays when it is full.
+MEMO_WORDS = 600_000
+# How a byte-level vocabulary writes a space; marks that never stand in a token with letters.
+_SPACE, _MARKS = "\u0120", ".,;:!?%$#&*|"
+_ENCODERS: dict[str, "Encoder"] = {}
 _MEMO_LENGTH = 64
 _MAGIC = b"SFTOKENS"
 _TRAILER = np.dtype([("docs", "<u8"), ("ids", "<u8"), ("width", "<u8"), ("magic", "S8")])
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r" \s|\s |^\s|\s\Z")
+# White space other than space and line feed, as str.isspace has it.
+_RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _TEXT_BATCH = 2 << 20
 ADDRESS = "part long, piece long, first long"
 
 
+def _plain(text: str) -> bool:
+    """Whether each space stands alone between words, so that a plain split finds the same cuts."""
+    return not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _RARE.search(text))
+
+
 class Encoder:
     """Whole texts to id bytes, through a tokenizer of the ``tokenizers`` library.
 
     In a byte-level vocabulary without normaliser a lone space between two words always opens a new
-    token, so a text may be encoded word by word; known words come from a memo. Other vocabularies
-    encode the text as a whole.
+    token, so a text may be encoded word by word; known words come from a memo. New words go through the
+    tokenizer in one string: letters after a space are cut off again where a token opens with a space.
+    Other vocabularies encode the text as a whole.
     """
 
     def __init__(self, path: str):
@@ -66,6 +77,31 @@ class Encoder:
                         and not split.get("add_prefix_space") and split.get("use_regex", True)
                         and not any(t.get("lstrip") or t.get("rstrip") or " " in t["content"] for t in spec["added_tokens"]))
         self.memo: dict[str, bytes] = {}
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(True), dtype=bool)
+        self.opens[[i for token, i in self.tokenizer.get_vocab(True).items() if token.startswith(_SPACE)]] = True
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it."""
+        core: dict[str, bytes] = {}
+        tail: dict[str, bytes] = {"": b""}
+        parts, whole = [], []
+        for w in words:
+            c = w.rstrip(_MARKS)
+            if c.isalpha():
+                core[c] = tail[w[len(c):]] = b""
+                parts.append((c, w[len(c):]))
+            else:
+                whole.append(" " + w)
+                parts.append(None)
+        ids = np.array(self.tokenizer.encode("".join([f" {c}" for c in core]), add_special_tokens=False).ids, dtype=self.dtype)
+        cuts = np.append(np.flatnonzero(self.opens[ids]), len(ids))
+        if len(cuts) != len(core) + 1:
+            return self.raw([" " + w for w in words])
+        flat, cuts = ids.tobytes(), (cuts * self.dtype.itemsize).tolist()
+        core = {c: flat[a:b] for c, a, b in zip(core, cuts, cuts[1:])}
+        tail = dict(zip(tail, self.raw(list(tail))))
+        rest = iter(self.raw(whole))
+        return [next(rest) if p is None else core[p[0]] + tail[p[1]] for p in parts]
 
     def raw(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -74,12 +110,12 @@ class Encoder:
     def texts(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self.raw(texts)
-        split = [_CUT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
+        split = [t.split(" ") if _plain(t) else _CUT.split(t) for t in texts]
+        if len(self.memo) > MEMO_WORDS:  # words met early are the frequent ones
+            self.memo = dict(islice(self.memo.items(), MEMO_WORDS // 2))
         memo = self.memo
         fresh = list(set().union(*(words[1:] for words in split)).difference(memo))
-        memo.update(zip(fresh, self.raw([" " + w for w in fresh])))
+        memo.update(zip(fresh, self.words(fresh)))
         out = [first + b"".join([memo[w] for w in words[1:]])
                for first, words in zip(self.raw([words[0] for words in split]), split)]
         for w in fresh:
@@ -88,8 +124,15 @@ class Encoder:
         return out
 
 
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a Python worker; its memo lasts from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def _packed(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_ids: int) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(path)
+    encoder = encoder_of(path)
     width = encoder.dtype.itemsize
     end = np.array([end_id], dtype=encoder.dtype).tobytes()
     keys: list[int | None] = []
