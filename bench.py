@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -39,7 +40,7 @@ def main() -> None:
              .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g"))
              .config("spark.sql.session.timeZone", "UTC")
-             .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate())
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="stationflow-")).getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
 
     def drain(name: str, tables: Tables):

@@ -5,7 +5,8 @@ the id alone would send all of them to one task. Keys above ``hot_rows`` rows ar
 first (a hash aggregate over the key columns) and cut into hours. The window runs per
 (key, hour), and one extra row per hour of a hot key, sorted first and dropped again,
 brings along what came before: the last row's values and the number of rows so far.
-Other keys stay whole, so without skew this is one shuffle and one sort.
+Other keys stay whole. The list of hot keys is written first; if it is empty, which is the
+common case, the plan is a single scan, shuffle and sort.
 """
 
 from __future__ import annotations
@@ -14,8 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timecols import hour_floor
+from ..runtime import stage
 
 HOT_ROWS = 1_000_000
+# Hot keys that are broadcast; a longer list is joined by a shuffle.
+BROADCAST_KEYS = 100_000
 
 
 def group_window(*columns: str) -> Window:
@@ -29,13 +33,14 @@ def hot_keys(df: DataFrame, key: list[str], hot_rows: int = HOT_ROWS) -> DataFra
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*key)
 
 
-def _cut(df: DataFrame, key: list[str], at: str, hot_rows: int) -> DataFrame:
-    hot = hot_keys(df, key, hot_rows).select(*[F.col(k).alias(f"_hot_{k}") for k in key], F.lit(True).alias("_hot"))
+def _cut(df: DataFrame, key: list[str], at: str, hot: DataFrame, n_hot: int) -> DataFrame:
+    hot = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in key], F.lit(True).alias("_hot"))
     same = F.lit(True)
     for k in key:
         same = same & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
-    # Bounded by rows / hot_rows, see hot_keys.
-    return (df.join(F.broadcast(hot), same, "left")
+    if n_hot <= BROADCAST_KEYS:
+        hot = F.broadcast(hot)
+    return (df.join(hot, same, "left")
             .withColumn("_chunk", F.when(F.col("_hot"), hour_floor(at)))
             .select(*df.columns, "_hot", "_chunk"))
 
@@ -47,7 +52,13 @@ def chained(df: DataFrame, key: list[str], order: list[str], carry: list[str] |
     ``order[0]`` is a timestamp column without nulls; ``order`` should identify a row.
     """
     carry = carry or []
-    rows = _cut(df, key, order[0], hot_rows)
+    hot = stage(hot_keys(df, key, hot_rows), "hot_keys")
+    n_hot = hot.count()
+    if not n_hot:  # one scan, one shuffle, one sort
+        whole = group_window(*key).orderBy(*order)
+        plain = {prefix + c: F.lag(c).over(whole) for c in carry} | ({seq: F.row_number().over(whole).cast("long")} if seq else {})
+        return df.withColumns(plain)
+    rows = _cut(df, key, order[0], hot, n_hot)
     extra = [c for c in carry if c not in order]
     per_chunk = (rows.where("_hot").groupBy(*key, "_chunk")
                  .agg(F.max(F.struct(*order, *extra)).alias("_last"), F.count(F.lit(1)).alias("_n")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio, round_even
 from ..functions.timecols import dow
+from .ranks import many_quantiles
 
 DEMAND_THRESHOLD = 2.0
 MIN_RUN = 3
@@ -78,13 +79,13 @@ def stockout_by_station(flagged: DataFrame, stations: DataFrame, min_run: int =
 
 def stockout_summary(stock: DataFrame) -> DataFrame:
     """Medians and correlations over the rankable stations."""
-    return stock.where("rankable").agg(
+    rankable = stock.where("rankable")
+    medians = many_quantiles(rankable, {"excess_zero_rate": {"median_excess": 0.5}, "naive_rate": {"median_naive": 0.5}})
+    return rankable.agg(
         F.count(F.lit(1)).alias("stations"),
-        F.percentile("excess_zero_rate", 0.5).alias("median_excess"),
-        F.percentile("naive_rate", 0.5).alias("median_naive"),
         F.corr("excess_zero_rate", "net_out_per_day").alias("corr_net_out"),
         F.corr("naive_rate", "net_out_per_day").alias("corr_naive"),
-        F.corr("excess_zero_rate", "reloc_net_in").alias("corr_reloc"))
+        F.corr("excess_zero_rate", "reloc_net_in").alias("corr_reloc")).crossJoin(F.broadcast(medians))
 
 
 def stockout_by_hour(flagged: DataFrame) -> DataFrame:

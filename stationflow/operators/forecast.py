@@ -14,6 +14,7 @@ LAGS = (1, 2, 3, 24, 168)
 ROLLS = (3, 24, 168)
 HOLDOUT_WEEKS = 4
 SEASONAL_WEEKS = 8
+# Feature names of the published model.
 FEATURES = ([f"lag_{k}" for k in LAGS] + [f"roll_mean_{r}" for r in ROLLS]
             + [f"roll_std_{r}" for r in ROLLS]
             + ["hour_sin", "hour_cos", "dow_sin", "dow_cos", "is_weekend"])

@@ -12,13 +12,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+# Buckets per shuffle partition of the session, which is set to suit the data.
+BUCKETS_PER_PARTITION = 4
 
 
-def split_points(df: DataFrame, *values: str, buckets: int = BUCKETS) -> dict[str, list[float]]:
+def bucket_count(df: DataFrame) -> int:
+    return max(16, BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def split_points(df: DataFrame, *values: str, buckets: int | None = None) -> dict[str, list[float]]:
     """At most ``buckets - 1`` sorted numbers per column, from one pass."""
+    buckets = buckets or bucket_count(df)
     shares = [i / buckets for i in range(1, buckets)]
-    found = df.agg(*[F.percentile_approx(F.col(v).cast("double"), shares, 1000).alias(v) for v in values]).first()
+    found = df.agg(*[F.percentile_approx(F.col(v).cast("double"), shares, 4 * buckets).alias(v) for v in values]).first()
     return {v: sorted(set(found[v] or [])) for v in values}
 
 
@@ -104,3 +110,28 @@ def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: tuple[str
                                     (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_part")
                                     ).otherwise(F.lit(0.0))).alias(n)
         for n in shares])
+
+
+def many_quantiles(df: DataFrame, shares: dict[str, dict[str, float]], by: tuple[str, ...] = ()) -> DataFrame:
+    """Exact quantiles of several columns in one pass: column -> {name: share}. One row (per ``by``).
+
+    The columns are stacked, counted once as (by, column, value), and read off their running counts.
+    """
+    columns = list(shares)
+    bounds = split_points(df, *columns)
+    stacked = df.select(*by, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_column"), F.col(c).cast("double").alias("_value")) for i, c in enumerate(columns)])))
+    points = sorted({b for c in columns for b in bounds[c]})
+    running = running_counts(stacked, "_value", (*by, "_column"), bounds=points[::max(1, len(columns))])
+    first, end = F.col("n_before"), F.col("n_before") + F.col("n")
+    aggs, found = [], []
+    for i, c in enumerate(columns):
+        for name, q in shares[c].items():
+            spot = F.lit(float(q)) * (F.col("n_total") - 1)
+            low, mine = F.floor(spot), F.col("_column") == i
+            aggs += [F.max(F.when(mine & (low >= first) & (low < end), F.col("_value"))).alias(f"_{name}_lo"),
+                     F.max(F.when(mine & (low + 1 >= first) & (low + 1 < end), F.col("_value"))).alias(f"_{name}_hi"),
+                     F.max(F.when(mine, spot - low)).alias(f"_{name}_part")]
+            step = (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * F.col(f"_{name}_part")
+            found.append((F.col(f"_{name}_lo") + F.when(F.col(f"_{name}_part") > 0, step).otherwise(F.lit(0.0))).alias(name))
+    return running.groupBy(*by).agg(*aggs).select(*by, *found)

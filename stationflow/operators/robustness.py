@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio, round_even
 from ..functions.timecols import day_of
+from ..runtime import stage
 from .panel import on_observed_days
-from .ranks import quantiles, spearman
+from .ranks import many_quantiles, quantiles, spearman
 from .stations import (CPI_COMMUTE, CPI_LEISURE, MIN_MONTHLY_RENTALS, PEAK_HOURS, WR_COMMUTE, WR_LEISURE,
                        top_stations, use_type)
 
@@ -55,8 +56,9 @@ def top_overlap(a: DataFrame, b: DataFrame, k: int, by: str) -> DataFrame:
 
 def compare_periods(full: DataFrame, part: DataFrame, label: str, k: int = 10) -> DataFrame:
     """Common stations, rank correlation, top-k overlap and sign flips of two periods."""
-    common = (full.select("station_id", F.col("npd").alias("a"))
-              .join(part.select("station_id", F.col("npd").alias("b")), "station_id"))
+    # One row per station; three statistics read it.
+    common = stage(full.select("station_id", F.col("npd").alias("a"))
+                   .join(part.select("station_id", F.col("npd").alias("b")), "station_id"), "common")
     flips = common.agg(F.count_if((F.col("a") > 0) != (F.col("b") > 0)).alias("sign_flips"))
     overlap = top_overlap(common, common.select("station_id", "b").withColumnRenamed("b", "a"), k, "a")
     return (spearman(common, "a", "b")
@@ -116,11 +118,12 @@ def share_beyond(df: DataFrame, conditions: dict[str, object]) -> DataFrame:
     return df.agg(*[(100 * F.avg(c.cast("int"))).alias(name) for name, c in conditions.items()])
 
 
+# The published threshold sets.
 def threshold_grid(stations: DataFrame, peak_hours=PEAK_HOURS) -> DataFrame:
     """Six threshold sets: as published, from quantiles, the uniform baseline, looser, stricter."""
-    q = stations.agg(*[
-        round_even(F.percentile(c, s), 3).alias(f"{c}_{round(s * 100)}")
-        for c in ("CPI", "WR") for s in (0.10, 0.25, 0.75, 0.90)])
+    names = {c: {f"{c}_{round(s * 100)}": s for s in (0.10, 0.25, 0.75, 0.90)} for c in ("CPI", "WR")}
+    found = many_quantiles(stations, names)
+    q = found.select(*[round_even(n, 3).alias(n) for n in found.columns])
     uniform = len(peak_hours) / 24.0
 
     def scenario(name, *values):

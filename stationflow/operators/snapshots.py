@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import ratio
 from ..functions.timecols import hour_floor
 from .demand import relative_inventory
+from .ranks import quantiles
 
 MIN_SNAPSHOTS = 200
 MIN_PAIRS = 24
@@ -69,10 +70,10 @@ def change_correlation(paired: DataFrame, min_pairs: int = MIN_PAIRS) -> DataFra
 
 
 def correlation_summary(per_station: DataFrame) -> DataFrame:
+    quartiles = quantiles(per_station, "corr", {"median": 0.5, "q25": 0.25, "q75": 0.75})
     return per_station.agg(
-        F.count(F.lit(1)).alias("stations"), F.percentile("corr", 0.5).alias("median"),
-        F.percentile("corr", 0.25).alias("q25"), F.percentile("corr", 0.75).alias("q75"),
-        (100 * F.avg((F.col("corr") >= 0.5).cast("int"))).alias("at_least_half_pct"))
+        F.count(F.lit(1)).alias("stations"),
+        (100 * F.avg((F.col("corr") >= 0.5).cast("int"))).alias("at_least_half_pct")).crossJoin(F.broadcast(quartiles))
 
 
 def zero_share(status: DataFrame) -> DataFrame:
@@ -85,8 +86,7 @@ def zero_share_contrast(shares: DataFrame, metrics: DataFrame) -> DataFrame:
     """Empty share of the strongest against the weakest outflow quarter, and the correlation."""
     both = (shares.join(metrics.select("station_id", "net_out_per_day"), "station_id")
             .where(F.col("net_out_per_day").isNotNull()))
-    cuts = both.agg(F.percentile("net_out_per_day", 0.25).alias("_q25"),
-                    F.percentile("net_out_per_day", 0.75).alias("_q75"))
+    cuts = quantiles(both, "net_out_per_day", {"_q25": 0.25, "_q75": 0.75})
     x = F.col("net_out_per_day")
     return both.crossJoin(F.broadcast(cuts)).agg(
         F.count(F.lit(1)).alias("stations"), F.corr("zero_pct", "net_out_per_day").alias("corr"),
@@ -108,4 +108,5 @@ def inventory_offset(paired: DataFrame) -> DataFrame:
 
 
 def offset_summary(offsets: DataFrame) -> DataFrame:
-    return offsets.agg(F.count(F.lit(1)).alias("stations"), F.percentile("offset", 0.5).alias("median"))
+    return (offsets.agg(F.count(F.lit(1)).alias("stations"))
+            .crossJoin(F.broadcast(quantiles(offsets, "offset", {"median": 0.5}))))

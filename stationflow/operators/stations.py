@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import clip, ratio, round_even
 from ..functions.timecols import day_of, dow
 from .panel import on_observed_days
-from .ranks import quantiles
+from .ranks import many_quantiles, quantiles
 
 # Thresholds of the station typing and of the use types.
 NEW_WINDOW_DAYS = 90
@@ -158,10 +158,10 @@ def trip_classes(trips: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.avg("dur_min").alias("mean_min"),
         F.avg((F.col("rent_st") == F.col("ret_st")).cast("int")).alias("same_share"))
     total = trips.agg(F.count(F.lit(1)).alias("_all"))
-    by = ("trip_class",)
+    # Four classes at most.
+    medians = many_quantiles(labelled, {"dur_min": {"median_min": 0.5}, "dist_km": {"median_km": 0.5}}, ("trip_class",))
     return (sums.crossJoin(F.broadcast(total)).withColumn("share", ratio("n", "_all")).drop("_all")
-            .join(quantiles(labelled, "dur_min", {"median_min": 0.5}, by), "trip_class", "left")
-            .join(quantiles(labelled, "dist_km", {"median_km": 0.5}, by), "trip_class", "left"))
+            .join(F.broadcast(medians), "trip_class", "left"))
 
 
 def district_totals(metrics: DataFrame, days: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def histogram(df: DataFrame, value: str, bins: int, upper_share: float | None =
     """Equal-width counts between min and max, optionally clipped at an upper quantile."""
     v = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
     if upper_share is not None:
-        top = v.agg(F.percentile("v", upper_share).alias("_top"))
+        top = quantiles(v, "v", {"_top": upper_share})
         v = v.crossJoin(F.broadcast(top)).select(F.least("v", "_top").alias("v"))
     edges = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
@@ -215,7 +215,7 @@ def histogram(df: DataFrame, value: str, bins: int, upper_share: float | None =
 def magnitude_limit(df: DataFrame, columns: list[str], share: float) -> DataFrame:
     """One row: quantile of the absolute values of station-level columns, the range to show."""
     values = df.select(F.explode(F.array(*[F.abs(c) for c in columns])).alias("v"))
-    return values.agg(F.percentile("v", share).alias("lim"))
+    return quantiles(values, "v", {"lim": share})
 
 
 def map_points(metrics: DataFrame, share: float = 0.98) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,14 +50,14 @@ def panel_recount(panel: DataFrame, trips: DataFrame) -> DataFrame:
                             | (F.col("p_ret") != F.col("ret_events"))).alias("mismatches")))
 
 
-def long_metrics(tables: dict[str, tuple[DataFrame, object]]) -> DataFrame:
-    """(metric, value) rows from one-row aggregates: name -> (table, aggregate expression)."""
-    parts = [t.agg(e.cast("double").alias("value")).select(F.lit(name).alias("metric"), "value")
-             for name, (t, e) in tables.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def long_metrics(tables: list[tuple[DataFrame, dict[str, object]]]) -> DataFrame:
+    """(metric, value) rows: per table the metrics it gives, name -> aggregate expression; one aggregate per table."""
+    parts = []
+    for table, metrics in tables:
+        one = table.agg(*[e.cast("double").alias(f"_{i}") for i, e in enumerate(metrics.values())])
+        parts.append(one.select(F.inline(F.array(*[
+            F.struct(F.lit(name).alias("metric"), F.col(f"_{i}").alias("value")) for i, name in enumerate(metrics)]))))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def reconcile(claims: DataFrame, metrics: DataFrame) -> DataFrame:

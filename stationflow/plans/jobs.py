@@ -6,23 +6,35 @@ earlier one and a restart begins at the last written table.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timecols import month_key
 from ..operators import (cleaning, dedup, demand, export, forecast, moves, panel, quality, robustness,
                          series, snapshots, stations, stl, verify)
-from ..runtime import stage
+from ..runtime import stage, staging_scope
 from ..sources import tables, trip_files
 
 
+def _job(run):
+    """A job deletes what it staged on the way; its products stay."""
+    @wraps(run)
+    def job(first, *args, **kwargs):
+        with staging_scope(first if isinstance(first, SparkSession) else first.sparkSession):
+            return run(first, *args, **kwargs)
+    return job
+
+
 def _hourly(spark: SparkSession, out: str) -> DataFrame:
     return tables.read_by_month(spark, f"{out}/station_hourly", "ym")
 
 
+@_job
 def run_ingest(spark: SparkSession, raw_dir: str, out: str, **thresholds) -> None:
     """Monthly files -> trips (by month, with duplicate flag), file stats, station tables."""
-    manifest = trip_files.file_manifest(spark, raw_dir)
+    manifest = stage(trip_files.file_manifest(spark, raw_dir), "manifest")
     clean = stage(cleaning.clean_trips(trip_files.read_trips(spark, manifest), **thresholds), "clean")
     trips = cleaning.trip_columns(clean)
     tables.write_by_month(cleaning.flag_duplicates(trips), f"{out}/trips")
@@ -35,10 +47,11 @@ def run_ingest(spark: SparkSession, raw_dir: str, out: str, **thresholds) -> Non
     tables.write_table(stations.life_from_events(daily).join(attributes, "station_id", "left"),
                        f"{out}/station_master_raw")
     completeness = quality.load_completeness(trip_files.read_lines(spark, manifest),
-                                             trip_files.read_trips(spark, manifest).select("file"))
+                                             clean.select("file"))
     tables.write_table(completeness, f"{out}/load_completeness")
 
 
+@_job
 def build_panel(trips: DataFrame, attributes: DataFrame, current_ids: DataFrame, out: str,
                 move_rules: dict | None = None, type_rules: dict | None = None) -> None:
     """Raw trips -> deduplicated trips, moves, hourly panel, station master."""
@@ -56,6 +69,7 @@ def build_panel(trips: DataFrame, attributes: DataFrame, current_ids: DataFrame,
     tables.write_table(verify.conservation(hourly), f"{out}/conservation")
 
 
+@_job
 def analyse(spark: SparkSession, out: str, **use_rules) -> None:
     """Panel -> observed days, metrics, weekday profiles, daily series and its decomposition."""
     hourly, master = _hourly(spark, out), tables.read_table(spark, f"{out}/station_master")
@@ -70,9 +84,10 @@ def analyse(spark: SparkSession, out: str, **use_rules) -> None:
     tables.write_table(averaged, f"{out}/daily_series")
     tables.write_table(series.dow_hour_matrix(series.dow_hour_sums(hourly, master, days), days),
                        f"{out}/dow_hour")
-    tables.write_table(series.daily_profile(hourly, days, stations.top_stations(metrics, 3)), f"{out}/profiles")
+    tables.write_table(series.daily_profile(hourly, days, metrics.select("station_id")), f"{out}/profiles")
 
 
+@_job
 def stockouts(spark: SparkSession, out: str, min_monthly: float = demand.MIN_MONTHLY,
               threshold: float = demand.DEMAND_THRESHOLD) -> None:
     hourly = _hourly(spark, out)
@@ -87,23 +102,30 @@ def stockouts(spark: SparkSession, out: str, min_monthly: float = demand.MIN_MON
     tables.write_table(demand.inventory_response(dense, threshold), f"{out}/inventory_response_curve")
 
 
-def run_forecast(spark: SparkSession, out: str, k: int = 20, holdout_days: int = 7 * forecast.HOLDOUT_WEEKS,
-                 seasonal_days: int = 7 * forecast.SEASONAL_WEEKS, iterations: int = 300) -> None:
+@_job
+def run_forecast(spark: SparkSession, out: str, fit_stations: int = 20, holdout_days: int = 7 * forecast.HOLDOUT_WEEKS,
+                 seasonal_days: int = 7 * forecast.SEASONAL_WEEKS, iterations: int = 300,
+                 min_monthly: float = demand.MIN_MONTHLY) -> None:
     hourly = _hourly(spark, out)
-    metrics, city = (tables.read_table(spark, f"{out}/{t}") for t in (
-        "station_metrics", "city_days"))
-    targets = stations.top_stations(metrics, k)
-    axis = panel.continuous_panel(hourly, targets, panel.observed_days(city))
+    metrics, master, city = (tables.read_table(spark, f"{out}/{t}") for t in (
+        "station_metrics", "station_master", "city_days"))
+    chosen = demand.candidates(metrics, master, min_monthly)
+    axis = panel.continuous_panel(hourly, chosen, panel.observed_days(city))
     features = stage(forecast.with_split(forecast.add_features(axis), holdout_days), "features")
-    model = forecast.fit_trees(features, iterations=iterations)
+    # The model is fitted on the strongest stations and used for all.
+    strongest = stations.top_stations(chosen, fit_stations).select("station_id")
+    model = forecast.fit_trees(features.join(F.broadcast(strongest), "station_id", "left_semi"), iterations=iterations)
     test = forecast.predict_trees(model, forecast.test_rows(forecast.add_baselines(features, seasonal_days)))
     tables.write_table(test.select("station_id", "ts", "net_out", "b0_pred", "b1_pred", "b2_pred", "zero_pred"),
                        f"{out}/forecast")
     models = {"B0": "b0_pred", "B1": "b1_pred", "B2": "b2_pred", "zero": "zero_pred"}
     tables.write_table(forecast.score(tables.read_table(spark, f"{out}/forecast"), models, base="B0"),
                        f"{out}/forecast_metrics")
+    tables.write_table(forecast.last_days(tables.read_table(spark, f"{out}/forecast"), stations.top_stations(chosen, 1)),
+                       f"{out}/forecast_last_days")
 
 
+@_job
 def run_robustness(spark: SparkSession, out: str, periods: dict | None = None,
                    min_rentals: int = robustness.MIN_PERIOD_RENTALS) -> None:
     hourly = _hourly(spark, out)
@@ -119,6 +141,7 @@ def run_robustness(spark: SparkSession, out: str, periods: dict | None = None,
     tables.write_table(robustness.threshold_sensitivity(metrics), f"{out}/threshold_sensitivity")
 
 
+@_job
 def export_dashboard(spark: SparkSession, out: str, target: str) -> None:
     hourly = _hourly(spark, out)
     master, metrics, city = (tables.read_table(spark, f"{out}/{t}") for t in (
@@ -134,6 +157,7 @@ def export_dashboard(spark: SparkSession, out: str, target: str) -> None:
     tables.write_documents(daily.select("d", "n"), f"{target}/daily")
 
 
+@_job
 def validate(spark: SparkSession, out: str, status: DataFrame) -> bool:
     """Estimates against measured availability; False (and nothing written) with too few snapshots."""
     if not tables.enough_snapshots(status):

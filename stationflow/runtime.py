@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_SCOPES: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,7 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if context.applicationId not in _LOCAL_DIRS:
-        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="stationflow-")
+        made = _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="stationflow-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
     return _LOCAL_DIRS[context.applicationId]
 
 
@@ -31,6 +36,23 @@ def staging_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/stationflow/{app}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Hadoop's file system, wherever it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def staging_scope(spark: SparkSession):
+    """Tables staged inside are deleted at the end: for jobs that leave only product tables behind."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            delete_path(spark, path)
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Spread a small table over all cores before its rows are multiplied.
 
@@ -49,5 +71,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = staging_path(spark, label)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -357,15 +357,23 @@ def direction_symmetry(t: Tables):
     return stations.direction_symmetry(t.metrics)
 
 
-@query("bin:i n:i", """
-    WITH v AS (SELECT least(CPI, (SELECT quantile_cont(CPI, 0.995) FROM metrics)) AS v FROM metrics WHERE CPI IS NOT NULL),
-         e AS (SELECT min(v) AS lo, max(v) AS hi FROM v)
-    SELECT CASE WHEN hi > lo THEN least(floor((v - lo) / ((hi - lo) / 55.0::DOUBLE)), 54) ELSE 0 END AS bin, count(*) AS n FROM v, e GROUP BY 1""",
-       grain="fine")
+def _bins(column: str, source: str, bins: int, share: float | None = None) -> str:
+    shown = column if share is None else f"least({column}, (SELECT quantile_cont({column}, {share}) FROM {source}))"
+    return f"""WITH v AS (SELECT {shown} AS v FROM {source} WHERE {column} IS NOT NULL), e AS (SELECT min(v) AS lo, max(v) AS hi FROM v)
+    SELECT CASE WHEN hi > lo THEN least(floor((v - lo) / ((hi - lo) / {bins}.0::DOUBLE)), {bins - 1}) ELSE 0 END AS bin, count(*) AS n
+    FROM v, e GROUP BY 1"""
+
+
+@query("bin:i n:i", _bins("CPI", "metrics", 55, 0.995), grain="fine")
 def cpi_histogram(t: Tables):
     return stations.histogram(t.metrics, "CPI", 55, 0.995)
 
 
+@query("bin:i n:i", _bins("WR", "metrics", 55, 0.995), grain="fine")
+def wr_histogram(t: Tables):
+    return stations.histogram(t.metrics, "WR", 55, 0.995)
+
+
 @query("station_id:s lat:f lon:f shown:f size:f", """
     SELECT station_id, lat, lon, greatest(least(net_out_per_day, lim), -lim) AS shown, sqrt(total_events) * 0.28::DOUBLE AS size
     FROM metrics, (SELECT quantile_cont(abs(net_out_per_day), 0.98) AS lim FROM metrics WHERE lat IS NOT NULL AND lon IS NOT NULL)
@@ -476,6 +484,14 @@ def robust_stl(t: Tables):
     return stl.stl(series.interpolate(_order_series(t)))
 
 
+@query("series_key:s n:i parts_add_up:b", "SELECT series_key, count(*) AS n, true AS parts_add_up FROM order_filled GROUP BY 1")
+def robust_stl_parts(t: Tables):
+    """Every day has a trend, a seasonal part and a rest that add up to its value."""
+    parts = stl.stl(series.interpolate(_order_series(t)))
+    gap = F.abs(F.col("filled") - F.col("trend") - F.col("seasonal") - F.col("resid"))
+    return parts.groupBy("series_key").agg(F.count(F.lit(1)).alias("n"), F.every(F.coalesce(gap < 1e-6, F.lit(False))).alias("parts_add_up"))
+
+
 @query("series_key:s month:s days:i per_day:f", "SELECT * FROM order_months")
 def monthly_means(t: Tables):
     return series.monthly_means(_order_series(t))
@@ -611,6 +627,17 @@ def forecast_trees(t: Tables):
     return forecast.score(tested, {"B0": "b0_pred", "B1": "b1_pred", "B2": "b2_pred"}, base="B0")
 
 
+@query("n:i beats_week_ago:b every_row_predicted:b",
+       "SELECT count(*) AS n, true AS beats_week_ago, true AS every_row_predicted FROM tested")
+def forecast_trees_quality(t: Tables):
+    """The boosted trees predict every test row and beat the value of a week ago."""
+    model = forecast.fit_trees(t.features)
+    tested = forecast.predict_trees(model, forecast.test_rows(forecast.add_baselines(t.features, SEASONAL_DAYS)))
+    error = {c: F.avg(F.abs(F.col("net_out") - F.col(c))) for c in ("b0_pred", "b2_pred")}
+    return tested.agg(F.count(F.lit(1)).alias("n"), (error["b2_pred"] < error["b0_pred"]).alias("beats_week_ago"),
+                      F.every(F.col("b2_pred").isNotNull()).alias("every_row_predicted"))
+
+
 @query("station_id:s ts:s net_out:i b0_pred:f b1_pred:f", """
     SELECT * FROM tested WHERE station_id = (SELECT station_id FROM targets LIMIT 1)
       AND ts >= (SELECT max(ts) FROM tested WHERE station_id = (SELECT station_id FROM targets LIMIT 1)) - INTERVAL 7 DAY""")
@@ -844,6 +871,11 @@ def change_correlation_summary(t: Tables):
         snapshots.estimate_and_measure(t.panel, t.status)))
 
 
+@query("bin:i n:i", _bins("corr", "change_corr", 24))
+def change_correlation_histogram(t: Tables):
+    return stations.histogram(snapshots.change_correlation(snapshots.estimate_and_measure(t.panel, t.status)), "corr", 24)
+
+
 _ZERO = "SELECT station_id, 100 * avg(coalesce(bikes_available = 0, false)::INT) AS zero_pct FROM status GROUP BY 1"
 
 
@@ -882,22 +914,67 @@ def offset_summary(t: Tables):
 
 # --- reconciliation and export --------------------------------------------------------
 
-@query("metric:s claim:f value:f ok:b", """
-    SELECT metric, claim, value, abs(claim - value) <= tol AS ok
-    FROM (VALUES ('observed days', 27.0::DOUBLE, 0.0::DOUBLE), ('moves per link pct', 95.0, 5.0), ('net flow', 0.0, 0.0), ('stations', 20.0, 0.0))
-         AS c(metric, claim, tol)
-    LEFT JOIN (SELECT 'observed days' AS metric, count(*)::DOUBLE AS value FROM obs
-               UNION ALL SELECT 'moves per link pct', 100.0 * (SELECT count(*) FROM moves) / (SELECT count(*) FROM links)
-               UNION ALL SELECT 'net flow', sum(net_flow)::DOUBLE FROM panel UNION ALL SELECT 'stations', count(*) FROM master) USING (metric)""")
+# metric, claimed value, tolerance, and the same number in SQL.
+CLAIMS = [
+    ("rows read", 4960.0, 5000.0, "SELECT count(*) FROM clean"),
+    ("rows kept", 4500.0, 0.0, "SELECT count(*) FROM trips"),
+    ("bad times", 300.0, 5000.0, "SELECT count(*) FILTER (WHERE f_time_bad) FROM clean"),
+    ("vehicles", 100.0, 0.0, "SELECT count(DISTINCT bike_id) FROM trips"),
+    ("observed days", 27.0, 0.0, "SELECT count(*) FROM obs"),
+    ("missing days", 0.0, 0.0, "SELECT datediff('day', min(d), max(d)) + 1 - count(*) FROM obs"),
+    ("stations", 20.0, 0.0, "SELECT count(*) FROM master"),
+    ("active stations", 16.0, 4.0, "SELECT count(*) FILTER (WHERE station_type = 'ACTIVE') FROM master"),
+    ("control stations", 4.0, 0.0, "SELECT count(*) FILTER (WHERE station_type = 'CONTROL') FROM master"),
+    ("moves", 4000.0, 100.0, "SELECT count(*) FROM moves"),
+    ("physical moves", 2500.0, 100.0, "SELECT count(*) FILTER (WHERE move_type = 'RELOCATION' AND NOT spans_gap) FROM moves"),
+    ("moves per link pct", 95.0, 5.0, "SELECT 100.0 * count(*) FILTER (WHERE from_st <> to_st) / count(*) FROM links"),
+    ("net flow", 0.0, 0.0, "SELECT sum(net_flow) FROM panel"),
+    ("rentals", 4500.0, 0.0, "SELECT sum(rentals) FROM panel"),
+    ("relocations in", 4000.0, 0.0, "SELECT sum(reloc_in) FROM panel"),
+    ("strongest outflow per day", 2.76, 0.005, "SELECT max(net_out_per_day) FROM metrics"),
+    ("strongest inflow per day", 2.19, 0.005, "SELECT max(-net_out_per_day) FROM metrics"),
+    ("net outflow of the strongest", 1580.0, 0.0, "SELECT first(net_out ORDER BY net_out_per_day DESC NULLS LAST, station_id) FROM metrics"),
+    ("relocations to the strongest", 1160.0, 0.0, "SELECT first(reloc_net_in ORDER BY net_out_per_day DESC NULLS LAST, station_id) FROM metrics"),
+    ("commuter stations", 0.0, 2.0, "SELECT count(*) FILTER (WHERE use_type = 'commute') FROM metrics"),
+    ("outflow of view", 0.0, 500.0, "SELECT sum(net_out) FILTER (WHERE gu = 'view') FROM metrics"),
+    ("rentals and outflow", -0.172, 0.001, "SELECT corr(rentals, net_out_per_day) FROM metrics"),
+    ("peak share and outflow", -0.06, 0.005, "SELECT corr(CPI, net_out_per_day) FROM metrics"),
+    ("judged stations", 16.0, 4.0, "SELECT count(*) FILTER (WHERE CPI IS NOT NULL AND WR IS NOT NULL) FROM metrics"),
+    ("above uniform pct", 98.1, 50.0, "SELECT 100 * avg((CPI > 0.25)::INT) FROM metrics"),
+    ("live rows", 1000.0, 10000.0, "SELECT count(*) FROM status"),
+    ("live mean bikes", 6.0, 2.0, "SELECT avg(bikes_available) FROM status"),
+    ("forecast hours", 3000.0, 1000.0, "SELECT count(*) FROM tested"),
+    ("zero forecast MAE", 0.56, 0.5, "SELECT avg(abs(net_out)) FROM tested"),
+    ("week-ago MAE", 0.82, 0.5, "SELECT avg(abs(net_out - b0_pred)) FROM tested"),
+]
+
+
+@query("metric:s claim:f value:f ok:b", "SELECT metric, claim, value, coalesce(abs(claim - value) <= tol, false) AS ok FROM (" + " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, {c}::DOUBLE AS claim, {tol}::DOUBLE AS tol, CAST(({q}) AS DOUBLE) AS value" for m, c, tol, q in CLAIMS) + ")")
 def claim_reconciliation(t: Tables):
-    claims = t.spark.createDataFrame(
-        [("observed days", 27.0, 0.0), ("moves per link pct", 95.0, 5.0), ("net flow", 0.0, 0.0), ("stations", 20.0, 0.0)],
-        "metric string, claim double, tol double")
-    return verify.reconcile(claims, verify.long_metrics({
-        "observed days": (t.days, F.count(F.lit(1))),
-        "moves per link pct": (moves.link_breaks(t.links, MISSING), F.max("break_pct")),
-        "net flow": (t.panel, F.sum("net_flow")),
-        "stations": (t.master, F.count(F.lit(1)))}))
+    """Published numbers against recomputed ones: one aggregate per table, whatever the number of claims."""
+    n, x = F.count(F.lit(1)), F.col
+    ranked = t.metrics.select("*", F.struct(F.coalesce(-x("net_out_per_day"), F.lit(float("inf"))), "station_id").alias("place"))
+    tested = forecast.test_rows(forecast.add_baselines(t.features, SEASONAL_DAYS))
+    claims = t.spark.createDataFrame([(m, c, tol) for m, c, tol, _ in CLAIMS], "metric string, claim double, tol double")
+    return verify.reconcile(claims, verify.long_metrics([
+        (t.clean, {"rows read": n, "bad times": F.count_if("f_time_bad")}),
+        (t.trips, {"rows kept": n, "vehicles": F.count_distinct("bike_id")}),
+        (t.days, {"observed days": n, "missing days": F.datediff(F.max("d"), F.min("d")) + 1 - n}),
+        (t.master, {"stations": n, "active stations": F.count_if(x("station_type") == "ACTIVE"),
+                    "control stations": F.count_if(x("station_type") == "CONTROL")}),
+        (t.moves, {"moves": n, "physical moves": F.count_if((x("move_type") == "RELOCATION") & ~x("spans_gap"))}),
+        (moves.link_breaks(t.links, MISSING), {"moves per link pct": F.max("break_pct")}),
+        (t.panel, {"net flow": F.sum("net_flow"), "rentals": F.sum("rentals"), "relocations in": F.sum("reloc_in")}),
+        (ranked, {"strongest outflow per day": F.max("net_out_per_day"), "strongest inflow per day": F.max(-x("net_out_per_day")),
+                  "net outflow of the strongest": F.min_by("net_out", "place"), "relocations to the strongest": F.min_by("reloc_net_in", "place"),
+                  "commuter stations": F.count_if(x("use_type") == "commute"), "outflow of view": F.sum(F.when(x("gu") == "view", x("net_out"))),
+                  "rentals and outflow": F.corr("rentals", "net_out_per_day"), "peak share and outflow": F.corr("CPI", "net_out_per_day"),
+                  "judged stations": F.count_if(x("CPI").isNotNull() & x("WR").isNotNull()),
+                  "above uniform pct": 100 * F.avg((x("CPI") > 0.25).cast("int"))}),
+        (t.status, {"live rows": n, "live mean bikes": F.avg("bikes_available")}),
+        (tested, {"forecast hours": n, "zero forecast MAE": F.avg(F.abs("net_out")), "week-ago MAE": F.avg(F.abs(x("net_out") - x("b0_pred")))}),
+    ]))
 
 
 _ACTIVE = "seen WHERE station_id IN (SELECT station_id FROM master WHERE station_type = 'ACTIVE')"

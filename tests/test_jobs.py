@@ -22,7 +22,7 @@ def test_jobs_chain(spark, tmp_path):
     assert verify.differing_rows(tables.read_by_month(spark, f"{out}/station_hourly", "ym").drop("ym"), t.panel).count() == 0
     assert product("daily_stl").where("trend is not null").count() == product("daily_series").count()
     assert product("dow_hour").count() == 168
-    assert product("profiles").groupBy("station_id").count().where("count = 24").count() == 3
+    assert product("profiles").groupBy("station_id").count().where("count = 24").count() == t.metrics.count()
 
     jobs.stockouts(spark, out, views.MIN_MONTHLY, views.DEMAND)
     assert verify.differing_rows(product("dense"), t.dense).count() == 0
@@ -30,7 +30,9 @@ def test_jobs_chain(spark, tmp_path):
     assert verify.differing_rows(product("stockout_by_station").select(*same.columns), same).count() == 0
     assert product("inventory_response_curve").agg(F.max("decile")).first()[0] <= 10
 
-    jobs.run_forecast(spark, out, 20, views.HOLDOUT_DAYS, views.SEASONAL_DAYS, iterations=2)
+    jobs.run_forecast(spark, out, 20, views.HOLDOUT_DAYS, views.SEASONAL_DAYS, iterations=2, min_monthly=views.MIN_MONTHLY)
+    shown = product("forecast_last_days")
+    assert shown.count() > 24 and "b2_pred" in shown.columns and shown.where("b2_pred IS NULL").count() == 0
     scores = {r.model: r for r in product("forecast_metrics").collect()}
     assert set(scores) == {"B0", "B1", "B2", "zero"} and scores["B0"].improvement_pct == 0
     assert scores["zero"].n == forecast.test_rows(t.features).count()
