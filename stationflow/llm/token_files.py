@@ -36,7 +36,7 @@ from .common import U64, mix, stage, text_or_empty
 SHARD_IDS = 4 << 20
 SEGMENT = 1 << 16
 # Entries of the word memo of one Python worker; its older half stays when it is full.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 450_000
 # How a byte-level vocabulary writes a space; marks that never stand in a token with letters.
 _SPACE, _MARKS = "\u0120", ".,;:!?%$#&*|"
 _ENCODERS: dict[str, "Encoder"] = {}
