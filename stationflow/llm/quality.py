@@ -115,7 +115,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[Da
     # Bounded by max_rows, so the broadcast is.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     found, names = with_statistics(rows.select("doc_id", "text"))
-    return found.dropDuplicates(["doc_id"]).join(F.broadcast(chosen), "doc_id"), names
+    once = found.groupBy("doc_id").agg(F.min(F.struct(*names)).alias("s")).select("doc_id", "s.*")
+    return once.join(F.broadcast(chosen), "doc_id"), names
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, trees: int = 16, depth: int = 3,

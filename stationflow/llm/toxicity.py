@@ -117,7 +117,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFram
               .unionByName(marks.where("label = 0").orderBy(order, "doc_id").limit(half)))
     # Bounded by max_rows, so the broadcast is.
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
-    once = texts.dropDuplicates(["doc_id"]).select("*", F.substring("text", 1, 60).alias("_a"), F.expr("right(text, 60)").alias("_z"))
+    once = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("*", F.substring("text", 1, 60).alias("_a"), F.expr("right(text, 60)").alias("_z"))
     first = F.min(F.struct("doc_id", "label", "text"))
     once = once.groupBy("label", "_a").agg(first.alias("r")).select("label", F.col("r.doc_id"), F.col("r.text"), F.expr("right(r.text, 60)").alias("_z"))
     return once.groupBy("label", "_z").agg(first.alias("r")).select("r.doc_id", "r.label", "r.text")
