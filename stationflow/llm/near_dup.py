@@ -5,9 +5,11 @@ positions; step k offers the value k + uniform to the position reached. Steps ar
 of a document together, and a document stops as soon as each position holds a value below the next step.
 
 One row per distinct shingle set (a class of copies) goes through banding. Within a band bucket every
-member is compared with the bucket's hub, the member whose buckets are largest; members that are still
-in different components afterwards are compared in blocks, so no pair that shares a bucket and could
-join two components is left out. Links are confirmed on the full sets. Components come from union-find
+member is compared with the bucket's hub, the member whose buckets are largest. Members that are still
+in different components are compared in blocks, so no pair that shares a bucket and could join two
+components is left out; shingles that no or few other such members have bound what a pair can share,
+which rules out the heavily edited copies of a large group before any pair is formed. Links are
+confirmed on the full sets. Components come from union-find
 inside tasks and large-star / small-star rounds between them.
 
 Edge cases: null or blank texts have an empty set and stand alone; rows that repeat a doc_id are one
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (BROADCAST_ROWS, U64, bounded, chunks, mix, remove_path, stage, text_buffers, text_or_empty,
+from .common import (BROADCAST_ROWS, U64, bounded, chunks, drop_staged, mix, stage, text_buffers, text_or_empty,
                      word_hashes)
 
 BANDS, ROWS = 32, 4
@@ -33,6 +35,8 @@ _FRACTION = 24
 _LOW = U64((1 << _FRACTION) - 1)
 _STEP = 0x9E3779B97F4A7C15
 BLOCK = 256
+# In buckets of more than a block, elements of up to so many members bound what two members can share.
+SCARCE = 64
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +154,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             key = (key[cut[1:]] - key[cut[:-1]]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").slice(a, b - a), pa.array(key),
-                 pa.array([element[cut[i]:cut[i + 1]].tobytes() for i in range(b - a)], pa.binary())],
+                 pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(element.view(np.int64)))],
                 ["doc_id", "c1", "elements"])
 
 
@@ -168,7 +172,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
     for batch in batches:
         keep = []
         for x, y in zip(batch.column("a_elements"), batch.column("b_elements")):
-            u, v = (np.frombuffer(z.as_buffer(), dtype=U64) for z in (x, y))
+            u, v = (z.values.to_numpy(zero_copy_only=False).view(U64) for z in (x, y))
             if len(u) > len(v):
                 u, v = v, u
             place = np.minimum(np.searchsorted(v, u), max(len(v) - 1, 0))
@@ -177,18 +181,38 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _shared_scarce(left: list[list[int]], right: list[list[int]]) -> np.ndarray:
+    """How many elements each member of one side shares with each of the other."""
+    shared = np.zeros((len(left), len(right)), dtype=np.int64)
+    holders: dict[int, list[int]] = {}
+    for j, elements in enumerate(right):
+        for e in elements:
+            holders.setdefault(e, []).append(j)
+    for i, elements in enumerate(left):
+        for e in elements:
+            if e in holders:
+                shared[i, holders[e]] += 1
+    return shared
+
+
 def _block_pairs(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of two blocks of a bucket: other component, fitting sizes, sketches alike."""
+    """Pairs of two blocks of a bucket: other component, able to share enough, sketches alike.
+
+    A pair shares the scarce elements both hold, and of the others no more than either has; elements of
+    its own are left out of that.
+    """
     schema = pa.schema([(c, pa.int64()) for c in ("a", "a_c1", "b", "b_c1")])
     for batch in batches:
         for line in batch.to_pylist():
             sides = []
             for members in (line["left"], line["right"]):
-                numbers = np.array([[m["rep"], m["c1"], m["n"], m["label"]] for m in members], dtype=np.int64)
+                numbers = np.array([[m["rep"], m["c1"], m["n"], m["label"], m["n"] - m["own"] - len(m["scarce"])] for m in members], dtype=np.int64)
                 sides.append((numbers, np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(-1, SIZE)))
             (p, ps), (q, qs) = sides
             other = p[:, None, 3] != q[None, :, 3]
-            other &= 100 * np.minimum(p[:, None, 2], q[None, :, 2]) >= percent * np.maximum(p[:, None, 2], q[None, :, 2])
+            shared = np.minimum(p[:, None, 4], q[None, :, 4])
+            shared += _shared_scarce([m["scarce"] for m in line["left"]], [m["scarce"] for m in line["right"]])
+            other &= 100 * shared >= percent * (p[:, None, 2] + q[None, :, 2] - shared)
             if line["same"]:
                 other &= np.triu(np.ones(other.shape, dtype=bool), 1)
             i, j = np.nonzero(other)
@@ -228,7 +252,6 @@ def components(links: DataFrame) -> DataFrame:
     Tasks first shrink their links to a forest; then large-star and small-star rounds (Kiveris et al.,
     2014) run until the links no longer change. Each round is a written table.
     """
-    spark = links.sparkSession
     edges = stage(links.where("a <> b").select("a", "b").mapInArrow(_forest, "a long, b long"), "links")
     mark = None
     while True:
@@ -240,7 +263,7 @@ def components(links: DataFrame) -> DataFrame:
         hooked = large.join(small_least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = stage(hooked.unionByName(small_least.select("a", F.col("m").alias("b"))).distinct(), "links")
         total = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        remove_path(spark, edges.inputFiles()[0].rsplit("/", 1)[0]) if edges.inputFiles() else None
+        drop_staged(edges)
         edges = after
         if total == mark or total[0] == 0:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -254,7 +277,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     default banding a pair at 0.8 is missed with a probability of 5e-8; the sketch filter keeps pairs
     down to five standard deviations below the threshold.
     """
-    spark = docs.sparkSession
     least = max(0, int(SIZE * (percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / SIZE) ** 0.5)))
     described = stage(describe(docs, width), "described")
     # Copies: one line per distinct set; a set's bands and sketch are the same in all its documents.
@@ -277,20 +299,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                                            F.col("sketch").alias(f"{side}_sketch")), [side, f"{side}_c1"])
     stars = stage(stars.mapInArrow(lambda it: _alike(it, least), "a long, a_c1 long, b long, b_c1 long"), "stars")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        wanted = stage(wanted.distinct(), "wanted")
         texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
                  .join(bounded(wanted, wanted.count(), BROADCAST_ROWS), "doc_id", "left_semi"))
-        sets = stage(texts.mapInArrow(lambda it: _sets(it, width), "doc_id long, c1 long, elements binary")
-                     .groupBy("doc_id", "c1").agg(F.first("elements").alias("elements")), "sets")
+        found = texts.mapInArrow(lambda it: _sets(it, width), "doc_id long, c1 long, elements array<long>")
+        return stage(found.dropDuplicates(["doc_id", "c1"]), "sets")
+
+    def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for side in "ab":
             pairs = pairs.join(sets.select(F.col("doc_id").alias(side), F.col("c1").alias(f"{side}_c1"),
                                            F.col("elements").alias(f"{side}_elements")), [side, f"{side}_c1"])
-        links = stage(pairs.mapInArrow(lambda it: _confirmed(it, percent), "a long, b long"), "confirmed")
-        for done in (wanted, sets):
-            if done.inputFiles():
-                remove_path(spark, done.inputFiles()[0].rsplit("/", 1)[0])
-        return links
+        return stage(pairs.mapInArrow(lambda it: _confirmed(it, percent), "a long, b long"), "confirmed")
 
     # A doc_id whose rows hold different texts joins the classes of all of them.
     several = described.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(
@@ -298,17 +318,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     class_rep = reps.select("n", "c1", "c2", "rep")
     same_id = (described.join(several, "doc_id", "left_semi").join(class_rep, ["n", "c1", "c2"])
                .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b"))
-    links = stage(confirm(stars).unionByName(same_id), "found")
+    star_sets = sets_of(stars.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    links = stage(confirm(stars, star_sets).unionByName(same_id), "found")
+    drop_staged(star_sets)
     roots = components(links)
 
-    # Members of a bucket that are still apart: compared in blocks against each other.
+    # Members of buckets that are still apart: how many of their shingles no other of them has, and in
+    # crowded buckets which ones few others have.
     labelled = (members.where("members > 2").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-                .withColumn("label", F.coalesce("root", "rep")))
-    apart = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"),
-                                           F.first("members").alias("size")).where("low <> high")
-    blocks = (labelled.join(apart.select("bucket", "size"), "bucket").join(sketches, ["rep", "c1"])
-              .groupBy("bucket", F.pmod(F.xxhash64("rep", "c1"), F.ceil(F.col("size") / BLOCK)).alias("block"))
-              .agg(F.collect_list(F.struct("rep", "c1", "n", "label", "sketch")).alias("list")))
+                .withColumn("label", F.coalesce("root", "rep")).drop("root"))
+
+    def still_apart(rows: DataFrame) -> DataFrame:
+        several = (rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
+                   .where("low <> high").select("bucket", "size"))
+        return rows.join(several, "bucket")
+
+    apart = stage(still_apart(labelled), "apart")
+    place = ["rep", "c1"]
+    widest = apart.groupBy(*place).agg(F.max("size").alias("widest"))
+    rest_sets = sets_of(widest.select(F.col("rep").alias("doc_id")))
+    elements = (rest_sets.select(F.col("doc_id").alias("rep"), "c1", "elements").join(widest, place)
+                .select(*place, "widest", F.explode("elements").alias("element")))
+    scarce = elements.groupBy("element").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= SCARCE)
+    in_crowd = (F.col("k") > 1) & (F.col("widest") > BLOCK)
+    known = elements.join(scarce, "element").groupBy(*place).agg(
+        F.count_if(F.col("k") == 1).alias("own"), F.array_sort(F.collect_list(F.when(in_crowd, F.col("element")))).alias("scarce"))
+    able = (apart.drop("size").join(known, place, "left")
+            .withColumns({"own": F.coalesce("own", F.lit(0)), "scarce": F.coalesce("scarce", F.expr("CAST(array() AS array<long>)"))})
+            .where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")))
+    blocks = (still_apart(able).join(sketches, place)
+              .groupBy("bucket", F.pmod(F.xxhash64(*place), F.ceil(F.col("size") / BLOCK)).alias("block"))
+              .agg(F.collect_list(F.struct("rep", "c1", "n", "own", "label", "scarce", "sketch")).alias("list")))
     blocks = stage(blocks, "blocks")
     left, right = (blocks.select("bucket", F.col("block").alias(f"{s}_block"), F.col("list").alias(s)) for s in ("left", "right"))
     meetings = left.join(right, "bucket").where("left_block <= right_block").select(
@@ -320,7 +360,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                                            F.col("a_c1").alias("b_c1")))
     rest = stage(rest.join(tried, ["a", "a_c1", "b", "b_c1"], "left_anti"), "rest")
     if rest.take(1):
-        roots = components(links.unionByName(confirm(rest)))
+        roots = components(links.unionByName(confirm(rest, rest_sets)))
+    drop_staged(rest_sets)
 
     in_class = (described.select("doc_id", F.col("n").alias("n_shingles"), "n", "c1", "c2")
                 .join(class_rep.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
