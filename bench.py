@@ -13,6 +13,7 @@ import tempfile
 import time
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from stationflow.workload import queries as _queries  # noqa: F401
 from stationflow.workload.registry import REGISTRY, shaped
@@ -27,6 +28,21 @@ ON_PRODUCTS = ["bike_moves", "moves_by_position", "station_hourly", "station_dai
                "profile_arrays"]
 
 
+# Copies of the events, each with users of their own, in the trial of the chain at a larger size.
+TRIAL_FACTOR = int(os.environ.get("BENCH_TRIAL_FACTOR", "20"))
+
+
+class Trial(Tables):
+    """The driver's events many times over."""
+
+    @property
+    def events(self):
+        copies = F.explode(F.sequence(F.lit(0), F.lit(TRIAL_FACTOR - 1)))
+        return (Tables.events.func(self).withColumn("copy", copies)
+                .withColumns({"user_id": F.col("user_id") * TRIAL_FACTOR + F.col("copy"),
+                              "event_id": F.col("event_id") * TRIAL_FACTOR + F.col("copy")}).drop("copy"))
+
+
 def timed(run) -> float:
     began = time.perf_counter()
     run()
@@ -57,8 +73,13 @@ def main() -> None:
     products["coarse"].status
     for name in ON_PRODUCTS:
         seconds[name] = timed(drain(name, products[REGISTRY[name].grain]))
+    # Text trips -> clean -> dedup -> moves -> hourly panel, on TRIAL_FACTOR times the events.
+    trial = Trial(spark, sf_dir)
+    for step in ("clean", "trips", "moves", "panel"):
+        seconds[f"trial_{step}"] = timed(lambda step=step: getattr(trial, step))
+    trial_trips = trial.clean.count()
     spark.stop()
-    print(json.dumps({"metric": "total wall-clock of the headline queries", "value": round(sum(seconds.values()), 3),
+    print(json.dumps({"trial_trips": trial_trips, "metric": "total wall-clock of the headline queries", "value": round(sum(seconds.values()), 3),
                       "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/"))}))
 
 

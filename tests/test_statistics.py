@@ -165,7 +165,7 @@ def test_station_types_by_strength_of_rule(spark):
     end = date(2026, 3, 31)
     def row(sid, name, first, last, ratio, events):
         return (sid, name, first, last, (last - first).days + 1, ratio, events)
-    rows = [row("ctrl", "타슈관제센터", end - timedelta(days=5), end, 1.0, 10), row("fest", "축제 임시", date(2025, 1, 1), end, 1.0, 9999),
+    rows = [row("ctrl", "관제센터", end - timedelta(days=5), end, 1.0, 10), row("fest", "축제 임시", date(2025, 1, 1), end, 1.0, 9999),
             row("short", "A", date(2025, 1, 1), date(2025, 2, 1), 1.0, 9999), row("new", "A", end - timedelta(days=30), end, 1.0, 9999),
             row("closed", "A", date(2024, 9, 1), date(2025, 6, 1), 1.0, 9999), row("low", None, date(2024, 9, 1), end, 0.4, 100),
             row("active", "A", date(2024, 9, 1), end, 0.9, 100), row("edge", "A", end - timedelta(days=90), end, 0.9, 100),
