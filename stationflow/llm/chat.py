@@ -76,9 +76,11 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         jumps.append(reach)
         above = reach.select("conv_id", F.col("msg_id").alias("up"), F.col("up").alias("next"),
                              F.col("score").alias("more"), F.col("length").alias("steps"))
-        reach = stage(reach.join(above, ["conv_id", "up"], "left").select(
-            "conv_id", "msg_id", F.col("next").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
-            (F.col("length") + F.coalesce("steps", F.lit(0))).alias("length")), "reach")
+        # Messages that have reached their root stay as they are.
+        further = reach.where("up IS NOT NULL").join(above, ["conv_id", "up"]).select(
+            "conv_id", "msg_id", F.col("next").alias("up"), (F.col("score") + F.col("more")).alias("score"),
+            (F.col("length") + F.col("steps")).alias("length"))
+        reach = stage(further.unionByName(reach.where("up IS NULL")), "reach")
         left = reach.where("up IS NOT NULL").count()
     parents = nodes.select("conv_id", F.col("parent_id").alias("msg_id")).where("msg_id IS NOT NULL").distinct()
     order = Window.partitionBy("conv_id").orderBy((F.col("score") / F.col("length")).desc(), F.col("length").desc(), "msg_id")
