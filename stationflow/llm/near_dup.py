@@ -199,19 +199,22 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], least: int, percent: int) ->
     """Pairs of two blocks of a bucket: other component, able to share enough, sketches alike.
 
     A pair shares the scarce elements both hold, and of the others no more than either has; elements of
-    its own are left out of that.
+    its own are left out of that. Only members with ``listed`` have all their scarce elements at hand, so a
+    pair with another member is bound by what is not its own.
     """
     schema = pa.schema([(c, pa.int64()) for c in ("a", "a_c1", "b", "b_c1")])
     for batch in batches:
         for line in batch.to_pylist():
             sides = []
             for members in (line["left"], line["right"]):
-                numbers = np.array([[m["rep"], m["c1"], m["n"], m["label"], m["n"] - m["own"] - len(m["scarce"])] for m in members], dtype=np.int64)
+                numbers = np.array([[m["rep"], m["c1"], m["n"], m["label"], m["n"] - m["own"], len(m["scarce"]), m["listed"]] for m in members], dtype=np.int64)
                 sides.append((numbers, np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(-1, SIZE)))
             (p, ps), (q, qs) = sides
             other = p[:, None, 3] != q[None, :, 3]
             shared = np.minimum(p[:, None, 4], q[None, :, 4])
-            shared += _shared_scarce([m["scarce"] for m in line["left"]], [m["scarce"] for m in line["right"]])
+            fewer = np.minimum(p[:, None, 4] - p[:, None, 5], q[None, :, 4] - q[None, :, 5])
+            fewer += _shared_scarce([m["scarce"] for m in line["left"]], [m["scarce"] for m in line["right"]])
+            shared = np.where((p[:, None, 6] & q[None, :, 6]) == 1, fewer, shared)
             other &= 100 * shared >= percent * (p[:, None, 2] + q[None, :, 2] - shared)
             if line["same"]:
                 other &= np.triu(np.ones(other.shape, dtype=bool), 1)
@@ -340,15 +343,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     elements = (rest_sets.select(F.col("doc_id").alias("rep"), "c1", "elements").join(widest, place)
                 .select(*place, "widest", F.explode("elements").alias("element")))
     scarce = elements.groupBy("element").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= SCARCE)
-    in_crowd = (F.col("k") > 1) & (F.col("widest") > BLOCK)
+    crowd = F.col("widest") > BLOCK
+    in_crowd = (F.col("k") > 1) & crowd
     known = elements.join(scarce, "element").groupBy(*place).agg(
         F.count_if(F.col("k") == 1).alias("own"), F.array_sort(F.collect_list(F.when(in_crowd, F.col("element")))).alias("scarce"))
-    able = (apart.drop("size").join(known, place, "left")
+    able = (apart.drop("size").join(widest.select(*place, crowd.alias("listed")), place).join(known, place, "left")
             .withColumns({"own": F.coalesce("own", F.lit(0)), "scarce": F.coalesce("scarce", F.expr("CAST(array() AS array<long>)"))})
             .where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")))
     blocks = (still_apart(able).join(sketches, place)
               .groupBy("bucket", F.pmod(F.xxhash64(*place), F.ceil(F.col("size") / BLOCK)).alias("block"))
-              .agg(F.collect_list(F.struct("rep", "c1", "n", "own", "label", "scarce", "sketch")).alias("list")))
+              .agg(F.collect_list(F.struct("rep", "c1", "n", "own", "label", "scarce", "listed", "sketch")).alias("list")))
     blocks = stage(blocks, "blocks")
     left, right = (blocks.select("bucket", F.col("block").alias(f"{s}_block"), F.col("list").alias(s)) for s in ("left", "right"))
     meetings = left.join(right, "bucket").where("left_block <= right_block").select(

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brute import near_groups, shingles
 from stationflow.llm import near_dup
@@ -97,3 +98,21 @@ def test_query_equals_brute_force(spark, sf):
     want, sizes = near_groups(docs, 4, 80)
     got = QUERIES["op10_near_dup"](spark, path).collect()
     assert {r.doc_id: (r.component_id, r.n_shingles) for r in got} == {i: (want[i], sizes[i]) for i in want}
+
+
+def test_pairs_of_members_in_and_out_of_crowded_buckets(spark, monkeypatch):
+    """Only one of two alike texts is in a crowded bucket; they share a small one, whose hub is like neither."""
+    def text(k):
+        return [f"w{k}_{i}" for i in range(100)]
+
+    alike = text(1)
+    rows = [(1, alike), (2, [*alike[:98], "other", "end"])] + [(k, text(k)) for k in range(3, 40)]
+    rows = [(i, " ".join(words)) for i, words in rows]
+    # The hub of bucket 100 is text 3, through bucket 200; bucket 300 is crowded.
+    bands = {1: [100, 300], 2: [100], 3: [100, 200], **{k: [200] for k in range(4, 30)}, **{k: [300] for k in range(30, 40)}}
+    real = near_dup.describe
+    table = F.create_map(*[c for k, v in bands.items() for c in (F.lit(k), F.array(*[F.lit(x).cast("long") for x in v]))])
+    monkeypatch.setattr(near_dup, "describe", lambda docs, width: real(docs, width).withColumn("bands", F.try_element_at(table, F.col("doc_id").cast("int"))))
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    want, _ = near_groups(rows, 4, 80)
+    assert want[2] == 1 and answer(near_dup.near_duplicates(frame(spark, rows), 4, 80)) == want
