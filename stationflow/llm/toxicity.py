@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, hashed_runs, remainder_of_id, text_buffers, text_or_empty
+from .common import U64, chunks, hashed_runs, remainder_of_id, stage, text_buffers, text_or_empty
 
 # Groups whose members may stand for one another. A parameter of ``train``; common English terms.
 IDENTITY_GROUPS = (
@@ -106,21 +106,21 @@ def _sigmoid(x):
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     """At most ``max_rows`` labelled texts, half of each class if there are enough, in a hashed order.
 
-    Rows whose crc32(doc_id) leaves 1 modulo 3 are kept out. Texts with the same beginning or the same
-    end count once, so that a group of copies does not outvote the rest.
+    Rows whose crc32(doc_id) leaves 1 modulo 3 are kept out. Equal texts of a label count once and are left
+    out before the limit, so that a group of copies does not outvote the rest. Of a doc_id's texts one counts.
     """
     marks = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("label"))
              .where(remainder_of_id() != 1))
+    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("hash", F.xxhash64("text"))
     order = F.xxhash64("doc_id", F.lit("sample"))
+    # Ids and hashes only; of equal texts the first in the hashed order stands for all.
+    labelled = rows.select("doc_id", "hash").join(marks, "doc_id").groupBy("doc_id", "label").agg(F.min("hash").alias("hash"))
+    once = stage(labelled.groupBy("label", "hash").agg(F.min_by("doc_id", order).alias("doc_id")), "labelled")
     half = max_rows // 2
-    chosen = (marks.where("label = 1").orderBy(order, "doc_id").limit(half)
-              .unionByName(marks.where("label = 0").orderBy(order, "doc_id").limit(half)))
+    chosen = (once.where("label = 1").orderBy(order, "doc_id").limit(half)
+              .unionByName(once.where("label = 0").orderBy(order, "doc_id").limit(half)))
     # Bounded by max_rows, so the broadcast is.
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
-    once = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("*", F.substring("text", 1, 60).alias("_a"), F.expr("right(text, 60)").alias("_z"))
-    first = F.min(F.struct("doc_id", "label", "text"))
-    once = once.groupBy("label", "_a").agg(first.alias("r")).select("label", F.col("r.doc_id"), F.col("r.text"), F.expr("right(r.text, 60)").alias("_z"))
-    return once.groupBy("label", "_z").agg(first.alias("r")).select("r.doc_id", "r.label", "r.text")
+    return rows.join(F.broadcast(chosen), ["doc_id", "hash"]).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def _sample(batches: Iterator[pa.RecordBatch], groups) -> Iterator[pa.RecordBatch]:

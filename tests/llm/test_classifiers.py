@@ -148,3 +148,14 @@ def test_scores_do_not_depend_on_pieces(monkeypatch):
     raw, at = toxicity.text_buffers(pa.array(texts))
     parts = np.concatenate([model.sums(raw, at[a:b + 1]) for a, b in toxicity.chunks(at, 50)])
     assert np.allclose(toxicity._sigmoid(parts + model.bias), whole)
+
+
+def test_only_whole_copies_leave_the_sample(spark):
+    """Texts with a common header and footer all count, and copies do not use up the limit."""
+    header, footer = "header " * 20, " footer" * 20
+    docs = [(i, f"{header}word{i}{footer}") for i in range(60)] + [(i, f"{header}copy{footer}") for i in range(60, 300)]
+    d, l = frames(spark, docs, [(i, 0, 1) for i, _ in docs] + [(1000, 0, 1)])
+    learnt = {t for i, t in docs if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert {r.text for r in toxicity.training_rows(d, l, 400).collect()} == learnt
+    few = toxicity.training_rows(d, l, 40).collect()
+    assert len(few) == len({r.text for r in few}) == 20
