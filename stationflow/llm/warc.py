@@ -108,7 +108,7 @@ def with_bodies(resolved: DataFrame, records: DataFrame) -> DataFrame:
 def write_warc(records: DataFrame, out: str) -> None:
     """Writes records as WARC 1.1 files: record_id, url, at, type, headers, body (binary, may be null).
 
-    The text writer ends each row with the two line breaks that close a WARC record.
+    A null id, url, time or type has no header line and is read back as null. The text writer ends each row with the two line breaks that close a WARC record.
     """
     crlf = F.lit("\r\n")
     reason = F.when(F.col("type") == "revisit", "HTTP/1.1 304 Not Modified\r\n").otherwise("HTTP/1.1 200 OK\r\n")
@@ -116,11 +116,16 @@ def write_warc(records: DataFrame, out: str) -> None:
                           lambda e: F.concat(e["key"], F.lit(": "), e["value"], crlf))
     http = F.concat(reason, F.array_join(entries, ""), crlf).cast("binary")
     block = F.concat(http, F.coalesce("body", F.lit(b"")))
-    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: "), F.col("type"), F.lit("\r\nWARC-Record-ID: <urn:record:"), F.col("record_id").cast("string"),
-                    F.lit(">\r\nWARC-Target-URI: "), F.col("url"), F.lit("\r\nWARC-Date: "),
-                    F.date_format(F.timestamp_seconds("at"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("\r\nContent-Length: "),
-                    F.length(block).cast("string"), F.lit("\r\n\r\n")).cast("binary")
-    (records.where("url IS NOT NULL AND at IS NOT NULL").select(F.concat(head, block).cast("string").alias("value"))
+
+    def line(name, value):
+        return F.coalesce(F.concat(F.lit(f"{name}: "), value, crlf), F.lit(""))
+
+    head = F.concat(F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("type")),
+                    line("WARC-Record-ID", F.concat(F.lit("<urn:record:"), F.col("record_id").cast("string"), F.lit(">"))),
+                    line("WARC-Target-URI", F.col("url")),
+                    line("WARC-Date", F.date_format(F.timestamp_seconds("at"), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+                    line("Content-Length", F.length(block).cast("string")), crlf).cast("binary")
+    (records.select(F.concat(head, block).cast("string").alias("value"))
      .write.mode("overwrite").option("maxRecordsPerFile", RECORDS_PER_FILE).option("lineSep", "\r\n\r\n").text(out))
 
 
@@ -134,8 +139,10 @@ def records_of(content: memoryview) -> Iterator[dict]:
         block = data[end + 4:end + 4 + size]
         http, _, body = block.partition(b"\r\n\r\n")
         lines = [tuple(line.decode("utf-8", "replace").split(": ", 1)) for line in http.split(b"\r\n")[1:] if b": " in line]
-        yield {"record_id": int(head[b"WARC-Record-ID"].rpartition(b":")[2].rstrip(b">")), "url": head[b"WARC-Target-URI"].decode("utf-8", "replace"),
-               "date": head[b"WARC-Date"].decode(), "type": head[b"WARC-Type"].decode(), "headers": lines, "body": body}
+        number, url, date, kind = (head.get(name) for name in (b"WARC-Record-ID", b"WARC-Target-URI", b"WARC-Date", b"WARC-Type"))
+        yield {"record_id": None if number is None else int(number.rpartition(b":")[2].rstrip(b">")),
+               "url": None if url is None else url.decode("utf-8", "replace"), "date": None if date is None else date.decode(),
+               "type": None if kind is None else kind.decode(), "headers": lines, "body": body}
         at = end + 4 + size + 4
 
 

@@ -156,3 +156,14 @@ def test_warc_files_round_trip(spark):
 def test_captures_cover_all_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     assert captures(pages).count() == 2 * pages.count()
+
+
+def test_query_on_pages_without_url_or_id(spark, tmp_path):
+    schema = "page_id long, url string, html string"
+    rows = [(4, "http://a.com/", "x"), (5, None, "y"), (None, "http://a.com/", "z"), (None, None, None), (6, "", "w")]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r.record_id, r.canonical_url, r.headers) for r in QUERIES["op8_warc_revisits"](spark, str(tmp_path)).collect() if r.status == "unmatched"}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = {(r[0], r[1], r[4]) for r in con.execute(ORACLES["op8_warc_revisits"]).fetchall() if r[2] == "unmatched"}
+    assert got == want and {(11, None), (None, "a.com/"), (None, None)} <= {r[:2] for r in got}
