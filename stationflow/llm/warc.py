@@ -4,8 +4,9 @@ A server that answers ``304 Not Modified`` leaves a revisit record without a bod
 as-of join: the latest earlier full response of the same canonical URL. The response counts only if the
 validators agree (ETag, else Last-Modified); its headers are then updated by those the revisit may carry.
 
-A URL may hold a large share of all captures, so the as-of join is cut into days: within a day a window
-looks back, and one row per URL and day hands the last response on to later days. Bodies never pass
+A URL may hold a large share of all captures, so the as-of join sees one row per URL and second and is cut
+into days: within a day a window looks back over at most 86,400 rows, and one row per URL and day hands the
+last response on to later days. Revisits fetch the answer of their URL and second. Bodies never pass
 through it; they are joined to the resolved records by record id.
 
 Edge cases: records with a null URL or time, and revisits without an earlier response, are ``unmatched``;
@@ -65,15 +66,19 @@ def latest_earlier(records: DataFrame) -> DataFrame:
 
     ``records``: record_id, key, at (seconds), is_response.
     """
-    rows = records.where("key IS NOT NULL AND at IS NOT NULL").withColumn("day", F.floor(F.col("at") / 86400))
-    mine = F.when(F.col("is_response"), F.struct("at", "record_id"))
-    by_day = rows.groupBy("key", "day").agg(F.max(mine).alias("last"))
+    rows = records.where("key IS NOT NULL AND at IS NOT NULL").select("record_id", "key", "at", "is_response")
+    # Of one URL and second only the greatest response counts, and all revisits get the same answer.
+    times = (rows.groupBy("key", "at").agg(F.max(F.when(F.col("is_response"), F.col("record_id"))).alias("id"))
+             .withColumn("day", F.floor(F.col("at") / 86400)))
+    mine = F.when(F.col("id").isNotNull(), F.struct("at", "id"))
+    by_day = times.groupBy("key", "day").agg(F.max(mine).alias("last"))
     older = Window.partitionBy("key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     handed = by_day.select("key", "day", F.last("last", ignorenulls=True).over(older).alias("before"))
     same_day = Window.partitionBy("key", "day").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    within = rows.withColumn("now", F.max(mine).over(same_day)).where(~F.col("is_response"))
-    found = within.join(handed, ["key", "day"], "left").withColumn("best", F.coalesce("now", "before"))
-    return found.select("record_id", F.col("best.record_id").alias("refers_to"))
+    within = times.withColumn("now", F.max(mine).over(same_day)).join(handed, ["key", "day"], "left")
+    found = within.select("key", "at", F.coalesce("now", "before").alias("best"))
+    return (rows.where(~F.col("is_response")).join(found, ["key", "at"], "left")
+            .select("record_id", F.col("best.id").alias("refers_to")))
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 import random
+import re
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stationflow.llm import exact_topk, url_filter, warc
 from stationflow.llm.common import staging_path
@@ -167,3 +169,21 @@ def test_query_on_pages_without_url_or_id(spark, tmp_path):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
     want = {(r[0], r[1], r[4]) for r in con.execute(ORACLES["op8_warc_revisits"]).fetchall() if r[2] == "unmatched"}
     assert got == want and {(11, None), (None, "a.com/"), (None, None)} <= {r[:2] for r in got}
+
+
+def test_rows_of_a_hot_url_in_one_day_do_not_meet_in_a_window(spark):
+    """2,000 captures of a url within 40 seconds: its windows see one row per second."""
+    rng = random.Random(7)
+    rows = [(i, "http://hot.com/", rng.randrange(40), rng.choice(["response", "revisit"]), {"etag": '"e"'}) for i in range(2000)]
+    want = {i: max(((a, j) for j, _, a, k, _ in rows if k == "response" and a < at), default=(0, None))[1]
+            for i, _, at, kind, _ in rows if kind == "revisit"}
+    found = warc.latest_earlier(records(spark, rows).select("record_id", F.col("url").alias("key"), "at", (F.col("type") == "response").alias("is_response")))
+    assert {r.record_id: r.refers_to for r in found.collect()} == want
+    # Every window stands on an aggregate, so no raw row reaches one.
+    lines = found._jdf.queryExecution().optimizedPlan().toString().strip().split("\n")
+    windows = [k for k, line in enumerate(lines) if re.match(r"[ :+-]*Window ", line)]
+    depth = lambda k: re.search(r"\w", lines[k]).start()
+    for k in windows:
+        below = next((j for j in range(k + 1, len(lines)) if depth(j) <= depth(k)), len(lines))
+        assert any("Aggregate [key" in line for line in lines[k + 1:below])
+    assert len(windows) == 2
