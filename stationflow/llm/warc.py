@@ -16,6 +16,7 @@ null or empty; header names are compared without case. Extra columns are kept aw
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +30,11 @@ FRAMING = ("connection", "content-encoding", "content-length", "content-range",
            "proxy-authenticate", "proxy-authorization", "set-cookie", "te", "trailer", "transfer-encoding", "upgrade")
 # Query parameters that only track visitors.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "ref")
+# A file holds at most so many records and bytes; a larger record stands alone.
 RECORDS_PER_FILE = 2000
+FILE_BYTES = 64 << 20
+_STEP = 8
+_BREAK = re.compile(rb"\r\n\r\n")
 
 
 def canonical_url(url: Column) -> Column:
@@ -113,7 +118,9 @@ def with_bodies(resolved: DataFrame, records: DataFrame) -> DataFrame:
 def write_warc(records: DataFrame, out: str) -> None:
     """Writes records as WARC 1.1 files: record_id, url, at, type, headers, body (binary, may be null).
 
-    A null id, url, time or type has no header line and is read back as null. The text writer ends each row with the two line breaks that close a WARC record.
+    A null id, url, time or type has no header line and is read back as null. Records are
+    written by size, eight times the size with an eighth of the records a file, so ``records`` may be
+    read once for each size that occurs. The text writer ends each row with the two line breaks that close a WARC record.
     """
     crlf = F.lit("\r\n")
     reason = F.when(F.col("type") == "revisit", "HTTP/1.1 304 Not Modified\r\n").otherwise("HTTP/1.1 200 OK\r\n")
@@ -130,18 +137,30 @@ def write_warc(records: DataFrame, out: str) -> None:
                     line("WARC-Target-URI", F.col("url")),
                     line("WARC-Date", F.date_format(F.timestamp_seconds("at"), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
                     line("Content-Length", F.length(block).cast("string")), crlf).cast("binary")
-    (records.select(F.concat(head, block).cast("string").alias("value"))
-     .write.mode("overwrite").option("maxRecordsPerFile", RECORDS_PER_FILE).option("lineSep", "\r\n\r\n").text(out))
+    value = F.concat(head, block)
+    limit, limits = RECORDS_PER_FILE, []
+    while limit:
+        limits.append(limit)
+        limit //= _STEP
+    # The first size whose records fit into a file at its number of records; the largest stand alone.
+    fits = F.lit(len(limits))
+    for k in reversed(range(len(limits))):
+        fits = F.when(F.length(value) + 4 <= FILE_BYTES // limits[k], k).otherwise(fits)
+    sizes = sorted(r[0] for r in records.select(fits.alias("size")).distinct().collect()) or [0]
+    for n, k in enumerate(sizes):
+        rows = records.where(fits == k) if len(sizes) > 1 else records
+        (rows.select(value.cast("string").alias("value")).write.mode("append" if n else "overwrite")
+         .option("maxRecordsPerFile", [*limits, 1][k]).option("lineSep", "\r\n\r\n").text(out))
 
 
 def records_of(content: memoryview) -> Iterator[dict]:
     """The records of one WARC file."""
-    data, at = bytes(content), 0
+    data, at = content.cast("B"), 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        head = dict(line.split(b": ", 1) for line in data[at:end].split(b"\r\n")[1:] if b": " in line)
+        end = _BREAK.search(data, at).start()
+        head = dict(line.split(b": ", 1) for line in bytes(data[at:end]).split(b"\r\n")[1:] if b": " in line)
         size = int(head[b"Content-Length"])
-        block = data[end + 4:end + 4 + size]
+        block = bytes(data[end + 4:end + 4 + size])
         http, _, body = block.partition(b"\r\n\r\n")
         lines = [tuple(line.decode("utf-8", "replace").split(": ", 1)) for line in http.split(b"\r\n")[1:] if b": " in line]
         number, url, date, kind = (head.get(name) for name in (b"WARC-Record-ID", b"WARC-Target-URI", b"WARC-Date", b"WARC-Type"))

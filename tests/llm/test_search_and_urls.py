@@ -187,3 +187,16 @@ def test_rows_of_a_hot_url_in_one_day_do_not_meet_in_a_window(spark):
         below = next((j for j in range(k + 1, len(lines)) if depth(j) <= depth(k)), len(lines))
         assert any("Aggregate [key" in line for line in lines[k + 1:below])
     assert len(windows) == 2
+
+
+def test_warc_files_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 100_000, raising=False)
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 100)
+    rows = [(i, "http://a.com/", i, "response", {"n": "1"}) for i in range(300)]
+    body = F.expr("cast(repeat('x', int(CASE WHEN record_id % 100 = 0 THEN 150000 WHEN record_id % 3 = 0 THEN 40000 WHEN record_id % 3 = 1 THEN 5000 ELSE 9 END)) AS binary)")
+    df = records(spark, rows).withColumn("body", body).coalesce(1)
+    out = staging_path(spark, "warc")
+    warc.write_warc(df, out)
+    sizes = [r.length for r in spark.read.format("binaryFile").load(out).select("length").collect()]
+    assert all(n <= 100_000 for n in sizes if n < 150_000) and sum(n >= 150_000 for n in sizes) == 3 and max(sizes) < 151_000
+    assert {(r.record_id, bytes(r.body)) for r in warc.read_warc(spark, out).collect()} == {(r.record_id, bytes(r.body)) for r in df.collect()}
