@@ -28,6 +28,8 @@ from .common import stage
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 SEGMENT = 256
+# Turns are numbered by ranges of 2 to the power of this many.
+RANGE_BITS = 16
 _TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.DOTALL)
 _ESCAPED = re.compile(r"<(\\*)\\\|")
 
@@ -51,11 +53,32 @@ def unescape_role(role: str) -> str:
 
 
 def reply_chain(conversations: DataFrame) -> DataFrame:
-    """Messages of plain conversations: each turn answers the one before it, rows that repeat a turn in text order."""
+    """Messages of plain conversations: each turn answers the one before it, rows that repeat a turn in text order.
+
+    The rows of one turn are sorted in one task, a whole conversation is not.
+    """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
                                 F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return (rows.withColumn("msg_id", F.row_number().over(order).cast("long"))
+    # Counts per turn, then per range of turns, of ranges and so on; a range holds at most 1 << RANGE_BITS.
+    level = rows.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("turn", "at")
+    levels = []
+    for k in range(-(-64 // RANGE_BITS)):
+        # The last level's range is the whole conversation.
+        up = F.shiftright("at", RANGE_BITS) if (k + 1) * RANGE_BITS < 64 else F.lit(0).cast("long")
+        level = level.withColumn("up", up)
+        before = Window.partitionBy("conv_id", "up").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+        levels.append(level.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).select("conv_id", "at", "up", "offset"))
+        level = level.groupBy("conv_id", "up").agg(F.sum("n").alias("n")).withColumnRenamed("up", "at")
+    offsets = levels.pop()
+    while levels:
+        above = offsets.select(F.col("conv_id").alias("c"), F.col("at").alias("a"), F.col("offset").alias("more"))
+        below = levels.pop()
+        offsets = (below.join(above, below["conv_id"].eqNullSafe(above["c"]) & below["up"].eqNullSafe(above["a"]))
+                   .select("conv_id", "at", (F.col("offset") + F.col("more")).alias("offset")))
+    offsets = offsets.select(F.col("conv_id").alias("c"), F.col("at").alias("a"), "offset")
+    rows = rows.join(offsets, rows["conv_id"].eqNullSafe(offsets["c"]) & rows["turn"].eqNullSafe(offsets["a"])).drop("c", "a")
+    within = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    return (rows.withColumn("msg_id", (F.col("offset") + F.row_number().over(within)).cast("long"))
             .select("conv_id", "msg_id", F.when(F.col("msg_id") > 1, F.col("msg_id") - 1).alias("parent_id"), "role", "text",
                     F.lit(0.0).alias("score")))
 

@@ -116,3 +116,23 @@ def test_query_equals_plain_digests(spark, sf):
     got = QUERIES["op9_chat"](spark, path).collect()
     assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == {k: digest(v) for k, v in turns.items()}
     assert len(got) == len(turns) and all(r.formatted_chars > 0 for r in got)
+
+
+def test_turns_are_numbered_without_a_window_per_conversation(spark, monkeypatch):
+    rng = random.Random(4)
+    turns = [None, 0, 0, 1, 2, 3, 7, 8, 1000, -1, -9, -1 << 63, (1 << 63) - 1, 1 << 40]
+    rows = [(c, rng.choice(turns) if c else t, rng.choice(["user", None, "a"]), str(rng.randrange(99)))
+            for c in (0, 1, 2) for t in range(60)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    key = lambda r: (r[0], r[1] is not None, r[1] or 0, r[2] or "", r[3])
+    want = []
+    for c in (0, 1, 2):
+        want += [(c, k, k - 1 if k > 1 else None, r[2] or "", r[3]) for k, r in enumerate(sorted((r for r in rows if r[0] == c), key=key), 1)]
+    for bits in (16, 3):
+        monkeypatch.setattr(chat, "RANGE_BITS", bits, raising=False)
+        got = chat.reply_chain(df)
+        assert sorted(tuple(r)[:5] for r in got.collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.split("\n"):  # texts meet in a window of one turn only
+        if "Window [" in line and "text" in line:
+            assert line.split("], [")[1].startswith("conv_id#") and "turn#" in line.split("], [")[1]
