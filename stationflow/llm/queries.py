@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_topk, mixing, near_dup, quality, token_files, toxicity, url_filter, warc
+from . import chat, decontaminate, exact_topk, merkle, mixing, near_dup, quality, token_files, toxicity, url_filter, warc
 from .common import stage, staging_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,12 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 4-word shingle sets are alike by 0.8 or more."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root, proof and verification of all documents."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_merkle_manifest"] = merkle.oracle()

@@ -1,6 +1,8 @@
 """Plain Python versions of the operators, for small inputs."""
 
+import hashlib
 import re
+import zlib
 from itertools import combinations
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -63,3 +65,43 @@ def overlaps(docs, items, window=13):
                     hit.update(range(s, s + n))
         out.append((i, len(w), len(hit), ",".join(sorted(found)), bool(hit) and 20 * len(hit) >= len(w)))
     return sorted(out, key=repr)
+
+
+def merkle(rows, fan=8, tampered=lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 0):
+    """rows: (doc_id, source, lang, n_chars, text) -> sorted (doc_id, leaf, subroot, root, proof, folded, verified)."""
+    def h(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    def leaf(row):
+        return h("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([h("".join(out[-1][i:i + fan])) for i in range(0, len(out[-1]), fan)])
+        return out
+
+    def way(tree, at):
+        for nodes in tree[:-1]:
+            run = nodes[at // fan * fan:at // fan * fan + fan]
+            yield run[:at % fan], run[at % fan + 1:]
+            at //= fan
+
+    langs = {}
+    for r in rows:
+        langs.setdefault(r[2], []).append(r)
+    order = sorted(langs, key=lambda v: (v is not None, (v or "").encode()))
+    for v in order:
+        langs[v].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+    trees = {v: levels([leaf(r) for r in langs[v]]) for v in order}
+    top = levels([trees[v][-1][0] for v in order])
+    out = []
+    for k, v in enumerate(order):
+        for at, r in enumerate(langs[v]):
+            steps = [*way(trees[v], at), *way(top, k)]
+            shown = leaf(r[:4] + (r[4].translate(LOWER),)) if tampered(r[0]) and r[4] is not None else leaf(r)
+            for before, after in steps:
+                shown = h("".join(before) + shown + "".join(after))
+            proof = h("".join("".join(before + after) for before, after in steps))
+            out.append((r[0], leaf(r), trees[v][-1][0], top[-1][0], proof, shown, shown == top[-1][0]))
+    return sorted(out, key=repr)
