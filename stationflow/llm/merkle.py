@@ -202,7 +202,7 @@ def oracle(levels: int = 7) -> str:
     """SQL for ``manifest``, for trees of up to ``FAN ** levels`` leaves: level by level, without jumps."""
     # crc32 bit by bit: each character is followed by eight shifts, written -1.
     crc = ("xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), "
-           "c -> [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), (a, x) -> CASE WHEN x >= 0 THEN xor(a, x) "
+           "lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) "
            "WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)")
 
     def leaf(text):
