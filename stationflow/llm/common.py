@@ -14,8 +14,10 @@ from ..runtime import stage, staging_path  # noqa: F401  (used by the operators)
 
 # Most rows a table may have to be broadcast; larger ones are joined by a shuffle instead.
 BROADCAST_ROWS = 1_000_000
-# Text is hashed in pieces of about this many bytes, so a task's memory does not follow the batch.
-CHUNK_BYTES = 2 << 20
+# Rows are taken in groups of about this many bytes, and hashed in pieces of ``PIECE_BYTES``, so that a task's
+# memory follows neither the batch nor the longest text.
+CHUNK_BYTES = 1 << 20
+PIECE_BYTES = 1 << 17
 
 U64 = np.uint64
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
@@ -24,6 +26,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
+_PLAIN = np.arange(256, dtype=np.uint8)
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -79,46 +82,89 @@ def chunks(at: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        for name, base in (("up", _MULTIPLIER), ("down", _INVERSE)):
-            steps = np.full(n, base, dtype=U64)
-            steps[:1] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+    """Powers of the multiplier and of its inverse; those of an ordinary piece are kept."""
+    if n <= len(_POWERS.get("up", ())):
+        return _POWERS["up"][:n], _POWERS["down"][:n]
+    made = []
+    for base in (_MULTIPLIER, _INVERSE):
+        steps = np.full(max(n, PIECE_BYTES), base, dtype=U64)
+        steps[:1] = 1
+        made.append(np.multiply.accumulate(steps))
+    if len(made[0]) <= 2 * PIECE_BYTES:
+        _POWERS["up"], _POWERS["down"] = made
+    return made[0][:n], made[1][:n]
+
+
+def _next_cut(data: np.ndarray, at: np.ndarray, gap: np.ndarray, low: int) -> int:
+    """First place from ``low`` on where no run goes through: a row's start or a byte of ``gap``."""
+    row = int(at[np.searchsorted(at, low, "left")])
+    step = 1 << 12
+    while low < row:
+        found = np.flatnonzero(gap[data[low:min(low + step, row)]])
+        if len(found):
+            return low + int(found[0])
+        low, step = low + step, step * 2
+    return row
+
+
+class Runs:
+    """Runs of bytes outside a set, within rows: ``begin``, ``end`` and ``row`` of each, and their hashes.
+
+    A hash is the polynomial of a run's bytes, read off one running sum over the piece.
+    """
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, gap: np.ndarray, first_row: int, lower: bool):
+        inside = ~gap[data]
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        inner = at[(at > 0) & (at < len(data))]
+        first[inner], last[inner - 1] = inside[inner], inside[inner - 1]
+        self.begin, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.row = np.searchsorted(at, self.begin, "right") - 1 + first_row
+        self._up, self._down = _powers(len(data))
+        self._running = np.zeros(len(data) + 1, dtype=U64)
+        values = (_LOWER if lower else _PLAIN)[data].astype(U64)
+        values += U64(1)
+        values *= self._up
+        np.cumsum(values, out=self._running[1:])
+
+    def hashes(self) -> np.ndarray:
+        low = self._running[self.begin]
+        return mix(((self._running[self.end] - low) * self._down[self.begin]) ^ ((self.end - self.begin).astype(U64) << U64(48)))
+
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and row of the first ``size`` bytes of each longer run."""
+        longer = self.end - self.begin > size
+        b = self.begin[longer]
+        value = (self._running[b + size] - self._running[b]) * self._down[b]
+        return mix(value ^ U64((size << 48) | (1 << 63))), self.row[longer]
+
+
+def runs(raw: np.ndarray, at: np.ndarray, gap: np.ndarray, lower: bool = True) -> Iterator[tuple[int, Runs]]:
+    """The runs of rows ``at`` in ``raw``, piece by piece: where in ``raw`` the piece starts, and its runs."""
+    stop, low = int(at[-1]), int(at[0])
+    while low < stop:
+        high = stop if low + PIECE_BYTES >= stop else _next_cut(raw, at, gap, low + PIECE_BYTES)
+        # The last row that starts at or before the piece, up to the first that starts after it.
+        a, b = int(np.searchsorted(at, low, "right")) - 1, int(np.searchsorted(at, high, "left"))
+        yield low, Runs(raw[low:high], at[a:b + 1] - low, gap, a, lower)
+        low = high
 
 
 def hashed_runs(raw: np.ndarray, at: np.ndarray, gap: np.ndarray,
                 prefixes: tuple[int, ...] = ()) -> list[tuple[np.ndarray, np.ndarray]]:
     """Runs of bytes outside ``gap``, A-Z lower-cased: a 64-bit hash and the row of each.
 
-    Then the same for the first bytes of each run that is longer than a number of ``prefixes``. A hash
-    is the polynomial of the run's bytes, read off one running sum over the whole buffer.
+    Then the same for the first bytes of each run that is longer than a number of ``prefixes``.
     """
-    start = int(at[0])
-    data = raw[start:int(at[-1])]
-    at = at - start
-    if not len(data):
-        return [(np.zeros(0, U64), np.zeros(0, np.int64))] * (1 + len(prefixes))
-    inside = ~gap[data]
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1]
-    last[:-1] &= ~inside[1:]
-    filled = at[1:] > at[:-1]
-    opens, closes = at[:-1][filled], at[1:][filled] - 1
-    first[opens], last[closes] = inside[opens], inside[closes]
-    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(len(data))
-    running = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum((_LOWER[data].astype(U64) + U64(1)) * up, out=running[1:])
-    row = np.searchsorted(at, begin, "right") - 1
-    low = running[begin]
-    found = [(mix(((running[end] - low) * down[begin]) ^ ((end - begin).astype(U64) << U64(48))), row)]
-    for size in prefixes:
-        longer = end - begin > size
-        b = begin[longer]
-        value = (running[b + size] - low[longer]) * down[b]
-        found.append((mix(value ^ U64((size << 48) | (1 << 63))), row[longer]))
-    return found
+    found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(1 + len(prefixes))]
+    for _, piece in runs(raw, at, gap):
+        found[0].append((piece.hashes(), piece.row))
+        for k, size in enumerate(prefixes):
+            found[k + 1].append(piece.prefixes(size))
+    none = [(np.zeros(0, U64), np.zeros(0, np.int64))]
+    return [tuple(np.concatenate(c) for c in zip(*(part or none))) for part in found]
 
 
 def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,10 +1,13 @@
 """Plain Python versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
 import zlib
 from itertools import combinations
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -105,3 +108,67 @@ def merkle(rows, fan=8, tampered=lambda i: i is not None and zlib.crc32(str(i).e
             proof = h("".join("".join(before + after) for before, after in steps))
             out.append((r[0], leaf(r), trees[v][-1][0], top[-1][0], proof, shown, shown == top[-1][0]))
     return sorted(out, key=repr)
+
+
+def hard_negatives(rows, is_anchor, positives=5, negatives=10, low=30, high=90, scale=256):
+    """rows: (id, vector, label) -> sorted (anchor, positive, rank, negative, positive score, negative score)."""
+    used = [(i, [math.floor(scale * x) for x in v], y) for i, v, y in rows
+            if i is not None and y is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for a, (anchor, u, label) in enumerate(used):
+        if not is_anchor(anchor):
+            continue
+        scored = sorted(((-sum(x * y for x, y in zip(u, v)), i, y != label) for b, (i, v, y) in enumerate(used) if b != a))
+        for p, positive, _ in [s for s in scored if not s[2]][:positives]:
+            near = [(n, i) for n, i, other in scored if other and low * -p <= 100 * -n <= high * -p]
+            out += [(anchor, positive, k + 1, i, -p, -n) for k, (n, i) in enumerate(near[:negatives])]
+    return sorted(out)
+
+
+def text_counts(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines."""
+    words = WORD.findall(text or "")
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    places = {}
+    for i in range(len(words) - 2):
+        places.setdefault(tuple(words[i:i + 3]), []).append(i)
+    hit = {i + k for at in places.values() if len(at) > 1 for i in at for k in range(3)}
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(hit), len(lines))
+
+
+def outliers(rows, least, support=0.6, level_limit=23.512742444989872, steps=6, unit=1000, floors=(0.05, 0.1, 0.15, 0.2)):
+    """rows: (doc_id, text, lang, source) -> sorted (doc_id, five counts, base_failed, kept), by numpy on whole cells."""
+    counts = [text_counts(t) for _, t, _, _ in rows]
+    failed = [c[0] < 50 or 100 * c[4] > 50 * c[0] for c in counts]
+    vectors = [np.round(np.array([math.log(max(c[1] / max(c[0], 1), 1)), math.sqrt(c[2] / max(c[0], 1)), math.sqrt(c[4] / max(c[0], 1)),
+                                  math.sqrt(c[3] / max(c[5], 1))]) * unit) / unit for c in counts]
+    passed = [k for k in range(len(rows)) if not failed[k]]
+    cells = {}
+    for k in passed:
+        cells.setdefault(rows[k][2:], []).append(k)
+    pools = {}
+    for (lang, source), ks in list(cells.items()):
+        if len(ks) < least:
+            pools.setdefault(lang, []).extend(cells.pop((lang, source)))
+    rest = [k for lang in list(pools) if len(pools[lang]) < least for k in pools.pop(lang)]
+    kept = {k: True for k in passed}
+    for ks in [*cells.values(), *pools.values(), *([rest] if len(rest) >= least else [])]:
+        x = np.array([vectors[k] for k in ks])
+        n = len(x)
+
+        def at(q):
+            return np.sort(x, axis=0)[math.ceil(q * n) - 1]
+
+        mean, spread = at(0.5), np.diag(((at(0.75) - at(0.25)) / 1.349) ** 2 + np.square(floors))
+        for step in range(steps + 1):
+            d2 = np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(spread), x - mean)
+            if step == steps:
+                break
+            place = np.maximum(np.floor((np.log2(np.maximum(d2, 2.0 ** -8)) + 8) * 8), 0)
+            near = place <= np.sort(place)[math.ceil(support * n) - 1]
+            mean, spread = x[near].mean(axis=0), np.cov(x[near].T, bias=True)
+            # Chi-square with 4 and 6 degrees of freedom at the support's quantile, worked out for 0.6.
+            spread = spread * support / 0.3293628733856655 + np.diag(np.square(floors))
+        for k, d in zip(ks, d2):
+            kept[k] = d <= level_limit
+    return sorted([(r[0], *c[:5], f, kept.get(k, False)) for k, (r, c, f) in enumerate(zip(rows, counts, failed))], key=repr)
