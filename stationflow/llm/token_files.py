@@ -20,10 +20,8 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -31,37 +29,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, mix, stage, text_or_empty
+from .common import U64, mix, stage, text_buffers, text_or_empty
 
 SHARD_IDS = 4 << 20
 SEGMENT = 1 << 16
-# Entries of the word memo of one Python worker; its older half stays when it is full.
-MEMO_WORDS = 450_000
+# The memo of one Python worker: a word has its place in one of ``PROBES`` neighbouring slots of a table; where none
+# is free, the newer word takes the first. It starts anew when it holds ``STORE_IDS`` ids.
+SLOTS, PROBES, STORE_IDS = 1 << 21, 4, 12_000_000
+# Text is encoded in windows of about so many bytes.
+WINDOW_BYTES = 1 << 20
 # How a byte-level vocabulary writes a space; marks that never stand in a token with letters.
 _SPACE, _MARKS = "\u0120", ".,;:!?%$#&*|"
 _ENCODERS: dict[str, "Encoder"] = {}
-_MEMO_LENGTH = 64
+# Words of up to two 8-byte loads are compared by these; longer ones, up to a length, by their bytes.
+_LOADS, _MEMO_LENGTH = 16, 64
 _MAGIC = b"SFTOKENS"
 _TRAILER = np.dtype([("docs", "<u8"), ("ids", "<u8"), ("width", "<u8"), ("magic", "S8")])
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-# White space other than space and line feed, as str.isspace has it.
-_RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_TEXT_BATCH = 2 << 20
+# Bytes of white space, bytes that may open a longer character of white space, and the last two of such a one.
+_WHITE, _OPENS, _LAST, _BEFORE_LAST = (np.isin(np.arange(256), v) for v in (
+    [*range(9, 14), *range(28, 33)], [0xC2, 0xE1, 0xE2, 0xE3], [*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF], [0xC2, 0x80, 0x81, 0x9A]))
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U64)
 ADDRESS = "part long, piece long, first long"
 
 
-def _plain(text: str) -> bool:
-    """Whether each space stands alone between words, so that a plain split finds the same cuts."""
-    return not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _RARE.search(text))
+def _cuts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Spaces that stand alone between two words: a text may be cut before each. Spaces at ``edges`` don't.
+
+    White space of several bytes is told by its first or last bytes, which other characters may have as
+    well: then there is no cut, which never changes the ids.
+    """
+    place = np.flatnonzero(data == 0x20)
+    place = place[(place > 0) & (place + 1 < len(data))]
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[edges] = True
+    before, after = data[place - 1], data[place + 1]
+    wide = _LAST[before] & _BEFORE_LAST[data[place - 2]] & (place > 1)
+    return place[~(_WHITE[before] | _WHITE[after] | _OPENS[after] | wide | edge[place] | edge[place + 1])]
 
 
 class Encoder:
     """Whole texts to id bytes, through a tokenizer of the ``tokenizers`` library.
 
     In a byte-level vocabulary without normaliser a lone space between two words always opens a new
-    token, so a text may be encoded word by word; known words come from a memo. New words go through the
-    tokenizer in one string: letters after a space are cut off again where a token opens with a space.
-    Other vocabularies encode the text as a whole.
+    token, so a text may be encoded word by word. Words are found, looked up and replaced by their ids in
+    whole windows of text at once: a word of up to 16 bytes is two 8-byte numbers, which a hash table of such
+    numbers is asked for and compared with. New words go through the tokenizer in one string: letters after a
+    space are cut off again where a token opens with a space. Other vocabularies encode the text as a whole.
     """
 
     def __init__(self, path: str):
@@ -76,7 +89,7 @@ class Encoder:
         self.by_word = (spec.get("normalizer") is None and split.get("type") == "ByteLevel"
                         and not split.get("add_prefix_space") and split.get("use_regex", True)
                         and not any(t.get("lstrip") or t.get("rstrip") or " " in t["content"] for t in spec["added_tokens"]))
-        self.memo: dict[str, bytes] = {}
+        self._forget()
         self.opens = np.zeros(self.tokenizer.get_vocab_size(True), dtype=bool)
         self.opens[[i for token, i in self.tokenizer.get_vocab(True).items() if token.startswith(_SPACE)]] = True
 
@@ -107,21 +120,131 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
 
-    def texts(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
-            return self.raw(texts)
-        split = [t.split(" ") if _plain(t) else _CUT.split(t) for t in texts]
-        if len(self.memo) > MEMO_WORDS:  # words met early are the frequent ones
-            self.memo = dict(islice(self.memo.items(), MEMO_WORDS // 2))
-        memo = self.memo
-        fresh = list(set().union(*(words[1:] for words in split)).difference(memo))
-        memo.update(zip(fresh, self.words(fresh)))
-        out = [first + b"".join([memo[w] for w in words[1:]])
-               for first, words in zip(self.raw([words[0] for words in split]), split)]
-        for w in fresh:
-            if len(w) > _MEMO_LENGTH:
-                del memo[w]
-        return out
+    def _forget(self):
+        """An empty memo: two numbers, and length, count and offset of the ids in one, per slot."""
+        self.table = np.zeros((SLOTS, 3), dtype=U64)
+        self.long: dict[bytes, tuple[int, int]] = {}
+        self.store, self.used = np.zeros(1 << 16, dtype=self.dtype), 0
+
+    def _behind(self, ids: np.ndarray) -> int:
+        """Writes ids behind those in use and returns where they start."""
+        need = self.used + len(ids)
+        if need > len(self.store):
+            self.store = np.concatenate([self.store[:self.used], np.zeros(need, dtype=self.dtype)])
+        self.store[self.used:need] = ids
+        return self.used
+
+    def _place(self, one: np.ndarray, two: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (mix(one + mix(two + size.astype(U64))) & U64(SLOTS - 1)).astype(np.int64)
+
+    def _looked_up(self, one, two, size) -> np.ndarray:
+        """The third number of each word's slot, 0 for a word that is not there."""
+        found = np.zeros(len(one), dtype=U64)
+        left, slot = np.flatnonzero(size <= _LOADS), self._place(one, two, size)
+        for probe in range(PROBES):
+            line = self.table[(slot[left] + probe) % SLOTS]
+            hit = (line[:, 0] == one[left]) & (line[:, 1] == two[left]) & ((line[:, 2] & U64(255)) == size[left].astype(U64))
+            found[left[hit]] = line[hit, 2]
+            left = left[~hit & (line[:, 2] != 0)]
+        return found
+
+    def _keep(self, words: list[bytes], counts: np.ndarray, ids: np.ndarray):
+        """Puts new words into the memo."""
+        offsets = self._behind(ids) + np.cumsum(counts) - counts
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        loads = np.frombuffer(b"".join([w[:_LOADS].ljust(_LOADS, b"\0") for w in words]), dtype="<u8").reshape(-1, 2)
+        lines = np.column_stack([loads.astype(U64), (sizes | counts << 8 | offsets << 16).astype(U64)])
+        slots, left = self._place(lines[:, 0], lines[:, 1], sizes), np.flatnonzero(sizes <= _LOADS)
+        for probe in [*range(PROBES), None]:
+            at = (slots[left] + (probe or 0)) % SLOTS
+            able = np.flatnonzero(self.table[at, 2] == 0) if probe is not None else np.arange(len(left))
+            at, first = np.unique(at[able], return_index=True)
+            self.table[at] = lines[left[able[first]]]
+            left = np.delete(left, able[first])
+        for i in np.flatnonzero((sizes > _LOADS) & (sizes <= _MEMO_LENGTH)).tolist():
+            self.long[words[i]] = (int(offsets[i]), int(counts[i]))
+        self.used += len(ids)
+
+    def window(self, data: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of a window whose texts start at ``opens``: where they start, how many ids each has, and all ids.
+
+        A window that starts inside a text starts with a cut.
+        """
+        if not len(data):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+        cuts = _cuts(data, opens)
+        starts = np.insert(cuts, np.searchsorted(cuts, opens), opens)
+        if not len(starts) or starts[0] > 0:
+            starts = np.insert(starts, 0, 0)
+        ends = np.append(starts[1:], len(data))
+        is_word = np.ones(len(starts), dtype=bool)
+        is_word[np.searchsorted(starts, opens)] = False
+        begin, end = starts[is_word] + 1, ends[is_word]
+        size = end - begin
+        padded = np.concatenate([data, np.zeros(2 * _LOADS, np.uint8)])
+        load = np.ndarray((len(data) + _LOADS,), "<u8", padded, 0, (1,))
+        one, two = load[begin] & _MASKS[np.minimum(size, 8)], load[begin + 8] & _MASKS[np.clip(size - 8, 0, 8)]
+        found = self._looked_up(one, two, size)
+        raw = data.tobytes()
+        missing = np.flatnonzero(found == 0)
+        words = [raw[a:b] for a, b in zip(begin[missing].tolist(), end[missing].tolist())]
+        new = [w for w in dict.fromkeys(words) if w not in self.long]
+        if self.used > STORE_IDS:
+            self._forget()
+            return self.window(data, opens)
+        first = [raw[a:b].decode() for a, b in zip(starts[~is_word].tolist(), ends[~is_word].tolist())]
+        extra = self.raw(first)
+        width, fresh = self.dtype.itemsize, {}
+        if new:
+            encoded = self.words([w.decode() for w in new])
+            new_counts = np.array([len(b) // width for b in encoded], dtype=np.int64)
+            places = (self.used + np.cumsum(new_counts) - new_counts).tolist()
+            fresh = dict(zip(new, zip(places, new_counts.tolist())))
+            self._keep(new, new_counts, np.frombuffer(b"".join(encoded), dtype=self.dtype))
+        counts, offsets = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        word_counts, word_offsets = ((found >> U64(8)) & U64(255)).astype(np.int64), (found >> U64(16)).astype(np.int64)
+        if words:
+            where = np.array([fresh.get(w) or self.long[w] for w in words], dtype=np.int64)
+            word_offsets[missing], word_counts[missing] = where[:, 0], where[:, 1]
+        counts[is_word], offsets[is_word] = word_counts, word_offsets
+        counts[~is_word] = [len(b) // width for b in extra]
+        ends_of_first = np.cumsum(counts[~is_word])
+        offsets[~is_word] = self._behind(np.frombuffer(b"".join(extra), dtype=self.dtype)) + ends_of_first - counts[~is_word]
+        total = np.cumsum(counts)
+        ids = self.store[np.repeat(offsets - total + counts, counts) + np.arange(total[-1] if len(total) else 0)]
+        return starts, counts, ids
+
+    def texts(self, raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of the rows ``at`` in ``raw``, window by window, and how many of them stand before the end of
+        each row that ends in the window. A row may go through several windows."""
+        n, row, low = len(at) - 1, 0, int(at[0])
+        while row < n:
+            high = min(low + WINDOW_BYTES, int(at[-1]))
+            last = int(np.searchsorted(at, high, "right")) - 1  # rows before it end within the window
+            if not self.by_word:
+                last = max(last, row + 1)
+                high = int(at[last])
+                found = self.raw([raw[a:b].tobytes().decode() for a, b in zip(at[row:last], at[row + 1:last + 1])])
+                yield np.frombuffer(b"".join(found), self.dtype), np.cumsum([len(b) // self.dtype.itemsize for b in found], dtype=np.int64)
+            else:
+                if last > row:
+                    high = int(at[last])
+                else:  # inside one long row: up to its last cut, in a window that has one
+                    stop, reach = int(at[row + 1]), WINDOW_BYTES
+                    while high < stop:
+                        inner = _cuts(raw[low:high], np.zeros(0, np.int64))
+                        if len(inner):
+                            high = low + int(inner[-1])
+                            break
+                        reach *= 2
+                        high = min(low + reach, stop)
+                    last = row + (high == stop)
+                opens = at[row:max(last, row + 1)] - low
+                opens = np.unique(opens[(opens >= 0) & (opens < high - low)])
+                starts, counts, ids = self.window(raw[low:high], opens)
+                total = np.concatenate([[0], np.cumsum(counts)])
+                yield ids, total[np.searchsorted(starts, at[row + 1:last + 1] - low)]
+            row, low = last, high
 
 
 def encoder_of(path: str) -> Encoder:
@@ -133,41 +256,31 @@ def encoder_of(path: str) -> Encoder:
 
 def _packed(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_ids: int) -> Iterator[pa.RecordBatch]:
     encoder = encoder_of(path)
-    width = encoder.dtype.itemsize
-    end = np.array([end_id], dtype=encoder.dtype).tobytes()
-    keys: list[int | None] = []
-    bodies: list[bytes] = []
-    held = 0
+    end = np.array([end_id], dtype=encoder.dtype)
+    keys, parts, sizes = [], [], []
+    held = open_ids = 0  # ids of whole documents of this shard, and of the document under way
 
     def shard():
         ids = np.array([0 if k is None else k for k in keys], dtype="<i8")
         has = np.array([k is not None for k in keys], dtype="u1")
-        sizes = np.array([len(b) // width for b in bodies], dtype="<u8")
-        trailer = np.array([(len(keys), int(sizes.sum()), width, _MAGIC)], dtype=_TRAILER)
-        packed = b"".join([*bodies, ids.tobytes(), has.tobytes(), sizes.tobytes(), trailer.tobytes()])
+        trailer = np.array([(len(keys), held, encoder.dtype.itemsize, _MAGIC)], dtype=_TRAILER)
+        packed = b"".join([*parts, ids.tobytes(), has.tobytes(), np.array(sizes, dtype="<u8").tobytes(), trailer.tobytes()])
         return pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], ["shard"])
 
-    def some(column):
-        texts, size = [], 0
-        for value in column:
-            texts.append(value.as_py() or "")
-            size += len(texts[-1])
-            if size >= _TEXT_BATCH:
-                yield texts
-                texts, size = [], 0
-        yield texts
-
     for batch in batches:
-        doc_ids, at = batch.column("doc_id").to_pylist(), 0
-        for texts in some(batch.column("text")):
-            for body in encoder.texts(texts) if texts else ():
-                bodies.append(body + end)
-                keys.append(doc_ids[at])
-                at += 1
-                held += len(bodies[-1]) // width
+        doc_ids, row = batch.column("doc_id").to_pylist(), 0
+        for ids, ends in encoder.texts(*text_buffers(batch.column("text"))):
+            done = 0
+            for stop in ends.tolist():
+                parts += [ids[done:stop], end]
+                keys.append(doc_ids[row])
+                sizes.append(open_ids + stop - done + 1)
+                held, open_ids, done, row = held + sizes[-1], 0, stop, row + 1
                 if held >= shard_ids:
                     yield shard()
-                    keys, bodies, held = [], [], 0
+                    keys, parts, sizes, held = [], [], [], 0
+            parts.append(ids[done:])
+            open_ids += len(ids) - done
     if keys:
         yield shard()
 

@@ -2,12 +2,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 from stationflow.llm import token_files
-from stationflow.llm.common import staging_path
+from stationflow.llm.common import staging_path, text_buffers
 from stationflow.llm.queries import QUERIES
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,9 +32,25 @@ def test_word_by_word_equals_whole_text(monkeypatch):
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
     encoder = token_files.Encoder(BPE)
     assert encoder.by_word
-    monkeypatch.setattr(token_files, "MEMO_WORDS", 500)
-    for i in range(0, 4000, 200):
-        assert encoder.texts(texts[i:i + 200]) == encoder.raw(texts[i:i + 200])
+
+    def encoded(some):
+        rows, left = [], []
+        for part, ends in encoder.texts(*text_buffers(pa.array(some, pa.large_string()))):
+            done = 0
+            for stop in ends.tolist():
+                rows.append(left + part[done:stop].tolist())
+                left, done = [], stop
+            left = left + part[done:].tolist()
+        assert not left
+        return rows
+
+    for window, store, slots in ((1, 500, 64), (40, 12_000_000, 1 << 21), (1 << 20, 2000, 1024), (1 << 20, 12_000_000, 1 << 21)):
+        for name, value in (("WINDOW_BYTES", window), ("STORE_IDS", store), ("SLOTS", slots)):
+            monkeypatch.setattr(token_files, name, value)
+        encoder._forget()
+        for i in range(0, 4000, 200):
+            assert encoded(texts[i:i + 200]) == [e.ids for e in encoder.tokenizer.encode_batch(texts[i:i + 200], add_special_tokens=False)]
+    assert encoded([]) == [] and encoded(["", None, ""]) == [[], [], []]
 
 
 def test_round_trip_keys_and_edges(spark):
