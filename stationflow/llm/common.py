@@ -16,8 +16,10 @@ from ..runtime import stage, staging_path  # noqa: F401  (used by the operators)
 BROADCAST_ROWS = 1_000_000
 # Rows are taken in groups of about this many bytes, and hashed in pieces of ``PIECE_BYTES``, so that a task's
 # memory follows neither the batch nor the longest text.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 PIECE_BYTES = 1 << 17
+# Whole texts go to Python in Arrow batches of about this many bytes; JVM and worker hold one of each at a time.
+BATCH_BYTES = 8 << 20
 
 U64 = np.uint64
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
@@ -44,6 +46,14 @@ def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's size of Arrow batches to ``BATCH_BYTES``, unless it is lower."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "-1").lower().rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (BROADCAST_ROWS, U64, bounded, chunks, drop_staged, mix, stage, text_buffers, text_or_empty,
-                     word_hashes)
+from .common import (BROADCAST_ROWS, U64, bounded, chunks, drop_staged, mix, small_batches, stage, text_buffers,
+                     text_or_empty, word_hashes)
 
 BANDS, ROWS = 32, 4
 SIZE = BANDS * ROWS
@@ -280,6 +280,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     default banding a pair at 0.8 is missed with a probability of 5e-8; the sketch filter keeps pairs
     down to five standard deviations below the threshold.
     """
+    small_batches(docs.sparkSession)
     least = max(0, int(SIZE * (percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / SIZE) ** 0.5)))
     described = stage(describe(docs, width), "described")
     # Copies: one line per distinct set; a set's bands and sketch are the same in all its documents.

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bounded, chunks, mix, runs, stage, text_buffers, text_or_empty
+from .common import U64, bounded, chunks, mix, runs, small_batches, stage, text_buffers, text_or_empty
 
 UNIT = 1000
 # Standard deviations that a statistic has at least: the floors of the covariance's diagonal.
@@ -112,6 +112,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the counts of each whole text."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
                        F.col("source").cast("string").alias("source"), text_or_empty().alias("text"))
     return rows.mapInArrow(_statistics, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))

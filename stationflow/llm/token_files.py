@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, mix, stage, text_buffers, text_or_empty
+from .common import U64, mix, small_batches, stage, text_buffers, text_or_empty
 
 SHARD_IDS = 4 << 20
 SEGMENT = 1 << 16
@@ -287,6 +287,7 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_ids
 
 def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, shard_ids: int = SHARD_IDS) -> None:
     """Encodes ``text`` and writes shards to ``out`` in ascending doc_id order."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     # Equal ids are told apart by text and place, so that many of them still spread over tasks.
     rows = rows.withColumns({"_same": F.xxhash64("text"), "_place": F.spark_partition_id()})

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, hashed_runs, remainder_of_id, stage, text_buffers, text_or_empty
+from .common import U64, chunks, hashed_runs, remainder_of_id, small_batches, stage, text_buffers, text_or_empty
 
 # Groups whose members may stand for one another. A parameter of ``train``; common English terms.
 IDENTITY_GROUPS = (
@@ -222,19 +222,20 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     scored = rows.mapInArrow(lambda it: _scored(it, model), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(remainder_of_id() == 1, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def _passing(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw, at = text_buffers(batch.column("text"))
-        sums = np.concatenate([*[model.sums(raw, at[a:b + 1]) for a, b in chunks(at)], np.zeros(0)])
-        yield batch.filter(pa.array(_sigmoid(sums + model.bias) < threshold))
-
-
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The rows whose score stays below ``threshold``, with all their columns."""
-    return docs.mapInArrow(lambda it: _passing(it, model, threshold), docs.schema)
+    """The rows whose score stays below ``threshold``, with all their columns. Only texts pass through Python."""
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            raw, at = text_buffers(column)
+            yield pa.array(_sigmoid(np.concatenate([*[model.sums(raw, at[a:b + 1]) for a, b in chunks(at)], np.zeros(0)]) + model.bias))
+
+    small_batches(docs.sparkSession)
+    return docs.where(scored(text_or_empty()) < threshold)

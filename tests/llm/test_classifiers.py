@@ -53,7 +53,14 @@ def test_rules_are_paths_of_the_trees():
     assert quality.rules_of(text, ["a", "b"]) == {(a,), (b,), (a, ("b", "<=", -2e-4)), (a, ("b", ">", -2e-4))}
 
 
-def test_quality_model_is_one_sparse_expression(spark):
+@pytest.fixture(params=["1", "2", "3", "4", "8", "16"])
+def shuffle(spark, request):
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_quality_model_is_one_sparse_expression(spark, shuffle):
     rng = random.Random(1)
     words = ["alpha", "beta", "gamma", "delta", "eps"]
     docs = [(i, " ".join(rng.choice(words) for _ in range(40))) if i % 2 else (i, " ".join(["SPAM!!"] * rng.randint(5, 40))) for i in range(300)]
@@ -62,6 +69,7 @@ def test_quality_model_is_one_sparse_expression(spark):
     d, l = frames(spark, docs, labels)
     model = quality.train(d, l, max_rows=100)
     assert 0 < len(model.terms) < 40
+    assert model == quality.train(d.repartition(7), l.repartition(2), max_rows=100)
     got = quality.score(d, model).collect()
     assert len(got) == len(docs)
     assert all(r.predicted == (r.doc_id % 2) for r in got if r.doc_id is not None and r.doc_id < 300)
