@@ -49,7 +49,7 @@ def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Lowers the session's size of Arrow batches to ``BATCH_BYTES``, unless it is lower."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, "-1").lower().rstrip("b")
+    now = spark.conf.get(name).lower().rstrip("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
