@@ -54,10 +54,14 @@ def station_daily_events(clean: DataFrame) -> DataFrame:
     return event_days(clean, "rent_st", "rent_dt", "ret_st", "ret_dt")
 
 
-def load_completeness(lines: DataFrame, rows: DataFrame) -> DataFrame:
-    """Per file: text lines minus the header against parsed rows. Both have a ``file`` column."""
+def load_completeness(lines: DataFrame, rows: DataFrame, malformed: str | None = None) -> DataFrame:
+    """Per file: records of the text minus the header against well-formed parsed rows. Both have a ``file`` column.
+
+    ``malformed`` names the column of ``rows`` with the text of records that don't fit the header.
+    """
     raw = lines.groupBy("file").agg((F.count(F.lit(1)) - 1).alias("source_rows"))
-    parsed = rows.groupBy("file").agg(F.count(F.lit(1)).alias("parsed_rows"))
+    fits = F.col(malformed).isNull() if malformed else F.lit(True)
+    parsed = rows.groupBy("file").agg(F.count_if(fits).alias("parsed_rows"))
     return (raw.join(parsed, "file", "left")
             .withColumn("parsed_rows", F.coalesce("parsed_rows", F.lit(0)))
             .withColumn("complete", F.col("source_rows") == F.col("parsed_rows")))

@@ -35,7 +35,7 @@ def _hourly(spark: SparkSession, out: str) -> DataFrame:
 def run_ingest(spark: SparkSession, raw_dir: str, out: str, **thresholds) -> None:
     """Monthly files -> trips (by month, with duplicate flag), file stats, station tables."""
     manifest = stage(trip_files.file_manifest(spark, raw_dir), "manifest")
-    clean = stage(cleaning.clean_trips(trip_files.read_trips(spark, manifest), **thresholds), "clean")
+    clean = stage(cleaning.clean_trips(trip_files.read_trips(spark, manifest, malformed="malformed"), **thresholds), "clean")
     trips = cleaning.trip_columns(clean)
     tables.write_by_month(cleaning.flag_duplicates(trips), f"{out}/trips")
     stats = quality.file_stats(trips)
@@ -47,7 +47,7 @@ def run_ingest(spark: SparkSession, raw_dir: str, out: str, **thresholds) -> Non
     tables.write_table(stations.life_from_events(daily).join(attributes, "station_id", "left"),
                        f"{out}/station_master_raw")
     completeness = quality.load_completeness(trip_files.read_lines(spark, manifest),
-                                             clean.select("file"))
+                                             clean.select("file", "malformed"), "malformed")
     tables.write_table(completeness, f"{out}/load_completeness")
 
 

@@ -42,12 +42,21 @@ def csv_trips_clean(t: Tables):
     return cleaning.trip_columns(cleaning.clean_trips(rows, **THRESHOLDS))
 
 
+@query("src_month:s address:s n:i", """
+    SELECT src_month, replace(address, ', ', ',' || chr(10)) AS address, count(*) AS n
+    FROM (SELECT src_month, unnest([rent_addr, ret_addr]) AS address FROM raw_text) GROUP BY 1, 2""")
+def csv_line_breaks(t: Tables):
+    """Values with line breaks, read from the text files."""
+    rows = trip_files.read_trips(t.spark, trip_files.file_manifest(t.spark, t.trip_folder))
+    return rows.select("src_month", F.explode(F.array("rent_addr", "ret_addr")).alias("address")).groupBy("src_month", "address").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("src_month:s source_rows:i parsed_rows:i complete:b",
        "SELECT src_month, count(*) AS source_rows, count(*) AS parsed_rows, true AS complete FROM clean GROUP BY 1")
 def load_completeness(t: Tables):
     manifest = trip_files.file_manifest(t.spark, t.trip_folder)
     files = quality.load_completeness(trip_files.read_lines(t.spark, manifest),
-                                      trip_files.read_trips(t.spark, manifest))
+                                      trip_files.read_trips(t.spark, manifest, malformed="malformed"), "malformed")
     return files.groupBy(trip_files.month_from_path(F.col("file")).alias("src_month")).agg(
         F.sum("source_rows").alias("source_rows"), F.sum("parsed_rows").alias("parsed_rows"),
         F.every("complete").alias("complete"))

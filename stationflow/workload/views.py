@@ -202,11 +202,13 @@ class Tables:
     # Files and polls derived from the events.
     @cached_property
     def trip_folder(self) -> str:
-        """The raw trips as CSV, one folder per month file; the second one is cp949."""
+        """The raw trips as CSV, one folder per month file; the second one is cp949. Addresses hold line breaks."""
         root = staging_path(self.spark, "raw")
+        back = {v: k for k, v in cleaning.RENAME.items()}
+        written = self.raw_trips.withColumns({back[c]: F.replace(F.col(back[c]), F.lit("Addr, "), F.lit("Addr,\n")) for c in ("rent_addr", "ret_addr")})
         with trip_files.java_charsets(self.spark):
             for month, name, charset in (("202401", "trips(24년01월).csv", "UTF-8"), ("202402", "trips(24년02월).csv", "MS949")):
-                (self.raw_trips.where(F.col("src_month") == month).drop("src_month")
+                (written.where(F.col("src_month") == month).drop("src_month")
                  .write.option("header", "true").option("encoding", charset).option("escape", '"')
                  .option("nullValue", "").option("emptyValue", "").csv(f"{root}/{name}"))
         return root

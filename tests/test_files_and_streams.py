@@ -1,4 +1,6 @@
+import csv
 import json
+import random
 import unicodedata
 from datetime import datetime, timedelta
 
@@ -88,6 +90,51 @@ def test_trips_are_read_with_their_own_encoding(spark, raw_dir):
     assert len(complete) == 3 and all(r.complete for r in complete)
 
 
+def cell(rnd):
+    return "".join(rnd.choice(["a", "역", ",", '""', "\n", "\r\n", " ", "\n\n"]) for _ in range(rnd.randrange(6)))
+
+
+@pytest.mark.parametrize("block,charset,seed", [("100", "utf-8-sig", 1), ("1000", "cp949", 2), ("64m", "utf-8", 3)])
+def test_quoted_line_breaks_equal_csv_reader(spark, tmp_path, block, charset, seed):
+    rnd = random.Random(seed)
+    names = {"a": "x", "b": "y", "c,d": "z"}
+    for month, torn in ((1, True), (2, False), (3, True)):
+        lines = ['a,"c,d",b']
+        for i in range(50):
+            lines.append(f'{i},"{cell(rnd) if torn else "plain"}",{"" if i % 3 else chr(34) + cell(rnd).replace(chr(10), chr(32)).replace(chr(13), "") + chr(34)}')
+            if i % 10 == 0:
+                lines.append("")
+        (tmp_path / f"t(25년0{month}월).csv").write_bytes(("\r\n" if month == 3 else "\n").join(lines).encode(charset))
+    want = []
+    for path in tmp_path.iterdir():
+        with open(path, newline="", encoding=charset) as f:
+            rows = [r for r in csv.reader(f) if r]
+        want += [(r[0], r[2] or None, r[1] or None) for r in rows[1:]]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        manifest = trip_files.file_manifest(spark, str(tmp_path))
+        rows = trip_files.read_trips(spark, manifest, names, malformed="bad")
+        got = [(r.x, r.y or None, r.z or None) for r in rows.collect()]
+        complete = quality.load_completeness(trip_files.read_lines(spark, manifest), rows, "bad").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert [(r.source_rows, r.parsed_rows, r.complete) for r in complete] == [(50, 50, True)] * 3
+
+
+def test_malformed_records_are_not_complete(spark, tmp_path):
+    (tmp_path / "t(25년01월).csv").write_text('a,b\n1,2\n3\n"4\n5",6\n7,8,9\n', encoding="utf-8")
+    manifest = trip_files.file_manifest(spark, str(tmp_path))
+    rows = trip_files.read_trips(spark, manifest, {"a": "x", "b": "y"}, malformed="bad")
+    got = quality.load_completeness(trip_files.read_lines(spark, manifest), rows, "bad").first()
+    assert (got.source_rows, got.parsed_rows, got.complete) == (4, 2, False)
+    (tmp_path / "u(25년02월).csv").write_text('a,b\n1,"2\n', encoding="utf-8")
+    with pytest.raises(ValueError, match="quote not closed"):
+        trip_files.read_trips(spark, trip_files.file_manifest(spark, str(tmp_path)), {"a": "x", "b": "y"})
+
+
 def test_missing_column_is_an_error(spark, tmp_path):
     (tmp_path / "t(25년01월).csv").write_text("a,b\n1,2\n")
     with pytest.raises(ValueError, match="columns missing"):
