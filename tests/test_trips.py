@@ -45,7 +45,8 @@ def brute_moves(rows):
 
 @pytest.mark.parametrize("hot_rows", [1, 20, 10**9])
 @pytest.mark.parametrize("partitions", [1, 7])
-def test_moves_equal_brute_force(spark, hot_rows, partitions):
+def test_moves_equal_brute_force(spark, monkeypatch, hot_rows, partitions):
+    monkeypatch.setattr(chunked, "SLICE_ROWS", 45)
     rows = random_trips(400, seed=1)
     random.Random(partitions).shuffle(rows)
     df = spark.createDataFrame(rows, TRIP_SCHEMA).repartition(partitions)
@@ -57,7 +58,7 @@ def test_moves_equal_brute_force(spark, hot_rows, partitions):
 def test_positions_equal_brute_force(spark, hot_rows):
     rows = [(None if r[0] == "hot" else r[0], r[1], i) for i, r in enumerate(random_trips(300, seed=2))]
     df = spark.createDataFrame(rows, "k string, at timestamp_ntz, i int")
-    got = {r["i"]: (r["seq"], r["prev_i"]) for r in chunked.chained(df, ["k"], ["at", "i"], ["i"], seq="seq", hot_rows=hot_rows).collect()}
+    got = {r["i"]: (r["seq"], r["prev_i"]) for r in chunked.chained(df, ["k"], ["at", "i"], ["i"], seq="seq", hot_rows=hot_rows, slice_rows=30).collect()}
     want, last = {}, {}
     for k, _, i in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
         n, before = last.get(k, (0, None))
@@ -66,6 +67,31 @@ def test_positions_equal_brute_force(spark, hot_rows):
     assert got == want
 
 
+def test_a_hot_key_within_one_hour_is_cut_equally(spark):
+    """All rows of the hot key lie in one hour, most of them in one minute; some repeat."""
+    rnd = random.Random(5)
+    rows = [("hot", T0 + timedelta(minutes=rnd.choice([7] * 9 + [8, 50])), rnd.randrange(700), i) for i in range(1500)]
+    rows += [("hot", T0 + timedelta(minutes=7), 3, 9999)] * 400 + [(f"k{i % 40}", T0 + timedelta(minutes=i), i, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, at timestamp_ntz, j int, i int").repartition(11)
+    slices = chunked.sliced(df.where("k = 'hot'"), ["k"], ["at", "j", "i"], 1900, 100).groupBy("k", "_slice").count().collect()
+    assert len(slices) >= 15 and max(r["count"] for r in slices) <= 200
+    got = chunked.chained(df, ["k"], ["at", "j", "i"], ["i", "j"], seq="seq", hot_rows=100, slice_rows=100).collect()
+    want, last = [], {}
+    for row in sorted(rows):
+        n, before = last.get(row[0], (0, (None, None)))
+        want.append((*row, *before, n + 1))
+        last[row[0]] = (n + 1, (row[3], row[2]))
+    assert sorted(((r.k, r["at"], r.j, r.i, r.prev_i, r.prev_j, r.seq) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_slices_of_a_hot_key_are_the_only_extra_work(spark):
+    df = spark.createDataFrame([("a", T0, 1)] * 5 + [(None, T0, 2)] * 50, "k string, at timestamp_ntz, i int")
+    plan = chunked.chained(df, ["k"], ["at", "i"], ["i"], hot_rows=20, slice_rows=10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_hot_k" in plan and plan.count("Window ") == 2
+    plan = chunked.chained(df, ["k"], ["at", "i"], ["i"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_tied_rentals_are_ordered_by_the_later_keys(spark):
     rows = [trip("b", 0, "a", 10, "x"), trip("b", 60, "x", 5, "y"), trip("b", 60, "x", 20, "z"), trip("b", 200, "y", 5, "a")]
     expected = brute_moves(rows)
