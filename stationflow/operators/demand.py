@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio, round_even
-from ..functions.timecols import dow
+from ..functions.timecols import dow, minute_index
 from .ranks import many_quantiles
 
 DEMAND_THRESHOLD = 2.0
@@ -153,3 +153,33 @@ def response_gap(curve: DataFrame) -> DataFrame:
     """Ratio of the lowest to the highest decile."""
     return curve.agg(F.min_by("ratio", "decile").alias("lowest"), F.max_by("ratio", "decile").alias("highest")
                      ).withColumn("low_over_high", ratio("lowest", "highest"))
+
+
+def dawn_anchored(dense: DataFrame, hours: tuple[int, int] = (3, 5)) -> DataFrame:
+    """Inventory level against the dawn minimum, when a station is taken to be at its emptiest.
+
+    ``inv`` is the running sum of net flow. A day's anchor is the dawn hour in which it is lowest (the first of
+    them); ``level`` is the running sum since the last anchor, null before the first. ``inv_abs`` is the one offset
+    per station that puts its lowest dawn at zero. Station rows are bounded by the calendar.
+    """
+    w = Window.partitionBy("station_id").orderBy("ts")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    by_day = Window.partitionBy("station_id", F.to_date("ts"))
+    rows = dense.withColumn("inv", F.sum("net_flow").over(so_far))
+    dawn = F.when(F.hour("ts").between(*hours), F.struct("inv", "ts"))
+    rows = rows.withColumn("is_anchor", F.coalesce(F.col("ts") == F.min(dawn).over(by_day)["ts"], F.lit(False)))
+    anchor = F.last(F.when(F.col("is_anchor"), F.col("inv")), ignorenulls=True).over(so_far)
+    lowest = F.min(F.when(F.col("is_anchor"), F.col("inv"))).over(Window.partitionBy("station_id"))
+    return rows.select("station_id", "ts", "inv", "is_anchor", (F.col("inv") - anchor).cast("long").alias("level"), (F.col("inv") - lowest).alias("inv_abs"))
+
+
+def drift_slope(panel: DataFrame) -> DataFrame:
+    """Bikes a day by which a station's inventory would drift if nobody moved any: slope of the running net flow of
+    trips over time. The regression is an aggregate of moments, merged like a sum."""
+    so_far = Window.partitionBy("station_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    days = minute_index("ts") / F.lit(1440.0)
+    rows = panel.select("station_id", F.sum(-F.col("net_out")).over(so_far).alias("raw_inv"),
+                        (days - F.min(days).over(Window.partitionBy("station_id"))).alias("day"))
+    found = rows.groupBy("station_id").agg(F.count(F.lit(1)).alias("hours"), F.regr_slope("raw_inv", "day").alias("drift_per_day"),
+                                           F.regr_r2("raw_inv", "day").alias("r2"))
+    return found.where("hours > 1")

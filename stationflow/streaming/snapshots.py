@@ -8,6 +8,10 @@ per key wins when the table is read.
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -115,12 +119,12 @@ def ingest(spark: SparkSession, landing: str, sink: str, checkpoint: str,
 
 
 def read_status(spark: SparkSession, sink: str, first_day: str | None = None,
-                last_day: str | None = None) -> DataFrame:
+                last_day: str | None = None, version: int | None = None) -> DataFrame:
     """Current status table: newest batch per (collected_at, station_id), plus ``ts``.
 
     The optional bounds ('yyyy-MM-dd') are partition filters: only those folders are read.
     """
-    stored = spark.read.parquet(f"{sink}/status")
+    stored = stored_status(spark, sink, version)
     if first_day:
         stored = stored.where(F.col("collected_date") >= F.lit(first_day).cast("date"))
     if last_day:
@@ -151,7 +155,7 @@ def hours_touched(spark: SparkSession, sink: str, batch_id: int) -> DataFrame:
     if days[0] is None:
         return touched.withColumn("inv_act", F.lit(None).cast("double"))  # no readable poll: no row
     # Partition filter: only the days the batch wrote to are read again.
-    stored = spark.read.parquet(f"{sink}/status").where(F.col("collected_date").between(F.lit(days[0]), F.lit(days[1])))
+    stored = stored_status(spark, sink).where(F.col("collected_date").between(F.lit(days[0]), F.lit(days[1])))
     stored = stored.where(F.col("batch_id") <= batch_id).select("batch_id", "collected_at", "station_id", "bikes_available", hour)
     current = newest(stored.join(touched, ["station_id", "hour"], "left_semi"), ["collected_at", "station_id"], ["batch_id"])
     return current.groupBy("station_id", "hour").agg(F.avg("bikes_available").alias("inv_act"))
@@ -178,25 +182,96 @@ def read_hourly(spark: SparkSession, out: str) -> DataFrame:
     return newest(stored, ["station_id", "hour"], ["batch_id"]).where(F.col("inv_act").isNotNull()).select("station_id", "hour", "inv_act")
 
 
-def compact(spark: SparkSession, sink: str, before: str) -> None:
-    """Rewrites the days before ``before`` ('yyyy-MM-dd') as one folder of current rows, batch_id=-1.
+def _store(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as one of its own."""
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return made.getFileSystem(spark._jsc.hadoopConfiguration()), made
+
+
+def versions(spark: SparkSession, sink: str) -> list[int]:
+    """Committed versions of the status table, oldest first. Version 0, the batches alone, is not listed."""
+    store, path = _store(spark, f"{sink}/versions")
+    names = [f.getPath().getName() for f in store.listStatus(path)] if store.exists(path) else []
+    return sorted(int(n[1:]) for n in names if re.fullmatch(r"v\d+", n))
+
 
-    The new folder is written beside the table and moved in when it is complete; days from ``before``
-    on keep their batch folders, so the stream may go on meanwhile. A read then ranks open days only.
+def _pointer(spark: SparkSession, sink: str, version: int | None) -> dict | None:
+    known = versions(spark, sink)
+    version = (known[-1] if known else 0) if version is None else version
+    if not version:
+        return None
+    return json.loads(spark.read.text(f"{sink}/versions/v{version}").first()[0])
+
+
+def stored_status(spark: SparkSession, sink: str, version: int | None = None) -> DataFrame:
+    """Rows of the status table as of a version (the newest if None), with batch_id and collected_date.
+
+    A version names a base folder with the current rows of the days before a day, as of a batch. Of the batch
+    folders it leaves out just these days of just these batches, so whether they are still there makes no difference.
+    """
+    pointer = _pointer(spark, sink, version)
+    if pointer is None:
+        return spark.read.parquet(f"{sink}/status")
+    base = spark.read.parquet(f"{sink}/{pointer['base']}").withColumn("batch_id", F.lit(-1))
+    base = base.select(*STATUS_COLUMNS, "batch_id", "collected_date")
+    open_days = F.col("collected_date") >= F.lit(pointer["before"]).cast("date")
+    batches = spark.read.schema(base.schema).parquet(f"{sink}/status").where(open_days | (F.col("batch_id") > pointer["batch"]))
+    return base.unionByName(batches)
+
+
+def compact(spark: SparkSession, sink: str, before: str) -> int:
+    """Makes a version whose days before ``before`` ('yyyy-MM-dd') are one folder of current rows; returns its number.
+
+    The folder is written first; then one rename makes the version's pointer appear. Until then readers see the
+    version before, afterwards the new one, and a run that breaks off leaves files that nobody reads. Nothing is
+    deleted (see ``vacuum``), so readers of an older version go on, as does the stream. One compaction runs at a time.
     """
-    closed = spark.read.parquet(f"{sink}/status").where(F.col("collected_date") < F.lit(before).cast("date"))
-    fresh = f"{sink}/compacting"
+    now = stored_status(spark, sink)
+    batch = now.agg(F.max("batch_id")).first()[0]
+    base = f"base/{uuid.uuid4().hex}"
+    closed = now.where((F.col("collected_date") < F.lit(before).cast("date")) & (F.col("batch_id") <= batch))
     (newest(closed, ["collected_at", "station_id"], ["batch_id"]).drop("batch_id").hint("rebalance", F.col("collected_date"))
-     .write.mode("overwrite").partitionBy("collected_date").parquet(fresh))
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    store = path(fresh).getFileSystem(spark._jsc.hadoopConfiguration())
-    folders = [f.getPath() for f in store.listStatus(path(f"{sink}/status")) if f.isDirectory()]
-    target = path(f"{sink}/status/batch_id=-1")
-    store.mkdirs(target)
-    for day in [f.getPath() for f in store.listStatus(path(fresh)) if f.isDirectory()]:
-        store.delete(path(target, day.getName()), True)
-        store.rename(day, path(target, day.getName()))
-        for folder in folders:
-            if folder.getName() != "batch_id=-1":
-                store.delete(path(folder, day.getName()), True)
-    store.delete(path(fresh), True)
+     .write.partitionBy("collected_date").parquet(f"{sink}/{base}"))
+    pointer = _pointer(spark, sink, None) or {"batch": -1}
+    version = (versions(spark, sink) or [0])[-1] + 1
+    _commit(spark, sink, version, {"base": base, "before": before, "batch": max(batch, pointer["batch"])})
+    return version
+
+
+def _commit(spark: SparkSession, sink: str, version: int, pointer: dict) -> None:
+    store, fresh = _store(spark, f"{sink}/versions/new-{uuid.uuid4().hex}")
+    out = store.create(fresh, False)
+    out.write(bytearray(json.dumps(pointer).encode()))
+    out.close()
+    target = _store(spark, f"{sink}/versions/v{version}")[1]
+    if store.exists(target) or not store.rename(fresh, target):
+        raise RuntimeError(f"version {version} of {sink} was made by another compaction")
+
+
+def vacuum(spark: SparkSession, sink: str, keep: int = 1) -> None:
+    """Deletes what no version but the ``keep`` newest ones needs. It may break off anywhere and run again."""
+    known = versions(spark, sink)
+    if len(known) < max(keep, 1):
+        return
+    kept = known[-max(keep, 1):]
+    pointers = [_pointer(spark, sink, v) for v in kept]
+    for folder in _listed(spark, f"{sink}/base"):
+        if f"base/{folder.getName()}" not in [p["base"] for p in pointers]:
+            _delete(spark, folder)
+    oldest = pointers[0]
+    for folder in _listed(spark, f"{sink}/status"):
+        if int(folder.getName().split("=")[1]) <= oldest["batch"]:
+            for day in _listed(spark, folder.toString()):
+                if day.getName().split("=")[-1] < oldest["before"]:
+                    _delete(spark, day)
+    for v in known[:-len(kept)]:
+        _delete(spark, _store(spark, f"{sink}/versions/v{v}")[1])
+
+
+def _listed(spark: SparkSession, path: str) -> list:
+    store, path = _store(spark, path)
+    return [f.getPath() for f in store.listStatus(path) if f.isDirectory()] if store.exists(path) else []
+
+
+def _delete(spark: SparkSession, path) -> None:
+    _store(spark, path.toString())[0].delete(path, True)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.timecols import day_of, midpoint, month_key
-from ..operators import (chunked, cleaning, dedup, demand, export, forecast, moves, panel, quality, ranks,
-                         robustness, series, snapshots, stations, stl, verify)
+from ..operators import (asof, chunked, cleaning, dedup, demand, export, forecast, intervals, matching, moves, panel, quality, ranks,
+                         robustness, series, sketches, snapshots, stations, stl, verify)
 from ..runtime import stage, staging_path
 from ..sources import tables as product
 from ..sources import trip_files
+from ..streaming import hourly_state
 from ..streaming import snapshots as live
 from .registry import query
 from .views import DEMAND, MISSING, MIN_MONTHLY, SEASONAL_DAYS, THRESHOLDS, Tables
@@ -655,6 +657,16 @@ def forecast_last_days(t: Tables):
     return forecast.last_days(tested, stations.top_stations(t.candidates, 1), 7)
 
 
+@query("station_id:s ts:s b0_pred:f b2_there:b", """
+    SELECT station_id, ts, b0_pred, true AS b2_there FROM tested WHERE station_id = (SELECT station_id FROM targets LIMIT 1)
+      AND ts >= (SELECT max(ts) FROM tested WHERE station_id = (SELECT station_id FROM targets LIMIT 1)) - INTERVAL 7 DAY""")
+def forecast_last_days_trees(t: Tables):
+    """The last days with the boosted trees beside the other forecasts."""
+    tested = forecast.predict_trees(forecast.fit_trees(t.features), forecast.test_rows(forecast.add_baselines(t.features, SEASONAL_DAYS)))
+    shown = forecast.last_days(tested, stations.top_stations(t.candidates, 1), 7)
+    return shown.withColumn("b2_there", F.col("b2_pred").isNotNull() & ~F.isnan("b2_pred"))
+
+
 # --- robustness -----------------------------------------------------------------------
 
 HALVES = {"first": ("2024-01-01", "2024-01-15"), "second": ("2024-01-16", "2024-01-31")}
@@ -1043,13 +1055,15 @@ def dashboard_meta(t: Tables):
     return export.dashboard_meta(series.full_calendar(series.city_series(t.city)), t.days, t.trips)
 
 
-@query("station_id:s net_out:i net_out_per_day:f use_type:s", "SELECT * FROM metrics", grain="fine")
+@query("position:i station_id:s net_out:i net_out_per_day:f use_type:s",
+       "SELECT *, row_number() OVER (ORDER BY net_out_per_day DESC NULLS LAST, station_id) AS position FROM metrics", grain="fine")
 def report_csv(t: Tables):
-    """Ordered CSV report, written and read back."""
+    """Ordered CSV report, written and read back; a row's position is where it stands in the files."""
     path = staging_path(t.spark, "report")
     report = t.metrics.select("station_id", "net_out", "net_out_per_day", "use_type")
     product.write_report(report, path, [F.desc_nulls_last("net_out_per_day"), "station_id"])
-    return product.read_report(t.spark, path, report.schema)
+    read = product.read_report(t.spark, path, report.schema).select("*", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    return read.withColumn("position", F.row_number().over(Window.orderBy("_file", "_at")))  # one row per station
 
 
 @query("src_month:s rows:i duplicates:i", """
@@ -1060,3 +1074,109 @@ def trips_by_month(t: Tables):
     product.write_by_month(cleaning.flag_duplicates(cleaning.trip_columns(t.clean)), path)
     return product.read_by_month(t.spark, path).groupBy("src_month").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if("f_dup").alias("duplicates"))
+
+
+# --- range, sketch, as-of and matching operators -----------------------------------------
+
+def _outages(t: Tables):
+    """Each error event opens a window of up to two hours."""
+    return t.events.where(F.col("event_type") == "error").select(
+        F.col("ts").alias("begin"), F.timestamp_add("MINUTE", F.col("k") % 120, F.col("ts")).alias("stop"))
+
+
+@query("bike_id:s gap_start:s gap_end:s spans_outage:b", """
+    SELECT bike_id, gap_start, gap_end, EXISTS (SELECT 1 FROM ev WHERE event_type = 'error' AND k % 120 > 0 AND ts < gap_end
+           AND ts + to_minutes(k % 120) > gap_start) AS spans_outage FROM links""")
+def gaps_over_outages(t: Tables):
+    """Which gaps between trips overlap any of many windows."""
+    linked = t.links.select("bike_id", "gap_start", "gap_end")
+    return intervals.overlaps_windows(linked, "gap_start", "gap_end", _outages(t), "begin", "stop", "spans_outage")
+
+
+@query("kind:s n:i rank_within_bound:b count_within_bound:b", """
+    SELECT l_returnflag AS kind, count(*) AS n, true AS rank_within_bound, true AS count_within_bound FROM lineitem
+    WHERE l_shipdate >= DATE '1994-01-01' AND l_shipdate <= DATE '1996-06-30' GROUP BY 1""")
+def sketched_prices(t: Tables):
+    """Quartiles and distinct parts from daily sketches over a range of days, held against the exact ranks and counts."""
+    rows = t.read("lineitem").select(F.col("l_returnflag").alias("kind"), day_of(F.col("l_shipdate").cast("timestamp_ntz")).alias("d"),
+                                     F.col("l_extendedprice").cast("double").alias("price"), F.col("l_partkey").cast("long").alias("part"))
+    daily = stage(sketches.daily_sketches(rows, ["kind"], F.col("d"), F.col("price"), F.col("part")), "sketches")
+    quarters = (0.25, 0.5, 0.75)
+    found = stage(sketches.over_days(daily, ["kind"], "1994-01-01", "1996-06-30", quarters), "sketched")
+    exact = rows.where(F.col("d").between(F.lit("1994-01-01").cast("date"), F.lit("1996-06-30").cast("date"))).join(F.broadcast(found), "kind")
+    ranks_of = [F.count_if(F.col("price") < F.col("quantiles")[i]).alias(f"below{i}") for i in range(3)]
+    ranks_of += [F.count_if(F.col("price") <= F.col("quantiles")[i]).alias(f"upto{i}") for i in range(3)]
+    counted = exact.groupBy("kind", "n", "n_distinct").agg(*ranks_of, F.count_distinct("part").alias("parts"))
+    # Twice the published rank error, five standard errors of the count.
+    near = F.lit(True)
+    for i, q in enumerate(quarters):
+        near = near & (F.col(f"below{i}") <= (q + 0.033) * F.col("n")) & (F.col(f"upto{i}") >= (q - 0.033) * F.col("n"))
+    return counted.select("kind", "n", near.alias("rank_within_bound"), (F.abs(F.col("n_distinct") - F.col("parts")) <= 0.081 * F.col("parts")).alias("count_within_bound"))
+
+
+@query("event_id:i slot:i observed_at:s observed:f", """
+    SELECT e.event_id, e.slot, CASE WHEN e.ts <= o.ts + INTERVAL 45 MINUTE THEN o.ts END AS observed_at,
+           CASE WHEN e.ts <= o.ts + INTERVAL 45 MINUTE THEN o.value END AS observed
+    FROM (SELECT event_id, k % 4 AS slot, ts FROM ev WHERE event_type = 'purchase') e ASOF LEFT JOIN
+         (SELECT k % 4 AS slot, ts, max(value) AS value FROM ev WHERE event_type = 'view' GROUP BY 1, 2) o ON e.slot = o.slot AND e.ts >= o.ts""")
+def observations_asof(t: Tables):
+    """Each purchase with the newest view of its slot in the 45 minutes before, as hours are joined with the weather."""
+    slotted = t.events.withColumn("slot", F.col("k") % 4)
+    found = asof.join_asof(slotted.where(F.col("event_type") == "purchase").select("event_id", "slot", "ts"),
+                           slotted.where(F.col("event_type") == "view").select("slot", F.col("ts").alias("seen"), "value"), "ts", "seen", ["slot"], ["value"], 45)
+    return found.withColumnsRenamed({"obs_value": "observed", "obs_at": "observed_at"})
+
+
+_DAWN = """dawn AS (SELECT station_id, ts, sum(net_flow) OVER (PARTITION BY station_id ORDER BY ts) AS inv FROM dense),
+    anchors AS (SELECT station_id, min(inv) AS inv, arg_min(ts, (inv, ts)) AS ts FROM dawn WHERE hour(ts) IN (3, 4, 5) GROUP BY station_id, ts::DATE)"""
+
+
+@query("station_id:s ts:s inv:i is_anchor:b level:i inv_abs:i", f"""
+    WITH {_DAWN} SELECT d.station_id, d.ts, d.inv, coalesce(a.ts = d.ts, false) AS is_anchor, d.inv - a.inv AS level, d.inv - l.low AS inv_abs
+    FROM dawn d ASOF LEFT JOIN anchors a ON d.station_id = a.station_id AND d.ts >= a.ts
+    LEFT JOIN (SELECT station_id, min(inv) AS low FROM anchors GROUP BY 1) l ON l.station_id = d.station_id""")
+def dawn_levels(t: Tables):
+    return demand.dawn_anchored(t.dense)
+
+
+@query("station_id:s hours:i drift_per_day:f r2:f", """
+    SELECT station_id, count(*) AS hours, regr_slope(raw, day) AS drift_per_day, regr_r2(raw, day) AS r2
+    FROM (SELECT station_id, sum(-net_out) OVER (PARTITION BY station_id ORDER BY ts) AS raw,
+                 (epoch(date_trunc('minute', ts)) - epoch(date_trunc('minute', min(ts) OVER (PARTITION BY station_id)))) / 86400 AS day FROM panel)
+    GROUP BY station_id HAVING count(*) > 1""", grain="fine")
+def drift_slopes(t: Tables):
+    return demand.drift_slope(t.panel)
+
+
+def _renamed(t: Tables):
+    """The stations as another source has them: other ids, places a few metres off, names written another way."""
+    moved = (F.length("station_id") % 3 - 1) * F.lit(0.0002)
+    return t.master.select(F.concat(F.lit("R-"), F.reverse("station_id")).alias("station_id"), F.concat(F.upper("name"), F.lit(" #")).alias("name"),
+                           (F.col("lat") + moved).alias("lat"), (F.col("lon") - moved).alias("lon"))
+
+
+@query("left_id:s right_id:s metres:f", """
+    WITH sides AS (SELECT station_id AS l, 'R-' || reverse(station_id) AS r, regexp_replace(lower(coalesce(name, '')), '[\\s[:punct:]]+', '', 'g') AS ln,
+            regexp_replace(lower(coalesce(upper(name) || ' #', '')), '[\\s[:punct:]]+', '', 'g') AS rn, lat, lon, (length(station_id) % 3 - 1) * CAST(0.0002 AS DOUBLE) AS moved FROM master
+          WHERE lat IS NOT NULL AND lon IS NOT NULL),
+    pairs AS (SELECT a.l AS left_id, b.r AS right_id, round(sqrt(power(a.lat * 111320 - (b.lat + b.moved) * 111320, 2)
+            + power(a.lon * 111320 * CAST(0.8054 AS DOUBLE) - (b.lon - b.moved) * 111320 * CAST(0.8054 AS DOUBLE), 2)), 3) AS metres,
+            round(levenshtein(a.ln, b.rn) / greatest(length(a.ln), length(b.rn), 1)::DOUBLE, 6) AS edits FROM sides a, sides b),
+    costs AS (SELECT *, round(metres / 150 + edits, 6) AS cost FROM pairs WHERE metres <= 150 AND edits <= 0.5)
+    SELECT left_id, right_id, metres FROM costs
+    QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY cost, metres, left_id, right_id) = 1
+        AND row_number() OVER (PARTITION BY right_id ORDER BY cost, metres, left_id, right_id) = 1""", grain="fine")
+def matched_stations(t: Tables):
+    """Ids of another source, found again by place and name."""
+    return matching.match_stations(t.master, _renamed(t))
+
+
+@query("station_id:s hour:s inv_act:f",
+       "SELECT station_id, ts AS hour, avg(bikes_available) AS inv_act FROM status GROUP BY ALL HAVING count(bikes_available) > 0")
+def hourly_state_stream(t: Tables):
+    """Hourly means from keyed state: the polls as they land, then the corrected noon polls."""
+    out, progress, landing = staging_path(t.spark, "hourly_state"), staging_path(t.spark, "progress"), t.landing
+    hourly_state.hourly_state_stream(t.spark, landing, out, progress, delay="60 days", max_files=8).awaitTermination()
+    t.corrected_polls.write.mode("append").text(landing)
+    hourly_state.hourly_state_stream(t.spark, landing, out, progress, delay="60 days").awaitTermination()
+    return live.read_hourly(t.spark, out)

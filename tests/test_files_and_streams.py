@@ -11,6 +11,7 @@ from stationflow import runtime
 from stationflow.operators import cleaning, quality, snapshots
 from stationflow.plans import jobs
 from stationflow.sources import tables, trip_files
+from stationflow.streaming import hourly_state
 from stationflow.streaming import snapshots as live
 
 
@@ -198,11 +199,91 @@ def test_hourly_stream_counts_the_newest_row_of_each_poll(spark, tmp_path):
     assert put("3.json", "broken {") == {("a", 0): 8.0, ("a", 5): 6.0, ("a", 9): 1.0}
     assert put("4.json", poll(at(5), [{"id": "a"}])) == {("a", 0): 8.0, ("a", 9): 1.0}  # the count is gone
     live.compact(spark, sink, "2024-01-02")
+    live.vacuum(spark, sink)
     assert live.read_status(spark, sink).count() == 4
-    assert spark.read.parquet(f"{sink}/status").select("batch_id").distinct().count() == 1
+    assert live.stored_status(spark, sink).select("batch_id").distinct().count() == 1
     assert put("5.json", one(at(9, 30), 3)) == {("a", 0): 8.0, ("a", 9): 2.0}
 
 
+def test_compaction_that_breaks_off_changes_no_row(spark, tmp_path, monkeypatch):
+    landing, sink, progress = (str(tmp_path / n) for n in ("in", "sink", "progress"))
+    (tmp_path / "in").mkdir()
+
+    def put(name, *days):
+        lines = [poll(f"2024-01-0{d}T10:00:00+09:00", [{"id": f"s{i}", "parking_count": len(name) + i} for i in range(3)]) for d in days]
+        (tmp_path / "in" / name).write_text("\n".join(lines) + "\n")
+        live.ingest(spark, landing, sink, progress).awaitTermination()
+
+    def rows(version=None):
+        return sorted(tuple(r) for r in live.read_status(spark, sink, version=version).select("collected_at", "station_id", "bikes_available").collect())
+
+    put("a.json", 1, 2)
+    put("bb.json", 1, 3)
+    before = rows()
+    steps = ["_commit", "_delete", "versions", "_store"]
+    real = {n: getattr(live, n) for n in steps}
+    for stop in range(12):  # breaks off at each call in turn, of the commit and of the deletions
+        calls = []
+
+        def step(name):
+            def run(*args):
+                calls.append(name)
+                if len(calls) > stop:
+                    raise OSError("killed")
+                return real[name](*args)
+            return run
+        for n in steps:
+            monkeypatch.setattr(live, n, step(n))
+        try:
+            live.compact(spark, sink, "2024-01-03")
+            live.vacuum(spark, sink)
+        except OSError:
+            pass
+        finally:
+            for n in steps:
+                monkeypatch.setattr(live, n, real[n])
+        assert rows() == before
+    live.compact(spark, sink, "2024-01-03")
+    old = live.versions(spark, sink)[-1]
+    put("ccc.json", 1, 4)  # a closed day is corrected after its compaction
+    new = rows()
+    assert new != before and rows(old) == new  # batches after a version's are part of it
+    live.compact(spark, sink, "2024-01-05")
+    live.vacuum(spark, sink, keep=2)
+    assert rows() == new and rows(old) == new
+    live.vacuum(spark, sink)
+    live.vacuum(spark, sink)
+    assert rows() == new and live.versions(spark, sink) == [old + 1]
+    assert live.stored_status(spark, sink).select("batch_id").distinct().collect() == [(-1,)]
+    put("dddd.json", 9)
+    assert len(rows()) == len(new) + 3
+
+
+def test_hourly_state_equals_the_status_table(spark, tmp_path):
+    """Late polls, corrections, entries listed twice; state of hours behind the watermark is dropped."""
+    rnd = random.Random(6)
+    landing, sink, out, progress, other = (str(tmp_path / n) for n in ("in", "sink", "out", "progress", "other"))
+    (tmp_path / "in").mkdir()
+    t0, sizes = datetime(2024, 1, 1), []
+    for step in range(6):
+        lines = []
+        for _ in range(12):  # polls of the last ten hours, some of them again
+            at = t0 + timedelta(hours=8 * step + rnd.randrange(-9, 1), minutes=rnd.choice([0, 30]))
+            lines.append(poll(at.isoformat() + "+09:00", [{"id": rnd.choice("ab"), "parking_count": rnd.choice([None, 1, 5, 8])} for _ in range(3)]))
+        lines.append("broken {")
+        (tmp_path / "in" / f"{step}.json").write_text("\n".join(lines) + "\n")
+        live.ingest(spark, landing, sink, other).awaitTermination()
+        query = hourly_state.hourly_state_stream(spark, landing, out, progress, delay="20 hours")
+        query.awaitTermination()
+        sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        got = {(r.station_id, r.hour): r.inv_act for r in live.read_hourly(spark, out).collect()}
+        want = {(r.station_id, r.ts): r.inv_act for r in snapshots.hourly_availability(live.read_status(spark, sink)).collect()}
+        assert got == want
+    # 2 stations, 31 hours at most between the newest poll and the end of the oldest hour kept, 2 polls an hour, one timer each way.
+    assert max(sizes) <= 2 * 31 * (2 + 2) and len(want) > 40
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
 def test_measured_and_estimated_inventory(spark):
     hours = [datetime(2024, 1, 1) + timedelta(hours=h) for h in range(40)]
     panel = spark.createDataFrame([("a", t, 1 if i % 3 else -1) for i, t in enumerate(hours)], "station_id string, ts timestamp_ntz, net_flow int")
