@@ -72,6 +72,30 @@ def prefix_index(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
         F.col("other.at").alias("check_at"), F.col("words").alias("wanted"), "items"), "prefixes")
 
 
+def _by_shuffle(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """``find_overlaps`` for a benchmark that is not broadcast.
+
+    Words go to the index by a shuffle with their row key and place only. The windows that a row may hold, and
+    where, come back to the row, which compares them with its own words.
+    """
+    text, key = F.col("text").cast("string"), ["doc_id", "text_key"]
+    rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), words_of(text).alias("words"))
+    begin = F.col("pos") - F.col("at")
+    near = rows.select(*key, F.posexplode("words").alias("pos", "word")).join(index, "word").where(begin >= 0)
+    near = near.groupBy(*key).agg(F.collect_set(F.struct(begin.alias("start"), "wanted", "items")).alias("near"))
+    near = near.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), "near")
+    same_row = (F.col("text_key") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+
+    def there(c):
+        return F.slice(F.col("words"), c["start"] + 1, F.size(c["wanted"])) == c["wanted"]
+
+    found = rows.join(near, same_row, "left").withColumn("hits", F.filter(F.coalesce(
+        "near", F.expr("CAST(array() AS array<struct<start:int,wanted:array<string>,items:array<string>>>)")), there))
+    span = F.transform("hits", lambda c: F.struct(c["start"].alias("start"), (c["start"] + F.size(c["wanted"])).alias("end")))
+    return found.select(*key, F.size("words").cast("long").alias("n_words"), F.array_sort(F.array_distinct(span)).alias("spans"),
+                        F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda c: c["items"])))).alias("items"))
+
+
 def find_overlaps(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
     """doc_id, text_key, n_words, spans (sorted word ranges start..end of occurring windows), items (sorted ids).
 
@@ -81,10 +105,9 @@ def find_overlaps(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFr
     none = [F.lit(0).alias("at"), F.lit("").alias("check"), F.lit(0).alias("check_at"),
             F.expr("CAST(array() AS array<string>)").alias("wanted"), F.expr("CAST(array() AS array<string>)").alias("items")]
     mark = docs.sparkSession.range(1).select(F.lit("").alias("word"), *none)
-    n_windows = index.count()
-    index = index.unionByName(mark)
-    if n_windows <= BROADCAST_WINDOWS:
-        index = F.broadcast(index)
+    if index.count() > BROADCAST_WINDOWS:
+        return _by_shuffle(docs, index)
+    index = F.broadcast(index.unionByName(mark))
     begin, size = F.col("pos") - F.col("at"), F.size("wanted")
     fits = (begin >= 0) & (begin + size <= F.size("words"))
     same = (F.expr("get(words, pos - at + check_at)") == F.col("check")) & (

@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-CANDIDATES, QUERIES, LANES = 4096, 2048, 64
+CANDIDATES, QUERIES = 4096, 2048
+# Blocks of candidates that a task scores against a block of queries.
+PER_LANE = 4
 _INT = pa.list_(pa.int64())
 _BLOCK = "lot long, block long, ids array<long>, marks array<long>, at array<int>, rows array<int>, weights array<long>"
 
@@ -134,7 +136,7 @@ def exact_top_k(vectors: DataFrame, is_query: str, k: int = 5, scale: int = 256,
     """
     rows = stage(quantised(vectors, id_column, column, scale), "vectors")
     lots = max(1, -(-rows.where(is_query).count() // QUERIES))
-    lanes = max(1, min(LANES, -(-rows.count() // CANDIDATES)))
+    lanes = max(1, -(-rows.count() // (CANDIDATES * PER_LANE)))
 
     def blocks(chosen: DataFrame, size: int) -> DataFrame:
         return chosen.select("lot", "id", "mark", "v").mapInArrow(lambda it: _blocks(it, size), _BLOCK)

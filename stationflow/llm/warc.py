@@ -16,7 +16,9 @@ null or empty; header names are compared without case. Extra columns are kept aw
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +37,7 @@ RECORDS_PER_FILE = 2000
 FILE_BYTES = 64 << 20
 _STEP = 8
 _BREAK = re.compile(rb"\r\n\r\n")
+_PIECE = 1 << 16
 
 
 def canonical_url(url: Column) -> Column:
@@ -89,12 +92,16 @@ def latest_earlier(records: DataFrame) -> DataFrame:
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """record_id, canonical_url, status (resolved, changed, unmatched), refers_to, headers of each revisit record.
 
-    ``records``: record_id, url, at (seconds, whole), type (response or revisit), headers (map).
+    ``records``: record_id, url, at (seconds, whole), type (response or revisit), headers (map); if they have
+    http_status as well, a response with another one than 200 is no full response.
     ``changed`` means that the validators disagree or that there are none to compare.
     """
+    full = F.col("type") == "response"
+    if "http_status" in records.columns:
+        full = full & (F.coalesce("http_status", F.lit(200)) == 200)
     rows = records.select("record_id", canonical_url(F.col("url")).alias("key"), F.col("at").cast("long").alias("at"),
-                          (F.col("type") == "response").alias("is_response"), lowered(F.col("headers")).alias("headers"), "type")
-    rows = rows.where("type IN ('response', 'revisit')")
+                          full.alias("is_response"), lowered(F.col("headers")).alias("headers"), "type")
+    rows = rows.where("type IN ('response', 'revisit')").where("is_response OR type = 'revisit'")
     links = latest_earlier(rows.select("record_id", "key", "at", "is_response"))
     stored = rows.where("is_response").select(F.col("record_id").alias("refers_to"), F.col("headers").alias("stored"))
     asked = rows.where("NOT is_response").select("record_id", F.col("key").alias("canonical_url"), "headers")
@@ -153,26 +160,70 @@ def write_warc(records: DataFrame, out: str) -> None:
          .option("maxRecordsPerFile", [*limits, 1][k]).option("lineSep", "\r\n\r\n").text(out))
 
 
-def records_of(content: memoryview) -> Iterator[dict]:
-    """The records of one WARC file."""
-    data, at = content.cast("B"), 0
+def _members(data: memoryview) -> Iterator[memoryview]:
+    """The file as it is, or each gzip member of it unpacked; a member that breaks off or is damaged is None."""
+    if bytes(data[:2]) != b"\x1f\x8b":
+        yield data
+        return
+    at = 0
     while at < len(data):
-        end = _BREAK.search(data, at).start()
-        head = dict(line.split(b": ", 1) for line in bytes(data[at:end]).split(b"\r\n")[1:] if b": " in line)
-        size = int(head[b"Content-Length"])
-        block = bytes(data[end + 4:end + 4 + size])
-        http, _, body = block.partition(b"\r\n\r\n")
-        lines = [tuple(line.decode("utf-8", "replace").split(": ", 1)) for line in http.split(b"\r\n")[1:] if b": " in line]
-        number, url, date, kind = (head.get(name) for name in (b"WARC-Record-ID", b"WARC-Target-URI", b"WARC-Date", b"WARC-Type"))
-        yield {"record_id": None if number is None else int(number.rpartition(b":")[2].rstrip(b">")),
-               "url": None if url is None else url.decode("utf-8", "replace"), "date": None if date is None else date.decode(),
-               "type": None if kind is None else kind.decode(), "headers": lines, "body": body}
-        at = end + 4 + size + 4
+        unpack, parts = zlib.decompressobj(31), []
+        try:
+            while not unpack.eof and at < len(data):
+                piece = data[at:at + _PIECE]
+                parts.append(unpack.decompress(piece))
+                at += len(piece)
+            at -= len(unpack.unused_data)
+        except zlib.error:
+            yield None
+            return
+        yield memoryview(b"".join(parts)) if unpack.eof else None
+
+
+def _named(lines: list[bytes]) -> list[tuple[str, str]]:
+    """Header lines as name and value; a line without a colon is left out."""
+    parts = (line.decode("utf-8", "replace").partition(":") for line in lines)
+    return [(name.strip(), value.strip()) for name, colon, value in parts if colon]
+
+
+def record_number(uri: str | None) -> int | None:
+    """The number in an id of our own writer; of any other id the first 8 bytes of its sha1, as a number."""
+    own = re.fullmatch(r"<?urn:record:(-?\d{1,19})>?", uri or "")
+    if own:
+        return int(own[1])
+    return None if uri is None else int.from_bytes(hashlib.sha1(uri.encode()).digest()[:8], "big", signed=True)
+
+
+_EMPTY = {c: None for c in ("record_id", "warc_id", "url", "date", "http_status", "body")}
+
+
+def records_of(content: memoryview) -> Iterator[dict]:
+    """The records of one WARC file, plain or gzip. What can't be read is one row of type ``malformed`` with the
+    rest of its member as body."""
+    for data in _members(content.cast("B")):
+        at = 0
+        while data is None or at < len(data):
+            end = _BREAK.search(data, at) if data is not None else None
+            head = {k.lower(): v for k, v in _named(bytes(data[at:end.start()]).strip().split(b"\r\n")[1:])} if end else {}
+            size = head.get("content-length", "")
+            if not size.isdecimal() or end.end() + int(size) > len(data):
+                yield {**_EMPTY, "type": "malformed", "headers": [], "body": b"" if data is None else bytes(data[at:])}
+                break
+            block = bytes(data[end.end():end.end() + int(size)])
+            at = end.end() + int(size)
+            while bytes(data[at:at + 2]) == b"\r\n":
+                at += 2
+            http, _, body = block.partition(b"\r\n\r\n") if block[:5] == b"HTTP/" else (b"", b"", block)
+            lines = http.split(b"\r\n")
+            status = re.match(rb"HTTP/\S+ +(\d{3})\b", lines[0])
+            yield {"record_id": record_number(head.get("warc-record-id")), "warc_id": head.get("warc-record-id"), "url": head.get("warc-target-uri"),
+                   "date": head.get("warc-date"), "type": head.get("warc-type"), "http_status": int(status[1]) if status else None,
+                   "headers": list(dict(_named(lines[1:])).items()), "body": body}
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("record_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("type", pa.string()),
-                        ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.binary())])
+    schema = pa.schema([("record_id", pa.int64()), ("warc_id", pa.string()), ("url", pa.string()), ("date", pa.string()), ("type", pa.string()),
+                        ("http_status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.binary())])
     for batch in batches:
         for content in batch.column("content"):
             rows, size = [], 0
@@ -186,8 +237,12 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of uncompressed WARC files: record_id, url, at, type, headers, body."""
+    """Records of WARC files, plain or gzip: record_id, warc_id, url, at, type, http_status, headers, body.
+
+    Parts of a second are dropped; a date that is none is null. Damaged or cut-off records are rows of type
+    ``malformed``.
+    """
     found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(
-        _parsed, "record_id long, url string, date string, type string, headers map<string, string>, body binary")
-    return found.select("record_id", "url", F.unix_timestamp(F.to_timestamp("date", "yyyy-MM-dd'T'HH:mm:ssX")).alias("at"),
-                        "type", "headers", "body")
+        _parsed, "record_id long, warc_id string, url string, date string, type string, http_status int, headers map<string, string>, body binary")
+    at = F.unix_timestamp(F.try_to_timestamp(F.regexp_replace("date", r"\.\d+", ""), F.lit("yyyy-MM-dd'T'HH:mm:ssX")))
+    return found.select("record_id", "warc_id", "url", at.alias("at"), "type", "http_status", "headers", "body")

@@ -67,3 +67,16 @@ def test_query_equals_brute_force(spark, sf):
     got = QUERIES["op3_decontaminate"](spark, path).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert any(r.contaminated for r in got)
+
+
+def test_long_text_against_a_large_benchmark(spark, monkeypatch):
+    """The shuffled join on one text of 200,000 words among copies and short ones."""
+    monkeypatch.setattr(d, "BROADCAST_WINDOWS", 0)
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(3000)}" for _ in range(200_000)]
+    items = [(i, " ".join(words[i * 900:i * 900 + 20])) for i in range(200)] + [(900, "nowhere to be found in any of these texts at all or so they say")]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:400])), (2, " ".join(words[:400])), (3, None), (None, "w1 w2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = d.digests(d.contamination(docs, spark.createDataFrame(items, "item_id long, text string")))
+    want = [(i, n, hit, hashlib.sha256(ids.encode()).hexdigest(), bad) for i, n, hit, ids, bad in overlaps(rows, items)]
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r.items_sha256, r.contaminated) for r in got.collect()), key=repr) == sorted(want, key=repr)

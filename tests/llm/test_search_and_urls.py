@@ -1,3 +1,4 @@
+import gzip
 import random
 import re
 
@@ -25,7 +26,7 @@ def brute(rows, k, is_query):
 
 @pytest.mark.parametrize("sizes", [(4096, 2048, 64), (7, 3, 4)])
 def test_top_k_equals_brute_force(spark, monkeypatch, sizes):
-    for name, value in zip(("CANDIDATES", "QUERIES", "LANES"), sizes):
+    for name, value in zip(("CANDIDATES", "QUERIES", "PER_LANE"), sizes):
         monkeypatch.setattr(exact_topk, name, value)
     rng = random.Random(5)
     rows = [(i, [rng.choice([0.0, 0.0, rng.uniform(-1, 1)]) for _ in range(6)]) for i in range(160)]
@@ -96,7 +97,7 @@ def test_open_ended_and_tokenless_rules(spark):
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_query_equals_sql(spark, name, sf):
     con = duckdb.connect()
-    for t in ("pages", "documents"):
+    for t in ("pages", "documents", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/{sf}/{t}.parquet')")
     got = QUERIES[name](spark, f"/root/testdata/{sf}")
     want = con.execute(ORACLES[name])
@@ -200,3 +201,38 @@ def test_warc_files_are_bounded_by_bytes(spark, monkeypatch):
     sizes = [r.length for r in spark.read.format("binaryFile").load(out).select("length").collect()]
     assert all(n <= 100_000 for n in sizes if n < 150_000) and sum(n >= 150_000 for n in sizes) == 3 and max(sizes) < 151_000
     assert {(r.record_id, bytes(r.body)) for r in warc.read_warc(spark, out).collect()} == {(r.record_id, bytes(r.body)) for r in df.collect()}
+
+
+def standard(kind, uri, date, block, ids="<urn:uuid:{}>", number=1, length=None, break_="\r\n", name="Content-Length"):
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: {uri}\r\nwarc-date: {date}\r\nWARC-Record-ID: {ids.format(f'{number:08d}-0000-4000-8000-000000000000')}\r\n"
+    return (head + f"{name}: {len(block) if length is None else length}\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+def test_standard_warc_files_are_read(spark, tmp_path):
+    ok, moved = b"HTTP/1.1 200 OK\r\nETag:\"a\"\r\nx-no-colon\r\n\r\nbody\r\n\r\nmore", b"HTTP/1.1 404 Not Found\r\nETag: \"a\"\r\n\r\ngone"
+    revisit = b"HTTP/1.1 304 Not Modified\r\nETag: \"a\"\r\n\r\n"
+    info = standard("warcinfo", "", "2024-01-01T00:00:00Z", b"software: x\r\n", number=9)
+    records_ = [info, standard("response", "http://A.example/x", "2024-01-01T00:00:00.123456Z", ok, number=1),
+                standard("response", "http://a.example/x", "2024-01-01T01:00:00Z", moved, number=2, name="content-length"),
+                standard("revisit", "https://a.example/x", "2024-01-01T02:00:00Z", revisit, number=3), standard("revisit", "http://a.example/x", "soon", revisit, number=4)]
+    for case, data in {"plain": b"".join(records_), "members": b"".join(gzip.compress(r) for r in records_), "whole": gzip.compress(b"".join(records_))}.items():
+        (tmp_path / case).mkdir()
+        (tmp_path / case / "a.warc").write_bytes(data)
+        read = warc.read_warc(spark, str(tmp_path / case))
+        rows = {r.warc_id[10:18]: r for r in read.collect()}
+        assert len(rows) == 5 and [rows[f"0000000{i}"].http_status for i in (1, 2, 3, 9)] == [200, 404, 304, None]
+        assert rows["00000001"].at == 1704067200 and rows["00000004"].at is None and rows["00000001"].headers == {"ETag": '"a"'}
+        assert bytes(rows["00000001"].body) == b"body\r\n\r\nmore" and rows["00000001"].record_id == warc.record_number(rows["00000001"].warc_id)
+        got = {r.record_id: (r.status, r.refers_to) for r in warc.resolve_revisits(read).collect()}
+        assert got == {rows["00000003"].record_id: ("resolved", rows["00000001"].record_id), rows["00000004"].record_id: ("unmatched", None)}
+
+
+@pytest.mark.parametrize("tail", [b"", b"WARC/1.0\r\nWARC-Type: resp", b"garbage\r\n\r\n", standard("response", "u", "d", b"HTTP/1.1 200 OK", length=500),
+                                  standard("response", "u", "d", b"x", length="many")])
+def test_damaged_warc_tails_are_rows_of_their_own(tail):
+    good = standard("response", "http://a/", "2024-01-01T00:00:00Z", b"HTTP/1.1 200 OK\r\n\r\nb")
+    kinds = [r["type"] for r in warc.records_of(memoryview(good + tail))]
+    assert kinds == ["response"] + ["malformed"] * bool(tail)
+    packed = gzip.compress(good) + (gzip.compress(tail)[:-9] if tail else b"")
+    assert [r["type"] for r in warc.records_of(memoryview(packed))] == kinds
+    assert [r["type"] for r in warc.records_of(memoryview(gzip.compress(good) + b"\x1f\x8b\x00damaged"))] == ["response", "malformed"]
