@@ -2,9 +2,11 @@
 
 Features are the words of a text (runs of letters and digits, A-Z lower-cased) and their first four to
 eight bytes, as 64-bit hashes, present or not, so that a stem is learnt with all its endings. A logistic
-model with few weights (lasso) is trained on a bounded sample of labelled texts; sentences that name an identity group are copied with the group swapped for another one, and the
-squared change of their score is part of the loss. Group names so lose weights that only reflect how
-often a group is insulted in the sample, which lowers false positives on neutral mentions.
+model with few weights (lasso) is trained on a bounded sample of labelled texts. Sentences that name a group are
+copied with the name swapped for another one, and the squared change of their score is part of the loss. Names so
+lose weights that only reflect how often they stand in insulting sentences of the sample, which lowers false
+positives on neutral mentions. Groups are listed identity terms, and words that the clean texts of the sample use
+in the same slot (between the same two words) in whatever language: a corpus need not hold any listed term.
 
 Edge cases: null, empty and wordless texts get the model's base score; rows with a null doc_id are scored
 and never train; labels that are null or repeated count once per doc_id (toxic if any row says so). With
@@ -15,6 +17,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,6 +39,7 @@ _NOT_LETTER = np.ones(256, dtype=bool)
 _NOT_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 PREFIXES = (4, 5, 6, 7, 8)
 _SENTENCE = re.compile(r"[^.!?\n]+")
+_WORD = re.compile(r"\w+")
 
 
 def features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,27 +60,56 @@ def features_of(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def swapped(text: str, groups=IDENTITY_GROUPS) -> list[tuple[str, str]]:
-    """Sentences that name a group, each with its copies that name the other members instead."""
-    other = {t: [u for u in g if u != t] for g in groups for t in g}
-    pattern = re.compile(r"\b(" + "|".join(map(re.escape, sorted(other, key=len, reverse=True))) + r")\b", re.IGNORECASE)
-    if not pattern.search(text):
-        return []
+def swapped(text: str, groups=IDENTITY_GROUPS, copies: int | None = None) -> list[tuple[str, str]]:
+    """Sentences that name a group, each with its copies that name the other members instead: all, or ``copies``."""
+    other = groups if isinstance(groups, dict) else others_of(groups)
     pairs = []
     for sentence in _SENTENCE.findall(text):
-        names = {m.lower() for m in pattern.findall(sentence)}
-        for k in range(max((len(other[n]) for n in names), default=0)):
-            pairs.append((sentence, pattern.sub(lambda m: other[m[0].lower()][k % len(other[m[0].lower()])], sentence)))
+        names = {w for w in map(str.lower, _WORD.findall(sentence)) if w in other}
+        most = max((len(other[n]) for n in names), default=0)
+        for k in range(most if copies is None else min(most, copies)):
+            pairs.append((sentence, _WORD.sub(lambda m: other[w][k % len(other[w])] if (w := m[0].lower()) in names else m[0], sentence)))
     return pairs
 
 
+def others_of(groups) -> dict[str, list[str]]:
+    """The other members of each member's group, from the one behind it on."""
+    return {t: [*g[i + 1:], *g[:i]] for g in groups for i, t in enumerate(g)}
+
+
+def similar_words(rows: DataFrame, size: int = 100, members: int = 4, least: int = 3) -> list[tuple[str, ...]]:
+    """Groups of words that ``least`` clean texts or more of a bounded sample use in the same slot.
+
+    At most ``size`` groups of ``members`` words; the slots with the most texts come first, and a word is in
+    one group only.
+    """
+    sentences = rows.where("label = 0").select(F.xxhash64("text").alias("id"), F.explode(F.split(F.lower("text"), r"[.!?\n]+")).alias("sentence"))
+    words = sentences.select("id", F.filter(F.split("sentence", r"[^\p{L}\p{N}_]+"), lambda w: w != "").alias("words"))
+    slots = words.select("id", "words", F.posexplode("words").alias("at", "word")).select(
+        "id", "word", F.get("words", F.col("at") - 1).alias("left"), F.get("words", F.col("at") + 1).alias("right"))
+    held = (slots.where("left IS NOT NULL AND right IS NOT NULL").groupBy("left", "right", "word")
+            .agg(F.count_distinct("id").alias("n")).where(F.col("n") >= least))
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))), 1, members)["word"]
+    found = held.groupBy("left", "right").agg(best.alias("words"), F.sum("n").alias("n")).where(F.size("words") > 1)
+    groups, used = [], set()
+    for row in found.orderBy(F.desc("n"), "left", "right").limit(20 * size).collect():
+        group = tuple(w for w in row.words if w not in used)
+        if len(group) > 1 and len(groups) < size:
+            groups.append(group)
+            used.update(group)
+    return groups
+
+
 @dataclass
 class Model:
-    """Sorted feature hashes with weights, and the bias."""
+    """Sorted feature hashes with weights, and the bias; how many swapped sentences the fit saw, and the mean squared
+    change of their score (before the logistic function)."""
 
     bias: float
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, U64))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    pairs: int = 0
+    change: float = 0.0
 
     def sums(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Sum of the weights of each row's distinct features, without the bias."""
@@ -123,19 +156,30 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFram
     return rows.join(F.broadcast(chosen), ["doc_id", "hash"]).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
-def _sample(batches: Iterator[pa.RecordBatch], groups) -> Iterator[pa.RecordBatch]:
-    """Feature hashes of a text, and of its swapped sentences before and after."""
+_SAMPLE = "label int, features array<long>, lost array<long>, gained array<long>, pairs long"
+
+
+def _sample(batches: Iterator[pa.RecordBatch], groups, more) -> Iterator[pa.RecordBatch]:
+    """Feature hashes of each text; and which features swaps take away and bring in, with the number of such swaps."""
+    listed, similar = others_of(groups), others_of(more)
+    kinds = [pa.int32(), *[pa.list_(pa.int64())] * 3, pa.int64()]
+
+    def rows(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["label", "features", "lost", "gained", "pairs"])
+
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        pairs = [swapped(t, groups) for t in texts]
-        before = iter(features_of([a for p in pairs for a, _ in p]))
-        after = iter(features_of([b for p in pairs for _, b in p]))
-        hashes = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("label"), pa.array([f.view(np.int64) for f in features_of(texts)], hashes),
-             pa.array([[next(before).view(np.int64) for _ in p] for p in pairs], pa.list_(hashes)),
-             pa.array([[next(after).view(np.int64) for _ in p] for p in pairs], pa.list_(hashes))],
-            ["label", "features", "before", "after"])
+        none = [None] * len(texts)
+        yield rows(batch.column("label").to_pylist(), [f.view(np.int64) for f in features_of(texts)], none, none, none)
+        pairs = [p for t in texts for p in [*swapped(t, listed), *swapped(t, similar, copies=1)]]
+        changes: Counter = Counter()
+        for at in range(0, len(pairs), 1 << 14):
+            some = pairs[at:at + (1 << 14)]
+            for x, y in zip(*(features_of([p[k] for p in some]) for k in (0, 1))):
+                x, y = set(x.view(np.int64).tolist()), set(y.view(np.int64).tolist())
+                changes[tuple(sorted(x - y)), tuple(sorted(y - x))] += 1
+        none = [None] * len(changes)
+        yield rows(none, none, [k[0] for k in changes], [k[1] for k in changes], list(changes.values()))
 
 
 def _vocabulary(texts: list[np.ndarray], label: np.ndarray, size: int, least: int) -> np.ndarray:
@@ -161,9 +205,12 @@ def _lines(sets: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def fit(texts: list[np.ndarray], label: np.ndarray, before: list[np.ndarray], after: list[np.ndarray],
-        size: int = 3000, least: int = 3, penalty: float = 1.0, lasso: float = 1e-4, ridge: float = 1e-5,
+        times: np.ndarray | None = None, size: int = 3000, least: int = 3, penalty: float = 1.0, lasso: float = 1e-4, ridge: float = 1e-5,
         rounds: int = 600) -> Model:
-    """Logistic loss with weighted classes + lasso + ``penalty`` * mean squared score change of swapped sentences."""
+    """Logistic loss with weighted classes + lasso + ``penalty`` * mean squared score change of swapped sentences.
+
+    ``before`` and ``after`` are features of swapped sentences, each pair standing for ``times`` of them.
+    """
     p = float(label.mean()) if len(label) else 0.0
     if p in (0.0, 1.0):
         return Model(float(np.log((p + 1e-6) / (1 - p + 1e-6))))
@@ -174,14 +221,15 @@ def fit(texts: list[np.ndarray], label: np.ndarray, before: list[np.ndarray], af
     b_row, b_col = _lines(before, keys)
     a_row, a_col = _lines(after, keys)
     share = np.where(label == 1, 0.5 / label.sum(), 0.5 / (1 - label).sum())
-    n, m, swaps = len(label), len(keys), max(len(before), 1)
+    times = np.ones(len(before)) if times is None else times
+    n, m, swaps = len(label), len(keys), max(times.sum(), 1)
     w, bias = np.zeros(m), 0.0
     first, second = np.zeros(m + 1), np.zeros(m + 1)
     for step in range(1, rounds + 1):  # Adam on the full sample, with the lasso as a soft threshold
         score = _sigmoid(np.bincount(row, w[col], minlength=n) + bias)
         error = (score - label) * share
         change = np.bincount(b_row, w[b_col], minlength=len(before)) - np.bincount(a_row, w[a_col], minlength=len(after))
-        pull = 2 * penalty * change / swaps
+        pull = 2 * penalty * change * times / swaps
         slope = np.bincount(col, error[row], minlength=m) + ridge * w
         slope += np.bincount(b_col, pull[b_row], minlength=m) - np.bincount(a_col, pull[a_row], minlength=m)
         slope = np.append(slope, error.sum())
@@ -192,23 +240,33 @@ def fit(texts: list[np.ndarray], label: np.ndarray, before: list[np.ndarray], af
         w, bias = w - move[:-1], bias - move[-1]
         w = np.sign(w) * np.maximum(np.abs(w) - pace[:-1] * lasso, 0)
     keep = np.abs(w) > 1e-3
-    return Model(float(bias), keys[keep], w[keep])
+    w = np.where(keep, w, 0)
+    change = np.bincount(b_row, w[b_col], minlength=len(before)) - np.bincount(a_row, w[a_col], minlength=len(after))
+    return Model(float(bias), keys[keep], w[keep], int(times.sum()), float((times * change ** 2).sum() / swaps))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, groups=IDENTITY_GROUPS, penalty: float = 1.0) -> Model:
-    """Fits on at most ``max_rows`` labelled texts; their feature hashes are gathered at the driver."""
-    rows = training_rows(docs, labels, max_rows).select("label", "text")
-    found = rows.mapInArrow(lambda it: _sample(it, groups),
-                            "label int, features array<long>, before array<array<long>>, after array<array<long>>").toArrow()
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, groups=IDENTITY_GROUPS, penalty: float = 1.0, similar: int = 100) -> Model:
+    """Fits on at most ``max_rows`` labelled texts; their feature hashes are gathered at the driver.
+
+    To ``groups`` come up to ``similar`` groups of words that the sample's clean texts use alike.
+    """
+    small_batches(docs.sparkSession)
+    rows = stage(training_rows(docs, labels, max_rows).select("label", "text"), "toxicity_sample")
+    listed = {t for g in groups for t in g}
+    more = [g for g in (tuple(w for w in g if w not in listed) for g in similar_words(rows, similar)) if len(g) > 1] if similar else []
+    found = stage(rows.mapInArrow(lambda it: _sample(it, groups, more), _SAMPLE), "toxicity_features")
+    sample = found.where("pairs IS NULL").select("label", "features").toArrow()
+    changes = found.where("pairs IS NOT NULL").groupBy("lost", "gained").agg(F.sum("pairs").alias("pairs")).orderBy("lost", "gained").toArrow()
 
     def hashes(column):
         return [np.asarray(v.values.to_numpy(zero_copy_only=False), np.int64).view(U64) for v in column if v.values is not None]
 
-    texts = hashes(found["features"])
-    label = found["label"].to_numpy().astype(float)
+    texts = hashes(sample["features"])
+    label = sample["label"].to_numpy().astype(float)
     order = np.lexsort((np.array([t.sum() if len(t) else 0 for t in texts], U64), label)) if texts else []
-    before, after = ([np.array(s, np.int64).view(U64) for line in found[c].to_pylist() for s in line] for c in ("before", "after"))
-    return fit([texts[i] for i in order], label[order] if len(order) else label, before, after, penalty=penalty)
+    before, after = hashes(changes["lost"]), hashes(changes["gained"])
+    return fit([texts[i] for i in order], label[order] if len(order) else label, before, after,
+               changes["pairs"].to_numpy().astype(float), penalty=penalty)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:

@@ -133,6 +133,22 @@ def test_penalty_lowers_scores_of_neutral_mentions():
     assert (fair.score(["such an idiot", "scum of the river"]) > 0.5).all()
 
 
+def test_penalty_acts_without_any_listed_term(spark):
+    """The query's own training: its pairs come from words used alike, and the penalty lowers their score change."""
+    path = "/root/testdata/sf0.01"
+    d, l = (spark.read.parquet(f"{path}/{n}.parquet") for n in ("documents", "labels"))
+    fair, plain = (toxicity.train(d, l, penalty=p) for p in (1.0, 0.0))
+    assert fair.pairs == plain.pairs > 100 and fair.change < 0.5 * plain.change, (fair.pairs, fair.change, plain.change)
+
+
+def test_similar_words_share_a_slot(spark):
+    texts = [f"the {w} sings now. a {v} walks by" for w in ("bird", "child", "bird", "child", "bird", "child", "rare") for v in ("dog", "cat", "dog")]
+    rows = spark.createDataFrame([(0, t + f" {i}") for i, t in enumerate(texts)] + [(1, "the scum sings now")] * 9, "label int, text string")
+    assert toxicity.similar_words(rows) == [("dog", "cat"), ("bird", "child", "rare")]
+    assert toxicity.similar_words(rows, size=1, members=2) == [("dog", "cat")]
+    assert toxicity.swapped("A bird and a DOG!", [("bird", "child", "rare"), ("dog", "cat")], copies=1) == [("A bird and a DOG", "A child and a cat")]
+
+
 def test_toxicity_edges(spark):
     texts, label = biased(random.Random(3), 300)
     docs = list(enumerate(texts)) + [(900, None), (901, ""), (None, "idiot"), (902, "river " * 40_000 + "idiot scum trash"), (5, texts[5])]
