@@ -44,20 +44,15 @@ def republished_files(stats: DataFrame, rows: DataFrame, key: list[str],
     Per suspect file: distinct keys, keys also present in the other file, and the match rate.
     Only the suspect (file, other file) couples are compared, never all couples of files.
     """
-    suspects = (stats.where(F.col("data_month_main") != F.col(file_column))
-                .select(F.col(file_column).alias("file_a"), F.col("data_month_main").alias("file_b")))
-    # Only rows of files on either side of a couple reach the distinct.
-    mine = rows.select(file_column, *key).join(suspects, F.col(file_column) == F.col("file_a")).select("file_a", "file_b", *key).distinct()
-    compared = suspects.select(F.col("file_b").alias(file_column)).distinct()
-    other = (rows.select(file_column, *key).join(compared, file_column, "left_semi").distinct()
-             .withColumnRenamed(file_column, "file_b").withColumn("_hit", F.lit(1)))
-    same = F.lit(True)
-    left, right = mine.alias("l"), other.alias("r")
-    for c in ["file_b", *key]:
-        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-    return (left.join(right, same, "left")
-            .groupBy(F.col("l.file_a").alias("file_a"), F.col("l.file_b").alias("file_b"))
-            .agg(F.count(F.lit(1)).alias("keys_a"), F.count("_hit").alias("keys_shared"))
+    suspects = stage(stats.where(F.col("data_month_main") != F.col(file_column))
+                     .select(F.col(file_column).alias("file_a"), F.col("data_month_main").alias("file_b")), "suspects")
+    # Only rows of files on either side of a couple count; a key's set of files is no longer than the list of files.
+    sides = suspects.select(F.explode(F.array("file_a", "file_b")).alias(file_column)).distinct()
+    held = (rows.select(file_column, *key).join(sides, file_column, "left_semi")
+            .groupBy(*key).agg(F.collect_set(file_column).alias("_files")))
+    return (held.select("_files", F.explode("_files").alias("file_a")).join(suspects, "file_a")
+            .groupBy("file_a", "file_b")
+            .agg(F.count(F.lit(1)).alias("keys_a"), F.count_if(F.array_contains("_files", F.col("file_b"))).alias("keys_shared"))
             .withColumn("match_pct", 100.0 * F.col("keys_shared") / F.col("keys_a")))
 
 

@@ -9,7 +9,9 @@ Only the split points pass through the driver, like the bounds of a range partit
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Buckets per shuffle partition of the session, which is set to suit the data.
@@ -28,6 +30,21 @@ def split_points(df: DataFrame, *values: str, buckets: int | None = None) -> dic
     return {v: sorted(set(found[v] or [])) for v in values}
 
 
+def bucket_of(value: Column, bounds: list[float]) -> Column:
+    """How many of the sorted ``bounds`` lie below a value: first among every so many of them, then among those between,
+    so a value meets twice the square root of their number."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds) - 1) + 1
+    all_, coarse = (F.array(*[F.lit(float(b)) for b in some]) for some in (bounds, bounds[step - 1::step] or bounds[-1:]))
+
+    def below(some):
+        return F.size(F.filter(some, lambda b: b < value))
+
+    skipped = (below(coarse) * step if len(bounds) >= step else F.lit(0)).cast("int")
+    return skipped + below(F.slice(all_, skipped + 1, F.lit(step)))
+
+
 def running_counts(df: DataFrame, value: str, by: tuple[str, ...] = (),
                    bounds: list[float] | None = None) -> DataFrame:
     """One row per distinct non-null value (and ``by``): n, n_before, n_total.
@@ -38,13 +55,7 @@ def running_counts(df: DataFrame, value: str, by: tuple[str, ...] = (),
               .agg(F.count(F.lit(1)).alias("n")))
     if bounds is None:
         bounds = split_points(df, value)[value]
-    if bounds:
-        bound_array = F.array(*[F.lit(float(b)) for b in bounds])
-        v = F.col(value).cast("double")
-        bucket = F.size(F.filter(bound_array, lambda b: b < v))
-    else:
-        bucket = F.lit(0)
-    counts = counts.withColumn("_bucket", bucket)
+    counts = counts.withColumn("_bucket", bucket_of(F.col(value).cast("double"), bounds))
     totals = counts.groupBy(*by, "_bucket").agg(F.sum("n").alias("_bn"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

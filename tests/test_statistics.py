@@ -229,3 +229,11 @@ def test_histogram_counts_every_value(spark):
     want, _ = np.histogram(values, 9)
     assert [got.get(i, 0) for i in range(9)] == list(want)
     assert {r["bin"]: r["n"] for r in stations.histogram(df.where("v = 1"), "v", 9).collect()} == {0: 10}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 16, 17, 63])
+def test_buckets_count_the_bounds_below(spark, n):
+    bounds = [float(i * i) for i in range(n)]
+    values = [-1.0, 0.0, 0.5, *bounds, 1e9, *[b + 0.1 for b in bounds]]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", ranks.bucket_of(F.col("v"), bounds).alias("b")).collect()
+    assert all(r.b == sum(b < r.v for b in bounds) for r in rows)
