@@ -182,6 +182,36 @@ def _sample(batches: Iterator[pa.RecordBatch], groups, more) -> Iterator[pa.Reco
         yield rows(none, none, [k[0] for k in changes], [k[1] for k in changes], list(changes.values()))
 
 
+def _known(batches: Iterator[pa.RecordBatch], keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The sample's rows with the features among the sorted ``keys`` only."""
+    def among(column):
+        if not len(keys):
+            return pa.array([None if v is None else [] for v in column.to_pylist()], column.type)
+        flat, at = column.values.to_numpy(zero_copy_only=False).view(U64), column.offsets.to_numpy()
+        hit = keys[np.minimum(np.searchsorted(keys, flat), len(keys) - 1)] == flat if len(flat) else np.zeros(0, bool)
+        upto = np.concatenate([[0], np.cumsum(hit)])[at]
+        offsets = pa.array(upto.astype(np.int32), mask=np.append(column.is_null().to_numpy(zero_copy_only=False), False))
+        return pa.ListArray.from_arrays(offsets, pa.array(flat[hit].view(np.int64)))
+
+    for batch in batches:
+        columns = [among(batch.column(c)) if c in ("features", "lost", "gained") else batch.column(c) for c in batch.schema.names]
+        yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+
+def vocabulary(sample: DataFrame, size: int = 3000, least: int = 3) -> np.ndarray:
+    """The features of a sample (label, features) that tell the classes apart best, counted by Spark; sorted."""
+    n, p = sample.agg(F.count(F.lit(1)), F.sum("label")).first()
+    if not n or p in (0, n):
+        return np.zeros(0, U64)
+    counted = sample.select("label", F.explode("features").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.sum("label").alias("toxic"))
+    share = F.col("all") / n
+    rate = F.abs(F.col("toxic") / p - (F.col("all") - F.col("toxic")) / (n - p))
+    strength = rate / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / p + 1 / (n - p)))
+    best = counted.where(F.col("all") >= least).select("key", strength.alias("strength")).where("strength > 2")
+    found = best.orderBy(F.desc("strength"), "key").limit(size).select("key").toArrow()["key"].to_numpy()
+    return np.sort(found.astype(np.int64).view(U64))
+
+
 def _vocabulary(texts: list[np.ndarray], label: np.ndarray, size: int, least: int) -> np.ndarray:
     """The ``size`` features that tell the classes apart best, among those of ``least`` texts or more."""
     keys, where = np.unique(np.concatenate(texts), return_inverse=True)
@@ -205,7 +235,7 @@ def _lines(sets: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def fit(texts: list[np.ndarray], label: np.ndarray, before: list[np.ndarray], after: list[np.ndarray],
-        times: np.ndarray | None = None, size: int = 3000, least: int = 3, penalty: float = 1.0, lasso: float = 1e-4, ridge: float = 1e-5,
+        times: np.ndarray | None = None, keys: np.ndarray | None = None, size: int = 3000, least: int = 3, penalty: float = 1.0, lasso: float = 1e-4, ridge: float = 1e-5,
         rounds: int = 600) -> Model:
     """Logistic loss with weighted classes + lasso + ``penalty`` * mean squared score change of swapped sentences.
 
@@ -214,7 +244,7 @@ def fit(texts: list[np.ndarray], label: np.ndarray, before: list[np.ndarray], af
     p = float(label.mean()) if len(label) else 0.0
     if p in (0.0, 1.0):
         return Model(float(np.log((p + 1e-6) / (1 - p + 1e-6))))
-    keys = _vocabulary(texts, label, size, least)
+    keys = _vocabulary(texts, label, size, least) if keys is None else keys
     if not len(keys):
         return Model(float(np.log(p / (1 - p))))
     row, col = _lines(texts, keys)
@@ -246,7 +276,8 @@ def fit(texts: list[np.ndarray], label: np.ndarray, before: list[np.ndarray], af
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, groups=IDENTITY_GROUPS, penalty: float = 1.0, similar: int = 100) -> Model:
-    """Fits on at most ``max_rows`` labelled texts; their feature hashes are gathered at the driver.
+    """Fits on at most ``max_rows`` labelled texts. Spark counts their features; only those of the vocabulary are
+    gathered at the driver.
 
     To ``groups`` come up to ``similar`` groups of words that the sample's clean texts use alike.
     """
@@ -255,8 +286,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, groups=IDENT
     listed = {t for g in groups for t in g}
     more = [g for g in (tuple(w for w in g if w not in listed) for g in similar_words(rows, similar)) if len(g) > 1] if similar else []
     found = stage(rows.mapInArrow(lambda it: _sample(it, groups, more), _SAMPLE), "toxicity_features")
-    sample = found.where("pairs IS NULL").select("label", "features").toArrow()
-    changes = found.where("pairs IS NOT NULL").groupBy("lost", "gained").agg(F.sum("pairs").alias("pairs")).orderBy("lost", "gained").toArrow()
+    keys = vocabulary(found.where("pairs IS NULL"))
+    known = found.mapInArrow(lambda it: _known(it, keys), _SAMPLE)
+    sample = known.where("pairs IS NULL").select("label", "features").toArrow()
+    changes = known.where("pairs IS NOT NULL").groupBy("lost", "gained").agg(F.sum("pairs").alias("pairs")).orderBy("lost", "gained").toArrow()
 
     def hashes(column):
         return [np.asarray(v.values.to_numpy(zero_copy_only=False), np.int64).view(U64) for v in column if v.values is not None]
@@ -266,7 +299,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, groups=IDENT
     order = np.lexsort((np.array([t.sum() if len(t) else 0 for t in texts], U64), label)) if texts else []
     before, after = hashes(changes["lost"]), hashes(changes["gained"])
     return fit([texts[i] for i in order], label[order] if len(order) else label, before, after,
-               changes["pairs"].to_numpy().astype(float), penalty=penalty)
+               changes["pairs"].to_numpy().astype(float), keys, penalty=penalty)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
