@@ -25,7 +25,7 @@ from .common import stage
 
 CANDIDATES, QUERIES = 4096, 2048
 # Blocks of candidates that a task scores against a block of queries.
-PER_LANE = 4
+PER_LANE = 1
 _INT = pa.list_(pa.int64())
 _BLOCK = "lot long, block long, ids array<long>, marks array<long>, at array<int>, rows array<int>, weights array<long>"
 
