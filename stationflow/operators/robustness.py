@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import ratio, round_even
+from ..functions.numeric import correlation, ratio, round_even
 from ..functions.timecols import day_of
 from ..runtime import stage
 from .panel import on_observed_days
@@ -149,7 +149,7 @@ def threshold_sensitivity(metrics: DataFrame, min_monthly: float = MIN_MONTHLY_R
     grid = threshold_grid(base)
     top = top_stations(metrics, k).select("station_id", F.lit(True).alias("_top"))
     overall = base.agg(F.count(F.lit(1)).alias("_judged"),
-                       round_even(F.corr("CPI", "net_out_per_day"), 3).alias("cpi_corr"))
+                       round_even(correlation("CPI", "net_out_per_day"), 3).alias("cpi_corr"))
     # Six rows: the stations are scanned once, each row meets six scenarios.
     typed = (metrics.select("station_id", "CPI", "WR", "monthly_rentals")
              .join(F.broadcast(top), "station_id", "left")
@@ -170,7 +170,7 @@ def threshold_sensitivity(metrics: DataFrame, min_monthly: float = MIN_MONTHLY_R
 
 def correlations(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     """Pearson correlations, each over the rows where both values are present."""
-    return df.agg(*[F.corr(a, b).alias(name) for name, (a, b) in pairs.items()])
+    return df.agg(*[correlation(a, b).alias(name) for name, (a, b) in pairs.items()])
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import ratio
+from ..functions.numeric import correlation, ratio
 from ..functions.timecols import hour_floor
 from .demand import relative_inventory
 from .ranks import quantiles
@@ -65,7 +65,7 @@ def change_correlation(paired: DataFrame, min_pairs: int = MIN_PAIRS) -> DataFra
                             (F.col("inv_est") - F.lag("inv_est").over(w)).alias("d_est"),
                             (F.col("inv_act") - F.lag("inv_act").over(w)).alias("d_act"))
     return (changes.where(F.col("d_est").isNotNull() & F.col("d_act").isNotNull())
-            .groupBy("station_id").agg(F.count(F.lit(1)).alias("pairs"), F.corr("d_est", "d_act").alias("corr"))
+            .groupBy("station_id").agg(F.count(F.lit(1)).alias("pairs"), correlation("d_est", "d_act").alias("corr"))
             .where((F.col("pairs") > min_pairs) & F.col("corr").isNotNull() & ~F.isnan("corr")))
 
 
@@ -89,7 +89,7 @@ def zero_share_contrast(shares: DataFrame, metrics: DataFrame) -> DataFrame:
     cuts = quantiles(both, "net_out_per_day", {"_q25": 0.25, "_q75": 0.75})
     x = F.col("net_out_per_day")
     return both.crossJoin(F.broadcast(cuts)).agg(
-        F.count(F.lit(1)).alias("stations"), F.corr("zero_pct", "net_out_per_day").alias("corr"),
+        F.count(F.lit(1)).alias("stations"), correlation("zero_pct", "net_out_per_day").alias("corr"),
         F.avg(F.when(x > F.col("_q75"), F.col("zero_pct"))).alias("high_pct"),
         F.avg(F.when(x < F.col("_q25"), F.col("zero_pct"))).alias("low_pct"))
 

@@ -237,3 +237,19 @@ def test_buckets_count_the_bounds_below(spark, n):
     values = [-1.0, 0.0, 0.5, *bounds, 1e9, *[b + 0.1 for b in bounds]]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", ranks.bucket_of(F.col("v"), bounds).alias("b")).collect()
     assert all(r.b == sum(b < r.v for b in bounds) for r in rows)
+
+
+def test_correlation_of_a_constant_is_null(spark):
+    """Stations that are never empty all have the rate 0: Spark's own corr divides by that spread."""
+    schema = "rankable boolean, excess_zero_rate double, naive_rate double, net_out_per_day double, reloc_net_in long"
+    rows = [(True, 0.1 * i, 0.0, 0.3 * i * i, -i) for i in range(6)] + [(True, None, 0.0, 5.0, 5), (False, 9.0, 9.0, 9.0, 9)]
+    r = demand.stockout_summary(spark.createDataFrame(rows, schema).repartition(3)).first()
+    pdf = pd.DataFrame(rows[:6], columns=["rankable", "x", "naive", "y", "reloc"])
+    assert (r.stations, r.median_naive, r.corr_naive) == (7, 0.0, None)
+    assert r.corr_net_out == pytest.approx(pdf.x.corr(pdf.y), abs=1e-12)
+    assert r.corr_reloc == pytest.approx(-1.0, abs=1e-12)
+    # A sum of thirds differs by the order of adding; the value itself is one and the same.
+    flat = spark.createDataFrame([(1 / 3, float(i)) for i in range(1000)], "a double, b double").repartition(7)
+    got = robustness.correlations(flat, {"ab": ("a", "b"), "ba": ("b", "a"), "bb": ("b", "b")}).first()
+    assert (got.ab, got.ba) == (None, None) and got.bb == pytest.approx(1.0, abs=1e-12)
+    assert robustness.correlations(flat.where("b < 1"), {"bb": ("b", "b")}).first().bb is None
