@@ -210,3 +210,24 @@ def test_trajectory_listing_tags_breaks(spark):
     assert [(r.pos, r.break_type, r.break_confidence) for r in listed] == [(1, None, None), (2, None, None), (3, "RELOCATION", "high")]
     chain = moves.control_chain(moves.links(df), ["y"]).first()
     assert (chain.control_returns, chain.next_at_control, chain.chain_pct) == (1, 0, 0.0)
+
+
+def test_trip_text_is_rendered_once_a_pair(spark, tmp_path):
+    """The parsing above the copies meets finished text, not the expressions that render it; polls read written hours."""
+    from stationflow.workload.views import THRESHOLDS, Tables
+
+    rows = [(i, f"2024-01-{1 + i % 28:02d} 08:{i % 60:02d}:07", i % 5, ("view", "error", "click")[i % 3], 2.5 * i, '{"k": %d}' % (i % 100)) for i in range(60)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").selectExpr(
+        "event_id", "CAST(ts AS timestamp) AS ts", "user_id", "event_type", "value", "props").write.parquet(str(tmp_path / "events.parquet"))
+    t = Tables(spark, str(tmp_path))
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        clean = cleaning.clean_trips(cleaning.rename_source(t.raw_trips), **THRESHOLDS)
+        above, below = clean._jdf.queryExecution().optimizedPlan().toString().split("Generate explode", 1)
+        assert "Station " in below and "Station " not in above
+        assert "events.parquet" not in " ".join(t.station_hours.inputFiles())
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    pairs, copied = t.event_pairs.count(), t.event_pairs.where("b.k % 11 = 0").count()
+    again = t.event_pairs.where("b.k % 13 = 0 AND day(a.ts) <= 15").count()
+    assert clean.count() == pairs + copied + again and pairs == 30
