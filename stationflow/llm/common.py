@@ -19,7 +19,7 @@ BROADCAST_ROWS = 1_000_000
 CHUNK_BYTES = 1 << 19
 PIECE_BYTES = 1 << 17
 # Whole texts go to Python in Arrow batches of about this many bytes; JVM and worker hold one of each at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 U64 = np.uint64
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1

@@ -35,9 +35,9 @@ SHARD_IDS = 4 << 20
 SEGMENT = 1 << 16
 # The memo of one Python worker: a word has its place in one of ``PROBES`` neighbouring slots of a table; where none
 # is free, the newer word takes the first. It starts anew when it holds ``STORE_IDS`` ids.
-SLOTS, PROBES, STORE_IDS = 1 << 21, 4, 12_000_000
+SLOTS, PROBES, STORE_IDS = 1 << 20, 4, 6_000_000
 # Text is encoded in windows of about so many bytes.
-WINDOW_BYTES = 1 << 20
+WINDOW_BYTES = 1 << 19
 # How a byte-level vocabulary writes a space; marks that never stand in a token with letters.
 _SPACE, _MARKS = "\u0120", ".,;:!?%$#&*|"
 _ENCODERS: dict[str, "Encoder"] = {}

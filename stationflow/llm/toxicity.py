@@ -20,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ IDENTITY_GROUPS = (
 _NOT_LETTER = np.ones(256, dtype=bool)
 _NOT_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 PREFIXES = (4, 5, 6, 7, 8)
+# Swapped sentences held at once by a task that takes samples.
+SWAPS = 1 << 12
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"\w+")
 
@@ -167,19 +170,25 @@ def _sample(batches: Iterator[pa.RecordBatch], groups, more) -> Iterator[pa.Reco
     def rows(*columns):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["label", "features", "lost", "gained", "pairs"])
 
+    def swaps(texts):
+        for t in texts:
+            yield from swapped(t, listed)
+            yield from swapped(t, similar, copies=1)
+
     for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        none = [None] * len(texts)
-        yield rows(batch.column("label").to_pylist(), [f.view(np.int64) for f in features_of(texts)], none, none, none)
-        pairs = [p for t in texts for p in [*swapped(t, listed), *swapped(t, similar, copies=1)]]
-        changes: Counter = Counter()
-        for at in range(0, len(pairs), 1 << 14):
-            some = pairs[at:at + (1 << 14)]
-            for x, y in zip(*(features_of([p[k] for p in some]) for k in (0, 1))):
-                x, y = set(x.view(np.int64).tolist()), set(y.view(np.int64).tolist())
-                changes[tuple(sorted(x - y)), tuple(sorted(y - x))] += 1
-        none = [None] * len(changes)
-        yield rows(none, none, [k[0] for k in changes], [k[1] for k in changes], list(changes.values()))
+        for a, b in chunks(text_buffers(batch.column("text"))[1]):
+            texts = [t or "" for t in batch.column("text").slice(a, b - a).to_pylist()]
+            none = [None] * len(texts)
+            yield rows(batch.column("label").slice(a, b - a).to_pylist(), [f.view(np.int64) for f in features_of(texts)], none, none, none)
+            # A few swaps at a time, counted apart: Spark adds up the counts of equal changes.
+            pairs = swaps(texts)
+            while some := list(islice(pairs, SWAPS)):
+                changes: Counter = Counter()
+                for x, y in zip(*(features_of([p[k] for p in some]) for k in (0, 1))):
+                    x, y = set(x.view(np.int64).tolist()), set(y.view(np.int64).tolist())
+                    changes[tuple(sorted(x - y)), tuple(sorted(y - x))] += 1
+                none = [None] * len(changes)
+                yield rows(none, none, [k[0] for k in changes], [k[1] for k in changes], list(changes.values()))
 
 
 def _known(batches: Iterator[pa.RecordBatch], keys: np.ndarray) -> Iterator[pa.RecordBatch]:

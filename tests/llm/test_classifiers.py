@@ -183,3 +183,24 @@ def test_only_whole_copies_leave_the_sample(spark):
     assert {r.text for r in toxicity.training_rows(d, l, 400).collect()} == learnt
     few = toxicity.training_rows(d, l, 40).collect()
     assert len(few) == len({r.text for r in few}) == 20
+
+
+def test_swaps_are_counted_in_small_groups(monkeypatch):
+    texts = [f"The old men of town {i} met. Two women and a girl left! A quiet sentence." for i in range(40)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array([i % 2 for i in range(len(texts))], pa.int32()), pa.array(texts)], ["label", "text"]).slice(1)
+
+    def taken(swaps):
+        monkeypatch.setattr(toxicity, "SWAPS", swaps)
+        found, sums, labels = list(toxicity._sample(iter([batch]), toxicity.IDENTITY_GROUPS, [("town", "left")])), {}, []
+        for out in found:
+            for r in out.to_pylist():
+                if r["pairs"] is None:
+                    labels.append((r["label"], r["features"]))
+                else:
+                    key = tuple(r["lost"]), tuple(r["gained"])
+                    sums[key] = sums.get(key, 0) + r["pairs"]
+        return [sum(out.column("pairs").drop_null().to_pylist()) for out in found], sums, labels
+
+    few, many = taken(7), taken(1 << 12)
+    assert max(few[0]) == 7 and max(many[0]) == sum(few[0]) > 100
+    assert few[1:] == many[1:] and len(few[2]) == len(texts) - 1
