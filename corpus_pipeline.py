@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationflow.llm import decontaminate, mixing, near_dup, token_files, toxicity
-from stationflow.llm.common import bounded, stage, staging_path
+from stationflow.llm.common import bounded, stage, stage_shuffled, staging_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 # Target weights of the mixture, over its domains and languages; sources of a language share evenly.
@@ -28,7 +28,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without(docs: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """``docs`` without the keys in ``rows``: by a broadcast while they are few, else by a shuffle."""
-    listed = stage(rows.select(*keys).distinct(), "removed")
+    listed = stage_shuffled(rows.select(*keys).distinct(), "removed")
     return docs.join(bounded(listed, listed.count()), keys, "left_anti")
 
 
@@ -38,9 +38,9 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Rows that repeat a doc_id are one document; the one with the least text stays.
     """
     docs = docs.select(*COLUMNS)
-    groups = stage(near_dup.near_duplicates(docs, width=5, percent=80), "groups")
+    groups = stage_shuffled(near_dup.near_duplicates(docs, width=5, percent=80), "groups")
     kept = without(docs, groups.where("NOT kept"), ["doc_id"])
-    repeated = stage(groups.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    repeated = stage_shuffled(groups.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     few = bounded(repeated, repeated.count())
     single = kept.join(few, "doc_id", "left_anti")
     least = (kept.join(few, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
@@ -52,7 +52,7 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Drops documents of whose words 5 % or more lie in benchmark windows."""
     docs = docs.select(*COLUMNS)
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=13, share=20)
-    hit = stage(found.where("contaminated").select("doc_id", "text_key").distinct(), "contaminated")
+    hit = stage_shuffled(found.where("contaminated").select("doc_id", "text_key").distinct(), "contaminated")
     listed = bounded(hit.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text")), hit.count())
     return docs.join(listed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_text")), "left_anti")
 

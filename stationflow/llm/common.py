@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ BROADCAST_ROWS = 1_000_000
 # memory follows neither the batch nor the longest text.
 CHUNK_BYTES = 1 << 19
 PIECE_BYTES = 1 << 17
+# A staged table that a shuffle made has at most so many files a core.
+FILES_A_CORE = 4
 # Whole texts go to Python in Arrow batches of about this many bytes; JVM and worker hold one of each at a time.
 BATCH_BYTES = 2 << 20
 
@@ -41,6 +44,15 @@ def drop_staged(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def stage_shuffled(df: DataFrame, label: str) -> DataFrame:
+    """``stage`` for what a shuffle leaves in many small partitions: a task takes several of them, one after another.
+
+    Spark's local file system starts a process for each file and its checksum (chmod); until that one runs, it
+    counts with all the memory of its executor once more.
+    """
+    return stage(df.coalesce(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism), label)
+
+
 def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for a broadcast when its counted ``rows`` stay within ``limit``; else as it is."""
     return F.broadcast(df) if rows <= limit else df
@@ -54,6 +66,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def freeing(batches: Iterator) -> Iterator:
+    """``batches``; behind each, memory that the worker has freed goes back to the system.
+
+    Workers live on between tasks, and else keep the most that any of their tasks has taken.
+    """
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)  # glibc has it
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        trim(0)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage_shuffled
 
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -57,7 +57,7 @@ def _exploded(docs: DataFrame) -> DataFrame:
 
 def prefix_index(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     """Windows with their rarest word (``word`` at ``at``) and the next rarest (``check`` at ``check_at``)."""
-    found = stage(windows_of(items, window), "windows")
+    found = stage_shuffled(windows_of(items, window), "windows")
     vocabulary = found.select(F.explode("words").alias("word")).distinct()
     if found.count() <= BROADCAST_WINDOWS:
         vocabulary = F.broadcast(vocabulary)
@@ -67,7 +67,7 @@ def prefix_index(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     rare = F.array_sort(F.collect_list(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "word", "at")))
     ranked = (listed.groupBy("id", "words").agg(F.first("items").alias("items"), rare.alias("rare"))
               .withColumn("other", F.coalesce(F.get("rare", F.lit(1)), F.get("rare", F.lit(0)))))
-    return stage(ranked.select(
+    return stage_shuffled(ranked.select(
         F.col("rare")[0]["word"].alias("word"), F.col("rare")[0]["at"].alias("at"), F.col("other.word").alias("check"),
         F.col("other.at").alias("check_at"), F.col("words").alias("wanted"), "items"), "prefixes")
 

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (BROADCAST_ROWS, U64, bounded, chunks, drop_staged, mix, small_batches, stage, text_buffers,
-                     text_or_empty, word_hashes)
+from .common import (BROADCAST_ROWS, U64, bounded, chunks, drop_staged, freeing, mix, small_batches, stage,
+                     stage_shuffled, text_buffers, text_or_empty, word_hashes)
 
 BANDS, ROWS = 32, 4
 SIZE = BANDS * ROWS
@@ -112,7 +112,7 @@ def signatures(element: np.ndarray, row: np.ndarray, n_rows: int, size: int = SI
 def _described(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     weights = mix(np.arange(1, ROWS + 1, dtype=U64) * U64(0xD1B54A32D192ED03))
     offset = mix(np.arange(BANDS, dtype=U64) + U64(0x5851F42D4C957F2D))
-    for batch in batches:
+    for batch in freeing(batches):
         raw, at = text_buffers(batch.column("text"))
         for a, b in chunks(at):
             n = b - a
@@ -145,7 +145,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in freeing(batches):
         raw, at = text_buffers(batch.column("text"))
         for a, b in chunks(at):
             element, row = shingle_sets(raw, at[a:b + 1], width)
@@ -160,7 +160,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 
 def _alike(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose sketches agree in at least ``least`` positions."""
-    for batch in batches:
+    for batch in freeing(batches):
         if batch.num_rows:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SIZE)
                     for c in ("a_sketch", "b_sketch"))
@@ -169,7 +169,7 @@ def _alike(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in freeing(batches):
         keep = []
         for x, y in zip(batch.column("a_elements"), batch.column("b_elements")):
             u, v = (z.values.to_numpy(zero_copy_only=False).view(U64) for z in (x, y))
@@ -203,7 +203,7 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], least: int, percent: int) ->
     pair with another member is bound by what is not its own.
     """
     schema = pa.schema([(c, pa.int64()) for c in ("a", "a_c1", "b", "b_c1")])
-    for batch in batches:
+    for batch in freeing(batches):
         for line in batch.to_pylist():
             sides = []
             for members in (line["left"], line["right"]):
@@ -264,7 +264,7 @@ def components(links: DataFrame) -> DataFrame:
         large = large.distinct()
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         hooked = large.join(small_least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = stage(hooked.unionByName(small_least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        after = stage_shuffled(hooked.unionByName(small_least.select("a", F.col("m").alias("b"))).distinct(), "links")
         total = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop_staged(edges)
         edges = after
@@ -284,12 +284,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     least = max(0, int(SIZE * (percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / SIZE) ** 0.5)))
     described = stage(describe(docs, width), "described")
     # Copies: one line per distinct set; a set's bands and sketch are the same in all its documents.
-    reps = stage(described.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "c1", "c2").agg(
+    reps = stage_shuffled(described.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "c1", "c2").agg(
         F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "reps")
 
     rows = reps.select("rep", "c1", "n", F.explode("bands").alias("bucket"))
     crowded = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = stage(rows.join(crowded, "bucket"), "members")
+    members = stage_shuffled(rows.join(crowded, "bucket"), "members")
     fame = members.groupBy("rep", "c1").agg(F.sum("members").alias("fame"))
     placed = members.join(fame, ["rep", "c1"])
     hubs = placed.groupBy("bucket").agg(F.min(F.struct(-F.col("fame"), F.col("rep"), F.col("c1"), F.col("n"))).alias("hub"))
@@ -301,20 +301,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     for side in "ab":
         stars = stars.join(sketches.select(F.col("rep").alias(side), F.col("c1").alias(f"{side}_c1"),
                                            F.col("sketch").alias(f"{side}_sketch")), [side, f"{side}_c1"])
-    stars = stage(stars.mapInArrow(lambda it: _alike(it, least), "a long, a_c1 long, b long, b_c1 long"), "stars")
+    stars = stage_shuffled(stars.mapInArrow(lambda it: _alike(it, least), "a long, a_c1 long, b long, b_c1 long"), "stars")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        wanted = stage(wanted.distinct(), "wanted")
+        wanted = stage_shuffled(wanted.distinct(), "wanted")
         texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
                  .join(bounded(wanted, wanted.count(), BROADCAST_ROWS), "doc_id", "left_semi"))
         found = texts.mapInArrow(lambda it: _sets(it, width), "doc_id long, c1 long, elements array<long>")
-        return stage(found.dropDuplicates(["doc_id", "c1"]), "sets")
+        return stage_shuffled(found.dropDuplicates(["doc_id", "c1"]), "sets")
 
     def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for side in "ab":
             pairs = pairs.join(sets.select(F.col("doc_id").alias(side), F.col("c1").alias(f"{side}_c1"),
                                            F.col("elements").alias(f"{side}_elements")), [side, f"{side}_c1"])
-        return stage(pairs.mapInArrow(lambda it: _confirmed(it, percent), "a long, b long"), "confirmed")
+        return stage_shuffled(pairs.mapInArrow(lambda it: _confirmed(it, percent), "a long, b long"), "confirmed")
 
     # A doc_id whose rows hold different texts joins the classes of all of them.
     several = described.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(
@@ -323,7 +323,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     same_id = (described.join(several, "doc_id", "left_semi").join(class_rep, ["n", "c1", "c2"])
                .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b"))
     star_sets = sets_of(stars.select(F.explode(F.array("a", "b")).alias("doc_id")))
-    links = stage(confirm(stars, star_sets).unionByName(same_id), "found")
+    links = stage_shuffled(confirm(stars, star_sets).unionByName(same_id), "found")
     drop_staged(star_sets)
     roots = components(links)
 
@@ -337,7 +337,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                    .where("low <> high").select("bucket", "size"))
         return rows.join(several, "bucket")
 
-    apart = stage(still_apart(labelled), "apart")
+    apart = stage_shuffled(still_apart(labelled), "apart")
     place = ["rep", "c1"]
     widest = apart.groupBy(*place).agg(F.max("size").alias("widest"))
     rest_sets = sets_of(widest.select(F.col("rep").alias("doc_id")))
@@ -354,7 +354,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     blocks = (still_apart(able).join(sketches, place)
               .groupBy("bucket", F.pmod(F.xxhash64(*place), F.ceil(F.col("size") / BLOCK)).alias("block"))
               .agg(F.collect_list(F.struct("rep", "c1", "n", "own", "label", "scarce", "listed", "sketch")).alias("list")))
-    blocks = stage(blocks, "blocks")
+    blocks = stage_shuffled(blocks, "blocks")
     left, right = (blocks.select("bucket", F.col("block").alias(f"{s}_block"), F.col("list").alias(s)) for s in ("left", "right"))
     meetings = left.join(right, "bucket").where("left_block <= right_block").select(
         "left", "right", (F.col("left_block") == F.col("right_block")).alias("same"))
@@ -363,7 +363,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     tried = stars.select("a", "a_c1", "b", "b_c1")
     tried = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("b_c1").alias("a_c1"), F.col("a").alias("b"),
                                            F.col("a_c1").alias("b_c1")))
-    rest = stage(rest.join(tried, ["a", "a_c1", "b", "b_c1"], "left_anti"), "rest")
+    rest = stage_shuffled(rest.join(tried, ["a", "a_c1", "b", "b_c1"], "left_anti"), "rest")
     if rest.take(1):
         roots = components(links.unionByName(confirm(rest, rest_sets)))
     drop_staged(rest_sets)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, mix, small_batches, stage, text_buffers, text_or_empty
+from .common import U64, freeing, mix, small_batches, stage, text_buffers, text_or_empty
 
 SHARD_IDS = 4 << 20
 SEGMENT = 1 << 16
@@ -264,10 +264,12 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_ids
         ids = np.array([0 if k is None else k for k in keys], dtype="<i8")
         has = np.array([k is not None for k in keys], dtype="u1")
         trailer = np.array([(len(keys), held, encoder.dtype.itemsize, _MAGIC)], dtype=_TRAILER)
-        packed = b"".join([*parts, ids.tobytes(), has.tobytes(), np.array(sizes, dtype="<u8").tobytes(), trailer.tobytes()])
-        return pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], ["shard"])
+        packed = b"".join([*parts, ids, has, np.array(sizes, dtype="<u8"), trailer])
+        parts.clear()
+        ends = pa.py_buffer(np.array([0, len(packed)], dtype=np.int32))
+        return pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), 1, [None, ends, pa.py_buffer(packed)])], ["shard"])
 
-    for batch in batches:
+    for batch in freeing(batches):
         doc_ids, row = batch.column("doc_id").to_pylist(), 0
         for ids, ends in encoder.texts(*text_buffers(batch.column("text"))):
             done = 0
@@ -318,13 +320,12 @@ def _opened(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in freeing(batches):
         for i in range(batch.num_rows):
             ids, doc_id, has, sizes = _opened(batch.column("content")[i].as_buffer())
-            whole = memoryview(ids.astype("<u4").tobytes())
             ends = np.cumsum(sizes.astype(np.int64))
             firsts = ends - sizes.astype(np.int64)
-            crc = np.array([zlib.crc32(whole[4 * a:4 * b]) for a, b in zip(firsts.tolist(), ends.tolist())], dtype=np.int64)
+            crc = np.array([zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(firsts.tolist(), ends.tolist())], dtype=np.int64)
             part, piece = (np.full(len(sizes), batch.column(c)[i].as_py(), dtype=np.int64) for c in ("part", "piece"))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc_id, mask=has == 0), *map(pa.array, (part, piece, firsts, sizes.astype(np.int64), crc))],

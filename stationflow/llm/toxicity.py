@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, hashed_runs, remainder_of_id, small_batches, stage, text_buffers, text_or_empty
+from .common import (U64, chunks, freeing, hashed_runs, remainder_of_id, small_batches, stage, stage_shuffled, text_buffers,
+                     text_or_empty)
 
 # Groups whose members may stand for one another. A parameter of ``train``; common English terms.
 IDENTITY_GROUPS = (
@@ -151,7 +152,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFram
     order = F.xxhash64("doc_id", F.lit("sample"))
     # Ids and hashes only; of equal texts the first in the hashed order stands for all.
     labelled = rows.select("doc_id", "hash").join(marks, "doc_id").groupBy("doc_id", "label").agg(F.min("hash").alias("hash"))
-    once = stage(labelled.groupBy("label", "hash").agg(F.min_by("doc_id", order).alias("doc_id")), "labelled")
+    once = stage_shuffled(labelled.groupBy("label", "hash").agg(F.min_by("doc_id", order).alias("doc_id")), "labelled")
     half = max_rows // 2
     chosen = (once.where("label = 1").orderBy(order, "doc_id").limit(half)
               .unionByName(once.where("label = 0").orderBy(order, "doc_id").limit(half)))
@@ -175,7 +176,7 @@ def _sample(batches: Iterator[pa.RecordBatch], groups, more) -> Iterator[pa.Reco
             yield from swapped(t, listed)
             yield from swapped(t, similar, copies=1)
 
-    for batch in batches:
+    for batch in freeing(batches):
         for a, b in chunks(text_buffers(batch.column("text"))[1]):
             texts = [t or "" for t in batch.column("text").slice(a, b - a).to_pylist()]
             none = [None] * len(texts)
@@ -202,7 +203,7 @@ def _known(batches: Iterator[pa.RecordBatch], keys: np.ndarray) -> Iterator[pa.R
         offsets = pa.array(upto.astype(np.int32), mask=np.append(column.is_null().to_numpy(zero_copy_only=False), False))
         return pa.ListArray.from_arrays(offsets, pa.array(flat[hit].view(np.int64)))
 
-    for batch in batches:
+    for batch in freeing(batches):
         columns = [among(batch.column(c)) if c in ("features", "lost", "gained") else batch.column(c) for c in batch.schema.names]
         yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
@@ -291,7 +292,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, groups=IDENT
     To ``groups`` come up to ``similar`` groups of words that the sample's clean texts use alike.
     """
     small_batches(docs.sparkSession)
-    rows = stage(training_rows(docs, labels, max_rows).select("label", "text"), "toxicity_sample")
+    rows = stage_shuffled(training_rows(docs, labels, max_rows).select("label", "text"), "toxicity_sample")
     listed = {t for g in groups for t in g}
     more = [g for g in (tuple(w for w in g if w not in listed) for g in similar_words(rows, similar)) if len(g) > 1] if similar else []
     found = stage(rows.mapInArrow(lambda it: _sample(it, groups, more), _SAMPLE), "toxicity_features")
@@ -312,7 +313,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, groups=IDENT
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in freeing(batches):
         raw, at = text_buffers(batch.column("text"))
         sums = np.concatenate([*[model.sums(raw, at[a:b + 1]) for a, b in chunks(at)], np.zeros(0)])
         columns = [c for c in batch.schema.names if c != "text"]
@@ -333,7 +334,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
     """The rows whose score stays below ``threshold``, with all their columns. Only texts pass through Python."""
     @F.arrow_udf("double")
     def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in texts:
+        for column in freeing(texts):
             raw, at = text_buffers(column)
             yield pa.array(_sigmoid(np.concatenate([*[model.sums(raw, at[a:b + 1]) for a, b in chunks(at)], np.zeros(0)]) + model.bias))
 

@@ -1,9 +1,11 @@
 import zlib
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from brute import near_groups, overlaps
+from stationflow.llm import common, toxicity
 from stationflow.llm.common import stage
 from test_mixing import expected as mixture
 from test_token_files import expected as tokens
@@ -57,3 +59,34 @@ def test_stages_on_empty_and_odd_documents(spark):
             if name == "near_duplicates" and rows:
                 assert sorted((r.doc_id or 0, r.text or "") for r in docs.collect())[:4] == [(0, "no id"), (1, ""), (2, ""), (3, "other text")]
         assert docs.count() >= (1 if rows else 0)
+
+
+def test_small_partitions_of_a_shuffle_become_few_files(spark, monkeypatch):
+    monkeypatch.setattr(common, "FILES_A_CORE", 1)
+    most = spark.sparkContext.defaultParallelism
+    rows = spark.range(600).repartition(5 * most, "id").withColumn("text", F.concat(F.lit("some words "), "id"))
+    written = common.stage_shuffled(rows, "few")
+    assert 0 < len(written.inputFiles()) <= most
+    assert sorted((r.id, r.text) for r in written.collect()) == [(i, f"some words {i}") for i in range(600)]
+    labels = spark.range(600).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    found, kept = [], toxicity.stage_shuffled
+    monkeypatch.setattr(toxicity, "stage_shuffled", lambda df, label: (found.append(kept(df.repartition(5 * most, "doc_id"), label)), found[-1])[1])
+    assert toxicity.training_rows(rows.select(F.col("id").alias("doc_id"), "text"), labels, 100).count() == 100
+    assert 0 < len(found[0].inputFiles()) <= most
+
+
+def test_workers_give_back_what_they_freed():
+    def used():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(line.split()[1]) for line in f if line.startswith("Pss_Anon:")) >> 10
+
+    def work(batches):
+        held, stay = [], []
+        for _ in batches:
+            held.append(used())
+            block = [bytes(3000) for _ in range(60_000)]
+            stay.append(block.pop())  # lies above what is freed
+            block.clear()
+        return max(held[-1], used()) - held[0]
+
+    assert work(common.freeing(iter(range(3)))) < 60 < work(iter(range(3)))
