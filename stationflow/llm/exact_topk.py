@@ -1,11 +1,14 @@
 """Exact top-k inner products of integer vectors, by exhaustive term-at-a-time accumulation.
 
-Candidates are packed into blocks stored as postings: per component, the block's rows with a nonzero
-weight there. Queries are packed into blocks of sparse rows. For a pair of blocks each query component
-scatters its weighted postings into dense score arrays; the best k of a block are found by partition
-selection, and the lists of all blocks are merged. Queries are dealt into lots of about ``QUERIES``;
-lots meet candidate blocks in an equi-join on (lot, lane): a lot's blocks are repeated once per lane,
-candidate blocks once per lot, so work spreads over lots x lanes tasks.
+Candidates and queries are packed into blocks stored as postings: per component, the block's rows with a
+nonzero weight there. For a pair of blocks the postings are scattered into dense arrays: where they are
+dense, all components of a block at once, and a matrix product adds up the terms; where they are sparse,
+component by component into the scores. A task passes a lane of candidate blocks along a lot of query
+blocks and keeps the k best of each query: only lines with a score above their k-th go through partition
+selection. The lists of all lanes are merged.
+
+Products are in the smallest type that holds them exactly (``blocks.product_type``), else in 64-bit
+integers, which wrap beyond.
 
 Edge cases: vectors that are null or hold null or non-finite components, and rows without an id, take no
 part; missing components of shorter vectors count as 0; rows that repeat an id are separate rows (a
@@ -21,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .blocks import CELLS, Best, Scores, dealt, narrow, numbers, paired, product_type, steps
+from .common import small_batches, stage
 
-CANDIDATES, QUERIES = 4096, 2048
-# Blocks of candidates that a task scores against a block of queries.
-PER_LANE = 1
-_INT = pa.list_(pa.int64())
-_BLOCK = "lot long, block long, ids array<long>, marks array<long>, at array<int>, rows array<int>, weights array<long>"
+CANDIDATES, QUERIES = 4096, 8192
+# Blocks of candidates that a task passes along a block of queries, at most.
+PER_LANE = 512
+# A scattered product costs about as much as so many of a matrix product.
+SPARSE = 128
+_BLOCK = "block long, size int, width int, ids binary, marks binary, at binary, rows binary, weights binary"
 
 
 def quantised(vectors: DataFrame, id_column: str, column: str, scale: int) -> DataFrame:
@@ -40,92 +45,110 @@ def quantised(vectors: DataFrame, id_column: str, column: str, scale: int) -> Da
             .withColumn("mark", F.monotonically_increasing_id()))
 
 
+def _packed(ids: np.ndarray, marks: np.ndarray, widths: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """A block of postings, its rows ascending by id: component t holds rows[at[t]:at[t + 1]], weights alike."""
+    order = np.lexsort((marks, ids))
+    place = np.empty(len(ids), dtype=np.int64)
+    place[order] = np.arange(len(ids))
+    row = np.repeat(place, widths)
+    term = np.arange(len(values)) - np.repeat(np.cumsum(widths) - widths, widths)
+    width = int(widths.max(initial=0))
+    if width * len(ids) <= 8 * len(values):
+        dense = np.zeros((width, len(ids)), dtype=np.int64)
+        dense[term, row] = values
+        term, row = np.nonzero(dense)
+        weights = dense[term, row]
+    else:
+        there = np.flatnonzero(values)
+        there = there[np.lexsort((row[there], term[there]))]
+        term, row, weights = term[there], row[there], values[there]
+    at = np.searchsorted(term, np.arange(width + 1))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([int(marks.min())], pa.int64()), pa.array([len(ids)], pa.int32()), pa.array([width], pa.int32()),
+         *[pa.array([narrow(x)], pa.binary()) for x in (ids[order], marks[order], at, row, weights)]],
+        ["block", "size", "width", "ids", "marks", "at", "rows", "weights"])
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Rows of each ``lot`` to blocks of postings: component t holds rows[at[t]:at[t + 1]], weights alike."""
-    def packed(lot, ids, marks, vectors):
-        width = max((len(v) for v in vectors), default=0)
-        dense = np.zeros((len(vectors), width), dtype=np.int64)
-        for i, v in enumerate(vectors):
-            dense[i, :len(v)] = v
-        term, row = np.nonzero(dense.T)
-        at = np.searchsorted(term, np.arange(width + 1))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([lot], pa.int64()), pa.array([marks[0]], pa.int64()), pa.array([ids], _INT), pa.array([marks], _INT),
-             pa.array([at.astype(np.int32)]), pa.array([row.astype(np.int32)]), pa.array([dense[row, term]], _INT)],
-            ["lot", "block", "ids", "marks", "at", "rows", "weights"])
-
-    held: dict[int, tuple[list, list, list]] = {}
+    """Rows to blocks of ``size`` rows, or of as many as have ``CELLS`` components."""
+    held, rows, cells = [], 0, 0
     for batch in batches:
+        ids, marks = (batch.column(c).to_numpy() for c in ("id", "mark"))
         flat = batch.column("v")
-        values, offsets = flat.values.to_numpy(zero_copy_only=False), flat.offsets.to_numpy()
-        for i, (lot, row, mark) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lot", "id", "mark")))):
-            ids, marks, vectors = held.setdefault(lot, ([], [], []))
-            ids.append(row)
-            marks.append(mark)
-            vectors.append(values[offsets[i]:offsets[i + 1]])
-            if len(ids) == size:
-                yield packed(lot, *held.pop(lot))
-    for lot, rows in held.items():
-        yield packed(lot, *rows)
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k best of each line, ties to the smaller id; the columns must ascend by id.
-
-    Partition selection finds each line's k-th score; what lies above it is kept, and of those equal to
-    it the first ones.
-    """
-    n = scores.shape[1]
-    if n <= k:
-        return np.argsort(-scores, axis=1, kind="stable")
-    kth = np.partition(scores, n - k, axis=1)[:, n - k]
-    out = np.empty((len(scores), k), dtype=np.int64)
-    for q in range(len(scores)):
-        near = np.flatnonzero(scores[q] >= kth[q])
-        out[q] = near[np.argsort(-scores[q, near], kind="stable")[:k]]
-    return out
-
-
-_NEVER = np.iinfo(np.int64).min
+        values, at = flat.values.to_numpy(zero_copy_only=False), flat.offsets.to_numpy()
+        a = 0
+        while a < len(ids):
+            b = min(a + size - rows, int(np.searchsorted(at, at[a] + CELLS - cells, "right")) - 1, len(ids))
+            b = max(b, a + 1)
+            held.append((ids[a:b], marks[a:b], np.diff(at[a:b + 1]), values[at[a]:at[b]]))
+            rows, cells = rows + b - a, cells + int(at[b] - at[a])
+            if rows == size or cells >= CELLS or b < len(ids):
+                yield _packed(*map(np.concatenate, zip(*held)))
+                held, rows, cells = [], 0, 0
+            a = b
+    if held:
+        yield _packed(*map(np.concatenate, zip(*held)))
+
+
+class _Postings:
+    """A block as ``_packed`` made it."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int, prefix: str = ""):
+        def column(name):
+            return batch.column(prefix + name)
+
+        n, self.width = column("size")[i].as_py(), column("width")[i].as_py()
+        self.ids, self.marks = (numbers(column(c), i, n).astype(np.int64) for c in ("ids", "marks"))
+        self.at = numbers(column("at"), i, self.width + 1).astype(np.int64)
+        self.rows, self.weights = (numbers(column(c), i, int(self.at[-1])).copy() for c in ("rows", "weights"))
+        squares = np.bincount(self.rows, np.square(self.weights, dtype=np.float64), minlength=n)
+        self.length = float(np.sqrt(squares.max(initial=0)))
+        self._dense: dict[type, np.ndarray] = {}
+
+    def dense(self, kind: type) -> np.ndarray:
+        if kind not in self._dense:
+            out = self._dense[kind] = np.zeros((len(self.ids), self.width), dtype=kind)
+            out[self.rows, np.repeat(np.arange(self.width), np.diff(self.at))] = self.weights
+        return self._dense[kind]
+
+    def term(self, t: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.at[t], self.at[t + 1]
+        return self.rows[a:b], self.weights[a:b].astype(np.int64)
+
+
+def _scattered(queries: _Postings, block: _Postings, a: int, b: int) -> np.ndarray:
+    """Scores of the queries a to b with a block: each component's postings are scattered in turn."""
+    scores = np.zeros((b - a, len(block.ids)), dtype=np.int64)
+    for t in range(min(queries.width, block.width)):
+        (lines, w), (post, pw) = queries.term(t), block.term(t)
+        lo, hi = np.searchsorted(lines, [a, b])
+        if hi > lo and len(post):
+            scores[np.ix_(lines[lo:hi] - a, post)] += np.multiply.outer(w[lo:hi], pw)
+    return scores
 
 
 def _searched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    asked: dict[int, tuple[_Postings, Best]] = {}
+    room = Scores()
     for batch in batches:
-        for i in range(batch.num_rows):
-            def col(name):
-                return batch.column(name)[i].values.to_numpy(zero_copy_only=False)
-
-            q_ids, q_marks, q_at, q_rows, q_weights = (col("q_" + c) for c in ("ids", "marks", "at", "rows", "weights"))
-            ids, marks, at, rows, weights = (col(c) for c in ("ids", "marks", "at", "rows", "weights"))
-            order = np.argsort(ids, kind="stable")
-            place = np.empty(len(ids), dtype=np.int64)
-            place[order] = np.arange(len(ids))
-            ids, marks, rows = ids[order], marks[order], place[rows]
-            terms = min(len(at), len(q_at)) - 1
-            step = max(1, (1 << 21) // max(len(ids), 1))
-            for a in range(0, len(q_ids), step):
-                b = min(a + step, len(q_ids))
-                scores = np.zeros((b - a, len(ids)), dtype=np.int64)
-                for t in range(terms):
-                    lines, w = q_rows[q_at[t]:q_at[t + 1]], q_weights[q_at[t]:q_at[t + 1]]
-                    lo, hi = np.searchsorted(lines, [a, b])
-                    post, pw = rows[at[t]:at[t + 1]], weights[at[t]:at[t + 1]]
-                    if hi > lo and len(post):
-                        if hi - lo == b - a and len(post) == len(ids):
-                            full = np.empty(len(ids), dtype=np.int64)
-                            full[post] = pw
-                            scores += np.multiply.outer(w[lo:hi], full)
-                        else:
-                            scores[np.ix_(lines[lo:hi] - a, post)] += np.multiply.outer(w[lo:hi], pw)
-                own = q_marks[a:b, None] == marks[None, :]
-                has_own = own.any(axis=1)
-                best = _best(np.where(own, _NEVER, scores), ids, k)
-                got = np.take_along_axis(scores, best, axis=1)
-                there = ~np.take_along_axis(own, best, axis=1) if has_own.any() else np.ones(best.shape, bool)
-                line = np.repeat(np.arange(a, b), best.shape[1])[there.ravel()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q_ids[line]), pa.array(q_marks[line]), pa.array(ids[best[there]]), pa.array(marks[best[there]]),
-                     pa.array(got[there])], ["query_id", "query_mark", "vec_id", "mark", "score"])
+        for i, key in enumerate(batch.column("a_block").to_pylist()):
+            if key not in asked:
+                new = _Postings(batch, i, "a_")
+                asked[key] = new, Best(len(new.ids), k)
+            (queries, best), block = asked[key], _Postings(batch, i)
+            width = min(queries.width, block.width)
+            met = float(np.dot(np.diff(queries.at)[:width].astype(float), np.diff(block.at)[:width]))
+            kind = product_type(queries.length, block.length)
+            scattered = SPARSE * met < float(len(queries.ids)) * len(block.ids) * width
+            for a, b in steps(len(queries.ids), len(block.ids)):
+                scores = (_scattered(queries, block, a, b) if scattered
+                          else room.products(queries.dense(kind)[a:b], block.dense(kind)))
+                best.add(np.arange(a, b), scores, block.ids, block.marks, queries.marks[a:b])
+    for queries, best in asked.values():
+        line, score, row, mark = best.entries()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x) for x in (queries.ids[line], queries.marks[line], row, mark, score)],
+            ["query_id", "query_mark", "vec_id", "mark", "score"])
 
 
 def exact_top_k(vectors: DataFrame, is_query: str, k: int = 5, scale: int = 256, id_column: str = "vec_id",
@@ -134,22 +157,18 @@ def exact_top_k(vectors: DataFrame, is_query: str, k: int = 5, scale: int = 256,
 
     ``is_query`` is an SQL condition on ``id``.
     """
+    spark = vectors.sparkSession
+    small_batches(spark)
     rows = stage(quantised(vectors, id_column, column, scale), "vectors")
-    lots = max(1, -(-rows.where(is_query).count() // QUERIES))
-    lanes = max(1, -(-rows.count() // (CANDIDATES * PER_LANE)))
+    total, wanted = rows.agg(F.count(F.lit(1)), F.count_if(F.expr(is_query))).first()
+    lanes, lots = dealt(spark, -(-total // CANDIDATES), -(-wanted // QUERIES), PER_LANE)
 
     def blocks(chosen: DataFrame, size: int) -> DataFrame:
-        return chosen.select("lot", "id", "mark", "v").mapInArrow(lambda it: _blocks(it, size), _BLOCK)
-
-    def numbers(n: int):
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        return chosen.select("id", "mark", "v").mapInArrow(lambda it: _blocks(it, size), _BLOCK)
 
-    wanted = rows.where(is_query).withColumn("lot", F.pmod(F.xxhash64("mark"), F.lit(lots))).repartition("lot")
-    asked = stage(blocks(wanted, QUERIES), "query_blocks")
-    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns], numbers(lanes).alias("lane"))
-    offered = blocks(rows.withColumn("lot", F.lit(0).cast("long")), CANDIDATES).drop("lot")
-    offered = offered.select("*", F.pmod(F.xxhash64("block"), F.lit(lanes)).alias("lane"), numbers(lots).alias("q_lot"))
-    partial = offered.join(asked, ["q_lot", "lane"]).mapInArrow(
+    # Queries are dealt by a hash, so a lot may have a few more than ``QUERIES``.
+    asked = stage(blocks(rows.where(is_query).repartition(lots, "mark").coalesce(lots), 2 * QUERIES), "query_blocks")
+    partial = paired(blocks(rows, CANDIDATES), asked, lanes, lots).mapInArrow(
         lambda it: _searched(it, k), "query_id long, query_mark long, vec_id long, mark long, score long")
     best = Window.partitionBy("query_id", "query_mark").orderBy(F.col("score").desc(), "vec_id", "mark")
     return (partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -4,6 +4,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +43,41 @@ def test_top_k_equals_brute_force(spark, monkeypatch, sizes):
     assert sorted(r.rank for r in few) == [1, 2]
 
 
+@pytest.mark.parametrize("sizes", [(4096, 8192, 256), (7, 30, 3), (16, 5, 1)])
+def test_top_k_of_copies_long_and_sparse_vectors(spark, monkeypatch, sizes):
+    for name, value in zip(("CANDIDATES", "QUERIES", "PER_LANE"), sizes):
+        monkeypatch.setattr(exact_topk, name, value)
+    rng = random.Random(11)
+    rows = [(i, [1.0, 0.5, 0.25]) for i in range(400, 0, -4)]  # copies: all scores tie, ids fall
+    rows += [(i, [0.0] * rng.randrange(300) + [rng.uniform(-1, 1)] + [0.0] * rng.randrange(9)) for i in range(401, 451)]
+    rows += [(i, [rng.uniform(-1, 1) * size for _ in range(9)]) for i, size in zip(range(451, 511), [1, 40, 3e5, 1e6] * 15)]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    got = exact_topk.exact_top_k(df, "id % 25 = 0", 3).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute(rows, 3, lambda i: i % 25 == 0)
+
+
+def test_top_k_copies_no_blocks_and_hands_over_k_rows_a_query(spark, monkeypatch):
+    monkeypatch.setattr(exact_topk, "CANDIDATES", 10)
+    monkeypatch.setattr(exact_topk, "PER_LANE", 20)
+    monkeypatch.setattr(exact_topk, "QUERIES", 2)
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    plan = exact_topk.exact_top_k(df, "id % 25 = 0", 3)._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "explode" not in plan and "Broadcast" not in plan
+    # Many blocks of candidates pass by a block of queries: k rows a query remain.
+    whole = [(i, i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    def packed(some, size):
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), (pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["id", "mark", "v"])
+        return list(exact_topk._blocks(iter([batch]), size))
+    asked, offered = packed([r for r in whole if r[0] % 25 == 0], 100), packed(whole, 10)
+    assert len(asked) == 1 and len(offered) == 40
+    met = [pa.RecordBatch.from_arrays([*c.columns, *asked[0].columns], [*c.schema.names, *(f"a_{x}" for x in asked[0].schema.names)])
+           for c in offered]
+    assert sum(b.num_rows for b in exact_topk._searched(iter(met), 3)) == 16 * 3
+
+
 def test_top_k_query_equals_brute_force(spark):
     path = "/root/testdata/sf0.01"
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{path}/embeddings.parquet").collect()]
