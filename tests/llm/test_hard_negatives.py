@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from brute import hard_negatives as plain
 from pyspark.sql import functions as F
@@ -39,6 +41,43 @@ def test_hot_label_and_copies(spark, monkeypatch):
     assert mined(spark, rows, positives=2, negatives=3, low=50, high=100) == plain(rows, lambda i: i % 10 == 0, 2, 3, 50, 100)
 
 
+@pytest.mark.parametrize("block,anchors", [(4096, 8192), (9, 4), (50, 8)])
+def test_lanes_lots_and_great_scores(spark, monkeypatch, block, anchors):
+    for name, value in (("BLOCK", block), ("ANCHORS", anchors), ("PER_LANE", 2)):
+        monkeypatch.setattr(hn, name, value)
+    r = random.Random(8)
+    rows = [(i, [r.uniform(-1, 1) * size for _ in range(r.choice([3, 6]))], r.choice([0, 0, 1, 2, i]))
+            for i, size in zip(range(300), [1, 1, 1, 30, 2e5] * 60)]
+    rows = [(i, np.float32(v).tolist(), y) for i, v, y in rows]
+    got, want = mined(spark, rows), plain(rows, lambda i: i % 10 == 0)
+    assert want and got == want
+
+
+def test_pairs_that_count_do_not_grow_with_the_candidates(spark, monkeypatch):
+    """Anchors whose positives are far: most rows of other labels score above their windows, in every block."""
+    plan = hn.hard_negatives(spark.createDataFrame([(0, [1.0], 1)], SCHEMA), "id % 10 = 0", F.col("label"))._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "explode" not in plan
+    r = random.Random(2)
+    vectors = [[r.randrange(200, 256), r.randrange(-20, 20)] for _ in range(500)]
+    vectors[0], vectors[1] = [256, 0], [100, 0]
+
+    def packed(rows, size):
+        columns = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), columns)], ["id", "mark", "label", "v", "limits"])
+        return list(hn._packed(iter([batch]), size))
+
+    offered = packed([(i, i, int(i < 2), v, []) for i, v in enumerate(vectors)], 10)
+    asked = packed([(0, 0, 1, vectors[0], [1, 0, 256 * 100, 0])], 10)[0]
+    assert len(offered) == 50
+    monkeypatch.setattr(hn, "CELLS", 60)
+    assert [b.column("size")[0].as_py() for b in packed([(i, i, 0, v, []) for i, v in enumerate(vectors)], 100)] == [30] * 16 + [20]
+    met = [pa.RecordBatch.from_arrays([*c.columns, *asked.columns], [*c.schema.names, *(f"a_{x}" for x in asked.schema.names)])
+           for c in offered]
+    found = pa.Table.from_batches(hn._near_pairs(iter(met), 2, 10, 30, 300))
+    scores = sorted((-256 * v[0], i) for i, v in enumerate(vectors) if i > 1 and 30 * 256 <= 256 * v[0] <= 3 * 256 * 100)
+    assert sorted(zip(found.column("score").to_pylist(), found.column("id").to_pylist())) == sorted((-s, i) for s, i in scores[:10])
+
+
 def test_odd_rows(spark):
     rows = [(0, [0.5, None], 1), (10, None, 1), (20, [math.nan, 1.0], 1), (30, [math.inf, 1.0], 1), (None, [1.0], 1), (40, [1.0], None),
             (50, [], 1), (60, [0.5, 0.5], 1), (61, [1.0, 1.0], 1), (62, [0.25, 0.5], 2), (70, [-1.0, -1.0], 3), (71, [1.0, 1.0], 3), (80, [0.0, 0.0], 2),
